@@ -39,3 +39,214 @@ def q_topic_trends(spark, sf_dir):
     threads, comments = forum(spark, sf_dir)
     t = tr.topic_trends(threads, comments, fx.topics(spark, sf_dir))
     return t.select("topic_id", r6("topic_trend_score").alias("topic_trend_score"), "thread_count", "last_activity")
+
+
+# --------------------------------------------------------------- text functions
+from ..functions import scoring as sc  # noqa: E402
+from ..functions import text as tx  # noqa: E402
+from ..operators import activity as act  # noqa: E402
+from ..operators import cleaning as cl  # noqa: E402
+from ..operators import ranking as rk  # noqa: E402
+from ..sources.tables import table  # noqa: E402
+
+
+def docs_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _text_query(name, out, fn):
+    QUERIES[name] = lambda spark, sf_dir: docs_text(spark, sf_dir).select("doc_id", fn(F.col("text")).alias(out))
+
+
+_text_query("collapse_ws", "collapsed", tx.collapse_ws)
+_text_query("remove_urls", "no_urls", tx.remove_urls)
+_text_query("remove_emojis", "no_emojis", tx.remove_emojis)
+_text_query("remove_quotes", "unquoted", tx.remove_quotes)
+_text_query("blank_markers", "first_line", lambda c: tx.blank_markers(F.split_part(c, F.lit("\n"), F.lit(1))))
+_text_query("normalize_text", "normalized", tx.normalize_text)
+_text_query("word_count", "n_words", tx.word_count)
+
+
+@query("flair_norm")
+def q_flair_norm(spark, sf_dir):
+    return fx.threads(spark, sf_dir).select("thread_id", tx.flair_norm("link_flair_text").alias("flair"))
+
+
+@query("title_and_selftext")
+def q_title_and_selftext(spark, sf_dir):
+    return fx.threads(spark, sf_dir).select(
+        "thread_id", tx.title_and_selftext("title", "selftext").alias("title_and_selftext"))
+
+
+@query("snippet")
+def q_snippet(spark, sf_dir):
+    return fx.threads(spark, sf_dir).select(
+        "thread_id",
+        tx.snippet("selftext", 300, "after").alias("cut_then_flat"),
+        tx.snippet("selftext", 250, "before").alias("flat_then_cut"),
+        tx.snippet("selftext", 200, "none").alias("card_title"),
+        tx.short_label("title").alias("chart_label"),
+    )
+
+
+@query("resolve_url")
+def q_resolve_url(spark, sf_dir):
+    t = fx.threads(spark, sf_dir)
+    trending = tx.resolve_url(t, ["external_url", "url", "permalink"])
+    with_permalink = trending.withColumn(
+        "permalink", F.when(F.col("score").isNull(), F.col("external_url"))
+        .otherwise(F.concat(F.lit("/r/forum/comments/"), F.col("thread_id")))).drop("external_url")
+    return tx.resolve_url(with_permalink, ["thread_url_given", "permalink"], out="permalink_url").select(
+        "thread_id", "thread_url", "permalink_url")
+
+
+# --------------------------------------------------------------- time / score functions
+@query("parse_ts")
+def q_parse_ts(spark, sf_dir):
+    c = fx.comments(spark, sf_dir)
+    raw = F.when(F.col("score").isNull(), F.lit("not a time")).otherwise(
+        F.date_format("created_utc", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return c.select("comment_id", sc.parse_ts(raw).alias("parsed"))
+
+
+@query("relative_time")
+def q_relative_time(spark, sf_dir):
+    threads, comments = forum(spark, sf_dir)
+    end = act.window_end(comments, threads)
+    return threads.where(F.col("created_utc").isNotNull()).select(
+        "thread_id", sc.relative_time("created_utc", end).alias("age"))
+
+
+@query("comment_priority")
+def q_comment_priority(spark, sf_dir):
+    threads, comments = forum(spark, sf_dir)
+    end = act.window_end(comments, threads)
+    win = act.windowed_comments(comments, threads, 14, end)
+    return win.select("comment_id", r6(sc.comment_priority("score", "created_utc", end)).alias("comment_priority"))
+
+
+@query("trend_score")
+def q_trend_score(spark, sf_dir):
+    threads, comments = forum(spark, sf_dir)
+    end = act.window_end(comments, threads)
+    active = act.active_threads(threads, act.windowed_comments(comments, threads, 14, end))
+    return active.select("thread_id", r6(sc.trend_score("score", "num_comments", "created_utc", end)).alias("trend_score"))
+
+
+# --------------------------------------------------------------- filters / joins
+@query("drop_short_comments")
+def q_drop_short_comments(spark, sf_dir):
+    return cl.drop_short_comments(fx.comments(spark, sf_dir)).select("comment_id", "body_len")
+
+
+@query("known_thread_comments")
+def q_known_thread_comments(spark, sf_dir):
+    threads, comments = forum(spark, sf_dir)
+    return act.known_thread_comments(comments, threads).select("comment_id", "thread_id")
+
+
+@query("active_window")
+def q_active_window(spark, sf_dir):
+    threads, comments = forum(spark, sf_dir)
+    return act.windowed_comments(comments, threads).select("comment_id", "thread_id", "created_utc")
+
+
+@query("active_threads")
+def q_active_threads(spark, sf_dir):
+    threads, comments = forum(spark, sf_dir)
+    return act.active_threads(threads, act.windowed_comments(comments, threads)).select("thread_id", "created_utc")
+
+
+@query("embedding_scan")
+def q_embedding_scan(spark, sf_dir):
+    v = fx.store_vectors(spark, sf_dir)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    return v.select("thread_id", F.size("embedding").alias("dim"), r6(norm).alias("norm"))
+
+
+@query("active_embeddings")
+def q_active_embeddings(spark, sf_dir):
+    from ..operators.vectors import active_embeddings
+    threads, comments = forum(spark, sf_dir)
+    active = act.active_threads(threads, act.windowed_comments(comments, threads))
+    return active_embeddings(active, fx.store_vectors(spark, sf_dir)).select("thread_id", "embedding")
+
+
+# --------------------------------------------------------------- ranking
+@query("dedupe_threads")
+def q_dedupe_threads(spark, sf_dir):
+    t = fx.threads(spark, sf_dir)
+    dup = t.where(F.col("thread_id").cast("int") % 5 == 0).withColumn("score", F.col("score") - 1)
+    return rk.dedupe_threads(t.unionByName(dup)).select("thread_id", "score", "created_utc", "external_url")
+
+
+@query("top_comments_by_priority")
+def q_top_comments_by_priority(spark, sf_dir):
+    threads, comments = forum(spark, sf_dir)
+    end = act.window_end(comments, threads)
+    win = act.windowed_comments(comments, threads, 14, end).withColumn(
+        "comment_priority", sc.comment_priority("score", "created_utc", end))
+    return rk.top_comments_by_priority(win).select("thread_id", "comment_id", "rank")
+
+
+@query("top_comments_by_score")
+def q_top_comments_by_score(spark, sf_dir):
+    return rk.top_comments_by_score(fx.big_comments(spark, sf_dir)).select("thread_id", "comment_id", "score", "rank")
+
+
+def scored_topic_threads(spark, sf_dir):
+    threads, comments = forum(spark, sf_dir)
+    end = act.window_end(comments, threads)
+    active = act.active_threads(threads, act.windowed_comments(comments, threads, 14, end))
+    return tr.score_topic_threads(active, fx.topics(spark, sf_dir), end)
+
+
+@query("latest_threads_per_topic")
+def q_latest_threads_per_topic(spark, sf_dir):
+    return rk.latest_threads_per_topic(scored_topic_threads(spark, sf_dir)).select(
+        "topic_id", "thread_id", "created_utc", "rank")
+
+
+@query("top_threads_by_trend")
+def q_top_threads_by_trend(spark, sf_dir):
+    return rk.top_threads_by_trend(scored_topic_threads(spark, sf_dir)).select(
+        "topic_id", "thread_id", r6("trend_score").alias("trend_score"), "rank")
+
+
+@query("top_topics")
+def q_top_topics(spark, sf_dir):
+    t = tr.aggregate_trends(scored_topic_threads(spark, sf_dir))
+    return rk.top_topics(t).select("topic_id", r6("topic_trend_score").alias("topic_trend_score"), "thread_count")
+
+
+# --------------------------------------------------------------- documents
+def trending_threads(spark, sf_dir):
+    """Fixture threads carrying ``title_and_selftext`` (T10) as the processed table does."""
+    t = fx.threads(spark, sf_dir)
+    return t.withColumn("title_and_selftext", tx.title_and_selftext("title", "selftext"))
+
+
+@query("top_comments_text")
+def q_top_comments_text(spark, sf_dir):
+    threads, comments = forum(spark, sf_dir)
+    end = act.window_end(comments, threads)
+    return act.top_comments_text(act.windowed_comments(comments, threads, 14, end), end)
+
+
+@query("build_docs")
+def q_build_docs(spark, sf_dir):
+    docs = act.build_docs(trending_threads(spark, sf_dir), fx.comments(spark, sf_dir))
+    return docs.select("thread_id", "thread_url", "created_utc", "score", "num_comments",
+                       "top_comments_text", "thread_doc")
+
+
+# --------------------------------------------------------------- cleaning
+@query("clean_threads")
+def q_clean_threads(spark, sf_dir):
+    return cl.clean_threads(fx.threads(spark, sf_dir)).select(
+        "thread_id", "link_flair_text", "has_image", "title_and_selftext")
+
+
+@query("clean_comments")
+def q_clean_comments(spark, sf_dir):
+    return cl.clean_comments(fx.comments(spark, sf_dir)).select("comment_id", "thread_id", "body", "body_len")

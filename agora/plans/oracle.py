@@ -106,3 +106,178 @@ def oracle(name: str, uses: list[str], body: str, ctes: list[tuple[str, str]] =
 # --------------------------------------------------------------- trending core
 oracle("topic_trends", ["trends"], """
 SELECT topic_id, round(topic_trend_score, 6) AS topic_trend_score, thread_count, last_activity FROM trends""")
+
+# --------------------------------------------------------------- DuckDB text helpers
+# Unicode White_Space, spelled out for RE2 (its \s is ASCII only).
+WS = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+LINEBREAK = r"(?:\r\n|[\n\x0b\f\r\x{85}\x{2028}\x{2029}])"
+EMOJI = (r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}"
+         r"\x{2600}-\x{2B55}\x{200D}\x{23CF}\x{23E9}\x{231A}\x{FE0F}\x{3030}]+")
+
+
+def d_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def d_collapse(x: str) -> str:
+    return f"regexp_replace({x}, '{WS}{{2,}}', ' ', 'g')"
+
+
+def d_urls(x: str) -> str:
+    return f"regexp_replace({x}, '(?:https|http)?://\\S+\\b', '', 'g')"
+
+
+def d_emoji(x: str) -> str:
+    return f"regexp_replace({x}, '{EMOJI}', '', 'g')"
+
+
+def d_blank(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL OR lower({x}) IN ('[deleted]', '[removed]', 'nan', 'none') THEN '' ELSE {x} END"
+
+
+def d_flatten(x: str) -> str:
+    return f"replace(replace(replace({x}, chr(13) || chr(10), ' '), chr(10), ' '), chr(13), ' ')"
+
+
+def d_quotes(x: str) -> str:
+    lines = f"string_split_regex(regexp_replace({x}, '{LINEBREAK}$', ''), '{LINEBREAK}')"
+    return f"array_to_string(list_filter({lines}, lambda l: NOT regexp_matches(l, '^{WS}*>')), chr(10))"
+
+
+def d_normalize(x: str) -> str:
+    # HTML step is identity + strip on markup-free text (documents hold no '<' and no entity).
+    return d_strip(d_collapse(d_emoji(d_urls(d_strip(d_flatten(d_blank(x)))))))
+
+
+def d_words(x: str) -> str:
+    return f"len(list_filter(string_split_regex({d_strip(f'coalesce({x}, {chr(39)}{chr(39)})')}, '{WS}+'), lambda w: w <> ''))"
+
+
+def d_tas(t: str, s: str) -> str:
+    return f"concat({d_strip(f'coalesce({t}, {chr(39)}{chr(39)})')}, chr(10) || chr(10), {d_strip(f'coalesce({s}, {chr(39)}{chr(39)})')})"
+
+
+def d_clip0(x: str) -> str:
+    return f"(CASE WHEN {x} < 0 THEN 0 ELSE {x} END)"
+
+
+def d_hours(as_of: str, ts: str) -> str:
+    return f"((epoch_us({as_of}) - epoch_us({ts})) / 3.6e9)"
+
+
+# --------------------------------------------------------------- text functions
+oracle("collapse_ws", [], f"SELECT doc_id, {d_collapse('text')} AS collapsed FROM documents")
+oracle("remove_urls", [], f"SELECT doc_id, {d_urls('text')} AS no_urls FROM documents")
+oracle("remove_emojis", [], f"SELECT doc_id, {d_emoji('text')} AS no_emojis FROM documents")
+oracle("remove_quotes", [], f"SELECT doc_id, {d_quotes('text')} AS unquoted FROM documents")
+oracle("blank_markers", [], f"SELECT doc_id, {d_blank('split_part(text, chr(10), 1)')} AS first_line FROM documents")
+oracle("normalize_text", [], f"SELECT doc_id, {d_normalize('text')} AS normalized FROM documents")
+oracle("word_count", [], f"SELECT doc_id, {d_words('text')} AS n_words FROM documents")
+oracle("flair_norm", ["fx_threads"],
+       f"SELECT thread_id, lower({d_strip(chr(39).join(['coalesce(link_flair_text, ', '[No Flair]', ')']))}) AS flair FROM fx_threads")
+oracle("title_and_selftext", ["fx_threads"],
+       f"SELECT thread_id, {d_tas('title', 'selftext')} AS title_and_selftext FROM fx_threads")
+oracle("snippet", ["fx_threads"], f"""
+SELECT thread_id,
+  {d_strip("replace(substr(coalesce(selftext, ''), 1, 300), chr(10), ' ')")} AS cut_then_flat,
+  substr(replace(coalesce(selftext, ''), chr(10), ' '), 1, 250) AS flat_then_cut,
+  {d_strip("substr(coalesce(selftext, ''), 1, 200)")} AS card_title,
+  CASE WHEN length(title) > 18 THEN substr(title, 1, 18) || '...' ELSE title END AS chart_label
+FROM fx_threads""")
+oracle("resolve_url", ["fx_threads"], """
+SELECT thread_id, coalesce(external_url, '') AS thread_url,
+  CASE WHEN starts_with(coalesce(p, ''), 'http') THEN coalesce(p, '') ELSE 'https://www.reddit.com' || coalesce(p, '') END
+    AS permalink_url
+FROM (SELECT *, CASE WHEN score IS NULL THEN external_url ELSE '/r/forum/comments/' || thread_id END AS p FROM fx_threads)""")
+
+# --------------------------------------------------------------- time / score functions
+oracle("parse_ts", ["fx_comments"], """
+SELECT comment_id, TRY_CAST(raw AS TIMESTAMP) AS parsed FROM (
+  SELECT comment_id, CASE WHEN score IS NULL THEN 'not a time' ELSE strftime(created_utc, '%Y-%m-%d %H:%M:%S.%f') END AS raw
+  FROM fx_comments)""")
+oracle("relative_time", ["fx_threads", "bounds"], """
+SELECT thread_id,
+  CASE WHEN m < 60 THEN CAST(m AS VARCHAR) || 'm ago'
+       WHEN floor(m / 60) < 24 THEN CAST(CAST(floor(m / 60) AS BIGINT) AS VARCHAR) || 'h ago'
+       ELSE CAST(CAST(floor(floor(m / 60) / 24) AS BIGINT) AS VARCHAR) || 'd ago' END AS age
+FROM (SELECT t.thread_id, CAST(floor((epoch_us(b.window_end) - epoch_us(t.created_utc)) / 60000000.0) AS BIGINT) AS m
+      FROM fx_threads t CROSS JOIN bounds b WHERE t.created_utc IS NOT NULL)""")
+oracle("comment_priority", ["win", "bounds"], f"""
+SELECT w.comment_id, round({d_clip0('w.score')} / (1 + {d_hours('b.window_end', 'w.created_utc')}), 6) AS comment_priority
+FROM win w CROSS JOIN bounds b""")
+oracle("trend_score", ["active", "bounds"], f"""
+SELECT a.thread_id, round(ln(1 + {d_clip0('a.score')} + {d_clip0('a.num_comments')})
+  / (1 + {d_hours('b.window_end', 'a.created_utc')}), 6) AS trend_score
+FROM active a CROSS JOIN bounds b""")
+
+# --------------------------------------------------------------- filters / joins
+oracle("drop_short_comments", ["fx_comments"], f"""
+SELECT comment_id, n_words AS body_len FROM (SELECT comment_id, {d_words('body')} AS n_words FROM fx_comments)
+WHERE n_words >= 3""")
+oracle("known_thread_comments", ["known"], "SELECT comment_id, thread_id FROM fx_comments WHERE thread_id IN (SELECT thread_id FROM fx_threads)")
+oracle("active_window", ["win"], "SELECT comment_id, thread_id, created_utc FROM win")
+oracle("active_threads", ["active"], "SELECT thread_id, created_utc FROM active")
+oracle("embedding_scan", ["fx_store"], """
+SELECT thread_id, len(embedding) AS dim, round(sqrt(list_dot_product(embedding, embedding)), 6) AS norm FROM fx_store""")
+oracle("active_embeddings", ["active", "fx_store"], """
+SELECT a.thread_id, s.embedding FROM active a JOIN fx_store s ON s.thread_id = a.thread_id""")
+
+# --------------------------------------------------------------- ranking
+oracle("dedupe_threads", ["fx_threads"], """
+SELECT thread_id, score, created_utc, external_url FROM (
+  SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY score DESC NULLS LAST, created_utc ASC NULLS LAST,
+      external_url ASC NULLS LAST, title ASC NULLS LAST, selftext ASC NULLS LAST) AS rn
+  FROM (SELECT * FROM fx_threads UNION ALL
+        SELECT thread_id, title, selftext, link_flair_text, created_utc, score - 1, num_comments, external_url
+        FROM fx_threads WHERE CAST(thread_id AS INTEGER) % 5 = 0))
+WHERE rn = 1""")
+oracle("top_comments_by_priority", ["win", "bounds"], f"""
+SELECT thread_id, comment_id, rank FROM (
+  SELECT w.thread_id, w.comment_id, row_number() OVER (PARTITION BY w.thread_id
+      ORDER BY {d_clip0('w.score')} / (1 + {d_hours('b.window_end', 'w.created_utc')}) DESC NULLS LAST, w.comment_id) AS rank
+  FROM win w CROSS JOIN bounds b) WHERE rank <= 5""")
+oracle("top_comments_by_score", ["fx_big_comments"], """
+SELECT thread_id, comment_id, score, rank FROM (
+  SELECT thread_id, comment_id, score,
+    row_number() OVER (PARTITION BY thread_id ORDER BY score DESC NULLS LAST, comment_id) AS rank
+  FROM fx_big_comments) WHERE rank <= 5""")
+oracle("latest_threads_per_topic", ["scored"], """
+SELECT topic_id, thread_id, created_utc, rank FROM (
+  SELECT topic_id, thread_id, created_utc,
+    row_number() OVER (PARTITION BY topic_id ORDER BY created_utc DESC NULLS LAST, thread_id) AS rank
+  FROM scored) WHERE rank <= 5""")
+oracle("top_threads_by_trend", ["scored"], """
+SELECT topic_id, thread_id, round(trend_score, 6) AS trend_score, rank FROM (
+  SELECT topic_id, thread_id, trend_score,
+    row_number() OVER (PARTITION BY topic_id ORDER BY trend_score DESC NULLS LAST, thread_id) AS rank
+  FROM scored) WHERE rank <= 5""")
+oracle("top_topics", ["trends"], """
+SELECT topic_id, round(topic_trend_score, 6) AS topic_trend_score, thread_count
+FROM trends ORDER BY topic_trend_score DESC NULLS LAST, topic_id LIMIT 3""")
+
+# --------------------------------------------------------------- documents
+DERIVED["topc"] = f"""SELECT thread_id, string_agg(b, ' ' ORDER BY rank) AS top_comments_text FROM (
+  SELECT w.thread_id, substr(replace(coalesce(w.body, ''), chr(10), ' '), 1, 250) AS b,
+    row_number() OVER (PARTITION BY w.thread_id
+      ORDER BY {d_clip0('w.score')} / (1 + {d_hours('b.window_end', 'w.created_utc')}) DESC NULLS LAST, w.comment_id) AS rank
+  FROM win w CROSS JOIN bounds b) WHERE rank <= 5 GROUP BY thread_id"""
+DEPENDS["topc"] = ["win", "bounds"]
+DERIVED["docs"] = f"""SELECT a.thread_id, coalesce(a.external_url, '') AS thread_url, a.created_utc, a.score, a.num_comments,
+  {d_tas('a.title', 'a.selftext')} AS title_and_selftext, coalesce(c.top_comments_text, '') AS top_comments_text
+FROM active a LEFT JOIN topc c ON c.thread_id = a.thread_id"""
+DEPENDS["docs"] = ["active", "topc"]
+oracle("top_comments_text", ["topc"], "SELECT thread_id, top_comments_text FROM topc")
+oracle("build_docs", ["docs"], f"""
+SELECT thread_id, thread_url, created_utc, score, num_comments, top_comments_text,
+  {d_strip("title_and_selftext || ' ' || top_comments_text")} AS thread_doc FROM docs""")
+
+# --------------------------------------------------------------- cleaning
+oracle("clean_threads", ["fx_threads"], f"""
+SELECT thread_id, lower({d_strip(chr(39).join(['coalesce(link_flair_text, ', '[No Flair]', ')']))}) AS link_flair_text,
+  false AS has_image, {d_normalize(d_tas('title', 'selftext'))} AS title_and_selftext
+FROM fx_threads""")
+oracle("clean_comments", ["fx_comments"], f"""
+SELECT comment_id, thread_id, body, body_len FROM (
+  SELECT comment_id, thread_id, b AS body, {d_words('b')} AS body_len
+  FROM (SELECT comment_id, thread_id, {d_normalize(d_quotes("coalesce(body, '')"))} AS b FROM fx_comments))
+WHERE body_len >= 3""")

@@ -22,6 +22,7 @@ LOCAL_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.driver.memory": "16g",
     "spark.sql.shuffle.partitions": "8",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 

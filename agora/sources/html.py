@@ -17,6 +17,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Elements whose contents are never text, and the page
 # boilerplate elements dropped before extracting a page's main text.
@@ -64,12 +65,12 @@ def page_text(x: str | None, max_chars: int = PAGE_TEXT_CHARS) -> str:
     return " ".join(text.split())[:max_chars]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html_to_text(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def page_text_udf(s: pd.Series) -> pd.Series:
     return s.map(page_text)
 
