@@ -250,3 +250,99 @@ def q_clean_threads(spark, sf_dir):
 @query("clean_comments")
 def q_clean_comments(spark, sf_dir):
     return cl.clean_comments(fx.comments(spark, sf_dir)).select("comment_id", "thread_id", "body", "body_len")
+
+
+# --------------------------------------------------------------- sentiment
+from ..functions import sentiment as se  # noqa: E402
+from ..operators import cards as cd  # noqa: E402
+from ..operators import rollups as ru  # noqa: E402
+from . import trending as tg  # noqa: E402
+
+
+def comments_scored(spark, sf_dir):
+    return cd.scored_comments(fx.comments(spark, sf_dir))
+
+
+@query("sentiment_compound")
+def q_sentiment_compound(spark, sf_dir):
+    return comments_scored(spark, sf_dir).select("comment_id", r6("compound").alias("compound"))
+
+
+@query("sentiment_bucket")
+def q_sentiment_bucket(spark, sf_dir):
+    return comments_scored(spark, sf_dir).select("comment_id", se.sentiment_bucket("compound").alias("bucket"))
+
+
+@query("sentiment_dist")
+def q_sentiment_dist(spark, sf_dir):
+    return comments_scored(spark, sf_dir).groupBy("thread_id").agg(*se.dist_aggs())
+
+
+@query("sentiment_avg")
+def q_sentiment_avg(spark, sf_dir):
+    return comments_scored(spark, sf_dir).groupBy("thread_id").agg(se.avg_agg())
+
+
+@query("daily_timeline")
+def q_daily_timeline(spark, sf_dir):
+    return cd.daily_counts(fx.comments(spark, sf_dir), "thread_id")
+
+
+# --------------------------------------------------------------- contexts, cards, roll-ups
+def trending_given_topics(spark, sf_dir) -> tg.TrendingResult:
+    return tg.trending_from_topics(trending_threads(spark, sf_dir), fx.comments(spark, sf_dir),
+                                   fx.topics(spark, sf_dir))
+
+
+@query("topic_context")
+def q_topic_context(spark, sf_dir):
+    _, scored = tg.scored_docs(trending_threads(spark, sf_dir), fx.comments(spark, sf_dir), fx.topics(spark, sf_dir))
+    return cd.topic_context(scored)
+
+
+@query("topic_headline")
+def q_topic_headline(spark, sf_dir):
+    _, scored = tg.scored_docs(trending_threads(spark, sf_dir), fx.comments(spark, sf_dir), fx.topics(spark, sf_dir))
+    return cd.summarise_topics(cd.topic_context(scored))
+
+
+@query("topic_cards")
+def q_topic_cards(spark, sf_dir):
+    c = trending_given_topics(spark, sf_dir).cards
+    return c.select(
+        "topic_id", "headline", "summary", r6("topic_trend_score").alias("topic_trend_score"),
+        F.array_join(F.transform("threads", lambda t: t["thread_id"]), ",").alias("thread_ids"),
+        F.col("sentiment_dist.positive").alias("positive"), F.col("sentiment_dist.neutral").alias("neutral"),
+        F.col("sentiment_dist.negative").alias("negative"), "total_comments", "last_updated",
+        F.size("comment_timeline").cast("long").alias("n_days"),
+        F.aggregate("comment_timeline", F.lit(0).cast("long"), lambda a, p: a + p["count"]).alias("timeline_count"))
+
+
+@query("overall_timeline")
+def q_overall_timeline(spark, sf_dir):
+    return ru.overall_timeline(trending_given_topics(spark, sf_dir).cards)
+
+
+@query("overall_sentiment")
+def q_overall_sentiment(spark, sf_dir):
+    return ru.overall_sentiment(trending_given_topics(spark, sf_dir).cards)
+
+
+@query("recent_activity")
+def q_recent_activity(spark, sf_dir):
+    return ru.recent_activity(trending_given_topics(spark, sf_dir).cards)
+
+
+@query("trend_bars")
+def q_trend_bars(spark, sf_dir):
+    return ru.trend_bars(trending_given_topics(spark, sf_dir).cards)
+
+
+@query("sentiment_over_time")
+def q_sentiment_over_time(spark, sf_dir):
+    return ru.sentiment_over_time(trending_given_topics(spark, sf_dir).cards)
+
+
+@query("home_feed")
+def q_home_feed(spark, sf_dir):
+    return ru.home_feed(trending_given_topics(spark, sf_dir).cards)

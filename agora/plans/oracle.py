@@ -281,3 +281,116 @@ SELECT comment_id, thread_id, body, body_len FROM (
   SELECT comment_id, thread_id, b AS body, {d_words('b')} AS body_len
   FROM (SELECT comment_id, thread_id, {d_normalize(d_quotes("coalesce(body, '')"))} AS b FROM fx_comments))
 WHERE body_len >= 3""")
+
+# --------------------------------------------------------------- sentiment
+from ..functions.sentiment import (COMPOUND_ALPHA, DEFAULT_LEXICON, NEGATION_SCALE,  # noqa: E402
+                                   NEGATION_WINDOW, NEGATORS)
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+LEX_SQL = ("MAP([" + ", ".join(_q(k) for k in DEFAULT_LEXICON) + "], CAST(["
+           + ", ".join(repr(float(v)) for v in DEFAULT_LEXICON.values()) + "] AS DOUBLE[]))")
+NEG_SQL = "[" + ", ".join(_q(w) for w in NEGATORS) + "]"
+
+
+def d_tokens(x: str) -> str:
+    return f"list_filter(string_split_regex(lower(coalesce({x}, '')), '[^\\pL\\pN'']+'), lambda t: t <> '')"
+
+
+def d_compound(toks: str) -> str:
+    v = f"coalesce(map_extract_value({LEX_SQL}, t), 0.0)"
+    neg = f"list_has_any(list_slice({toks}, greatest(i - {NEGATION_WINDOW}, 1), i - 1), {NEG_SQL})"
+    s = f"coalesce(list_sum(list_transform({toks}, lambda t, i: CASE WHEN {neg} THEN {v} * ({NEGATION_SCALE}) ELSE {v} END)), 0.0)"
+    return f"({s} / sqrt({s} * {s} + {COMPOUND_ALPHA}))"
+
+
+def d_bucket(c: str) -> str:
+    return f"CASE WHEN {c} >= 0.05 THEN 'positive' WHEN {c} <= -0.05 THEN 'negative' ELSE 'neutral' END"
+
+
+DERIVED["csent"] = f"SELECT *, {d_compound('toks')} AS compound FROM (SELECT *, {d_tokens('body')} AS toks FROM fx_comments)"
+DEPENDS["csent"] = ["fx_comments"]
+oracle("sentiment_compound", ["csent"], "SELECT comment_id, round(compound, 6) AS compound FROM csent")
+oracle("sentiment_bucket", ["csent"], f"SELECT comment_id, {d_bucket('compound')} AS bucket FROM csent")
+DIST = """count(*) FILTER (WHERE compound >= 0.05) AS positive,
+  count(*) FILTER (WHERE compound > -0.05 AND compound < 0.05) AS neutral,
+  count(*) FILTER (WHERE compound <= -0.05) AS negative, count(*) AS total_comments"""
+oracle("sentiment_dist", ["csent"], f"SELECT thread_id, {DIST} FROM csent GROUP BY thread_id")
+oracle("sentiment_avg", ["csent"], "SELECT thread_id, round(coalesce(avg(compound), 0.0), 3) AS sentiment_avg FROM csent GROUP BY thread_id")
+oracle("daily_timeline", ["fx_comments"], """
+SELECT thread_id, strftime(created_utc, '%Y-%m-%d') AS date, count(*) AS count FROM fx_comments
+WHERE created_utc IS NOT NULL GROUP BY 1, 2""")
+
+# --------------------------------------------------------------- contexts, cards, roll-ups
+DERIVED["dscored"] = f"""SELECT s.*, coalesce(s.external_url, '') AS thread_url,
+  {d_tas('s.title', 's.selftext')} AS title_and_selftext, coalesce(c.top_comments_text, '') AS top_comments_text
+FROM scored s LEFT JOIN topc c ON c.thread_id = s.thread_id"""
+DEPENDS["dscored"] = ["scored", "topc"]
+DERIVED["allctx"] = f"""SELECT topic_id, substr(string_agg(line, chr(10) ORDER BY rank), 1, 2500) AS context FROM (
+  SELECT topic_id,
+    '- ' || {d_strip("replace(substr(title_and_selftext, 1, 220), chr(10), ' ')")} || chr(10) || '  '
+      || {d_strip("replace(substr(top_comments_text, 1, 350), chr(10), ' ')")} AS line,
+    row_number() OVER (PARTITION BY topic_id ORDER BY trend_score DESC NULLS LAST, thread_id) AS rank
+  FROM dscored) WHERE rank <= 5 GROUP BY topic_id"""
+DEPENDS["allctx"] = ["dscored"]
+_head = d_strip("trim(substr(split_part(context, chr(10), 1), 1, 60), '- ')")
+DERIVED["allsum"] = f"""SELECT topic_id, CASE WHEN h <> '' THEN substr(h, 1, 40) ELSE 'Topic ' || topic_id END AS headline,
+  'Placeholder summary for topic ' || topic_id || '.' AS summary FROM (SELECT topic_id, {_head} AS h FROM allctx)"""
+DEPENDS["allsum"] = ["allctx"]
+DERIVED["toptop"] = """SELECT topic_id, topic_trend_score, thread_count FROM trends
+  ORDER BY topic_trend_score DESC NULLS LAST, topic_id LIMIT 3"""
+DEPENDS["toptop"] = ["trends"]
+DERIVED["listed"] = """SELECT * FROM (SELECT d.*, row_number() OVER (PARTITION BY d.topic_id
+    ORDER BY d.created_utc DESC NULLS LAST, d.thread_id) AS rank
+  FROM dscored d WHERE d.topic_id IN (SELECT topic_id FROM toptop)) WHERE rank <= 5"""
+DEPENDS["listed"] = ["dscored", "toptop"]
+DERIVED["tcoms"] = "SELECT l.topic_id, c.* FROM csent c JOIN listed l ON c.thread_id = l.thread_id"
+DEPENDS["tcoms"] = ["csent", "listed"]
+DERIVED["tstats"] = f"SELECT topic_id, {DIST}, max(created_utc) AS last_updated FROM tcoms GROUP BY topic_id"
+DEPENDS["tstats"] = ["tcoms"]
+DERIVED["tdaily"] = """SELECT topic_id, strftime(created_utc, '%Y-%m-%d') AS date, count(*) AS count FROM tcoms
+  WHERE created_utc IS NOT NULL GROUP BY 1, 2"""
+DEPENDS["tdaily"] = ["tcoms"]
+DERIVED["cards"] = """SELECT t.topic_id, s.headline, s.summary, t.topic_trend_score,
+  (SELECT string_agg(l.thread_id, ',' ORDER BY l.rank) FROM listed l WHERE l.topic_id = t.topic_id) AS thread_ids,
+  coalesce(st.positive, 0) AS positive, coalesce(st.neutral, 0) AS neutral, coalesce(st.negative, 0) AS negative,
+  coalesce(st.total_comments, 0) AS total_comments,
+  strftime(st.last_updated, '%Y-%m-%d %H:%M:%S+00:00') AS last_updated,
+  (SELECT count(*) FROM tdaily d WHERE d.topic_id = t.topic_id) AS n_days,
+  (SELECT CAST(coalesce(sum(d.count), 0) AS BIGINT) FROM tdaily d WHERE d.topic_id = t.topic_id) AS timeline_count
+FROM toptop t LEFT JOIN allsum s ON s.topic_id = t.topic_id LEFT JOIN tstats st ON st.topic_id = t.topic_id"""
+DEPENDS["cards"] = ["toptop", "allsum", "tstats", "tdaily", "listed"]
+DERIVED["otl"] = "SELECT date, CAST(sum(count) AS BIGINT) AS count FROM tdaily GROUP BY date"
+DEPENDS["otl"] = ["tdaily"]
+
+oracle("topic_context", ["allctx"], "SELECT topic_id, context FROM allctx")
+oracle("topic_headline", ["allsum"], "SELECT topic_id, headline, summary FROM allsum")
+oracle("topic_cards", ["cards"], """
+SELECT topic_id, headline, summary, round(topic_trend_score, 6) AS topic_trend_score, thread_ids, positive, neutral,
+  negative, total_comments, last_updated, n_days, timeline_count FROM cards""")
+oracle("overall_timeline", ["otl"], "SELECT date, count FROM otl")
+oracle("overall_sentiment", ["tstats"], """
+SELECT name, value FROM (
+  SELECT 'Positive' AS name, CAST(coalesce(sum(positive), 0) AS BIGINT) AS value FROM tstats UNION ALL
+  SELECT 'Neutral', CAST(coalesce(sum(neutral), 0) AS BIGINT) FROM tstats UNION ALL
+  SELECT 'Negative', CAST(coalesce(sum(negative), 0) AS BIGINT) FROM tstats) WHERE value > 0""")
+oracle("recent_activity", ["otl"], """
+SELECT substr(date, 6, 5) AS date, count FROM (SELECT * FROM otl ORDER BY date DESC LIMIT 14)""")
+oracle("trend_bars", ["cards"], """
+SELECT CASE WHEN length(headline) > 18 THEN substr(headline, 1, 18) || '...' ELSE headline END AS name,
+  floor(topic_trend_score * 100 + 0.5) / 100 AS score FROM cards""")
+oracle("sentiment_over_time", ["otl", "tstats", "tdaily"], """
+SELECT substr(l.date, 6, 5) AS date,
+  CASE WHEN coalesce(x.pos, 0) + coalesce(x.neu, 0) + coalesce(x.neg, 0) > 0
+       THEN floor((x.pos - x.neg) / (x.pos + x.neu + x.neg) * 100 + 0.5) / 100 ELSE 0.0 END AS sentiment
+FROM (SELECT date FROM otl ORDER BY date DESC LIMIT 14) l
+LEFT JOIN (
+  SELECT d.date,
+    sum(CAST(s.positive AS DOUBLE) / (s.positive + s.neutral + s.negative) * d.count) AS pos,
+    sum(CAST(s.neutral AS DOUBLE) / (s.positive + s.neutral + s.negative) * d.count) AS neu,
+    sum(CAST(s.negative AS DOUBLE) / (s.positive + s.neutral + s.negative) * d.count) AS neg
+  FROM tdaily d JOIN tstats s ON s.topic_id = d.topic_id
+  WHERE s.total_comments > 0 AND s.positive + s.neutral + s.negative > 0 GROUP BY d.date) x ON x.date = l.date""")
