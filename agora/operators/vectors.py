@@ -1,15 +1,54 @@
-"""Vector operators."""
+"""Vector operators (J5, V3, V4, V5, query centroids).
+
+Cosine top-K (V4) is a distributed scan: the query batch (size-checked) is a
+broadcast variable; every vector partition computes its scores with one
+NumPy mat-mul per Arrow batch and emits only its local top-k per query
+(ties broken by id, so local and global orders agree); a ``row_number``
+window with a partial ``WindowGroupLimit`` then keeps the global top-k.
+Query batches above the broadcast bound are split into chunks whose results
+are unioned.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..params import SEARCH
+from .ranking import top_k_per_group
+
+MAX_QUERY_BYTES = 64 << 20
+
+
+def _c(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def dot(a, b) -> Column:
+    return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def l2_norm(v) -> Column:
+    return F.sqrt(F.aggregate(_c(v), F.lit(0.0), lambda s, x: s + x * x))
+
+
+def l2_normalize(v) -> Column:
+    """V3: unit vector; a zero vector stays as it is."""
+    v = _c(v)
+    return _let(l2_norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(
+        F.transform(v, lambda x: x.cast("double"))))
+
 
 def active_embeddings(docs: DataFrame, store: DataFrame, strict: bool = False) -> DataFrame:
     """Vectors of the given threads; ids without a vector drop (inner join).
 
-    ``strict=True`` raises when nothing is left (an action: counts one row).
+    ``strict=True`` raises when nothing is left (one small action).
     """
     out = docs.select("thread_id").join(store.select("thread_id", "embedding"), "thread_id")
     if strict and out.isEmpty():
@@ -20,3 +59,112 @@ def active_embeddings(docs: DataFrame, store: DataFrame, strict: bool = False) -
 def dropped_ids(docs: DataFrame, store: DataFrame) -> DataFrame:
     """Threads that had no vector (anti-join report)."""
     return docs.select("thread_id").join(store.select("thread_id"), "thread_id", "left_anti")
+
+
+def centroids(vectors: DataFrame, key: str, id_prefix: str = "") -> DataFrame:
+    """Mean vector per ``key``, unit length: (query_id, query_text, embedding).
+
+    Component means are a grouped aggregate over (key, position) with
+    map-side partial sums; only #keys x dim rows are shuffled.
+    """
+    comp = vectors.select(key, F.posexplode("embedding").alias("pos", "x"))
+    mean = comp.groupBy(key, "pos").agg(F.avg("x").alias("x"))
+    vec = mean.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))),
+                                            lambda p: p["x"]).alias("embedding"))
+    label = F.concat(F.lit(id_prefix), F.col(key).cast("string"))
+    return vec.select(label.alias("query_id"), label.alias("query_text"), l2_normalize("embedding").alias("embedding"))
+
+
+def _local_topk(query_ids, q, k, id_col):
+    """mapInPandas body: per partition, the k best (score desc, id asc) rows per query."""
+
+    def run(batches):
+        best: list[pd.DataFrame] = []
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+            s = x @ q.T  # (n, nq)
+            ids = pdf[id_col].to_numpy()
+            for j, qid in enumerate(query_ids):
+                col = s[:, j]
+                if len(col) > k:
+                    kth = np.partition(col, len(col) - k)[len(col) - k]
+                    keep = np.nonzero(col >= kth)[0]
+                else:
+                    keep = np.arange(len(col))
+                best.append(pd.DataFrame({"query_id": qid, id_col: ids[keep], "score": col[keep]}))
+            if sum(len(b) for b in best) > 64 * k * len(query_ids):
+                best = [_trim(pd.concat(best), k, id_col)]
+        if best:
+            yield _trim(pd.concat(best), k, id_col)
+
+    return run
+
+
+def _trim(df: pd.DataFrame, k: int, id_col: str) -> pd.DataFrame:
+    df = df.sort_values(["query_id", "score", id_col], ascending=[True, False, True], kind="mergesort")
+    return df.groupby("query_id", sort=False).head(k)
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = SEARCH.top_k_threads,
+                id_col: str = "thread_id", normalize_queries: bool = True) -> DataFrame:
+    """V4: per query, the k stored vectors with the largest dot product.
+
+    Queries are normalised; stored rows are assumed unit length (not
+    re-normalised).  Returns (query_id, id, score, rank), rank 1 = best.
+    """
+    qcol = l2_normalize("embedding") if normalize_queries else F.col("embedding")
+    qdf = queries.select(F.col("query_id").cast("string").alias("query_id"), qcol.alias("embedding"))
+    n_q = qdf.count()
+    if n_q == 0:
+        return vectors.sparkSession.createDataFrame([], f"query_id string, {id_col} string, score double, rank int")
+    dim = len(qdf.select("embedding").first()[0])
+    per_chunk = max(1, MAX_QUERY_BYTES // (8 * max(dim, 1)))
+    chunks = []
+    # Chunk ids by hashing: no global ordering window over the query batch.
+    n_chunks0 = 2 * ((n_q + per_chunk - 1) // per_chunk) if n_q > per_chunk else 1
+    chunked = qdf.withColumn("_chunk", F.pmod(F.xxhash64("query_id"), F.lit(n_chunks0))) if n_chunks0 > 1 else None
+    n_chunks = n_chunks0
+    sc = vectors.sparkSession.sparkContext
+    for ci in range(n_chunks):
+        part = qdf if chunked is None else chunked.where(F.col("_chunk") == ci).drop("_chunk")
+        rows = part.orderBy("query_id").collect()
+        qids = [r["query_id"] for r in rows]
+        qmat = np.array([r["embedding"] for r in rows], dtype=np.float64)
+        bq = sc.broadcast((qids, qmat))
+        run = _local_topk_bc(bq, k, id_col)
+        local = vectors.select(F.col(id_col).cast("string").alias(id_col), "embedding").mapInPandas(
+            run, f"query_id string, {id_col} string, score double")
+        chunks.append(local)
+    local = chunks[0]
+    for c in chunks[1:]:
+        local = local.unionByName(c)
+    return top_k_per_group(local, ["query_id"], [F.col("score").desc(), F.col(id_col)], k)
+
+
+def _local_topk_bc(bq, k, id_col):
+    def run(batches):
+        qids, qmat = bq.value
+        yield from _local_topk(qids, qmat, k, id_col)(batches)
+
+    return run
+
+
+def greedy_dedup(cands: DataFrame, threshold: float = SEARCH.dedup_threshold, id_col: str = "thread_id") -> DataFrame:
+    """V5: walk each query's candidates in rank order, dropping a candidate whose
+    cosine with any *kept* one is strictly above ``threshold`` (no refill).
+
+    ``cands``: (query_id, id, score, rank, embedding).  The walk is an
+    ``aggregate`` over the query's rank-sorted candidate array (bounded by k).
+    """
+    item = F.struct(F.col("rank"), F.col(id_col), F.col("score"), l2_normalize("embedding").alias("u"))
+    per_q = cands.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("c"))
+    empty = F.filter(F.col("c"), lambda x: F.lit(False))
+
+    def step(acc, x):
+        dup = F.exists(acc, lambda y: dot(x["u"], y["u"]) > F.lit(threshold))
+        return F.when(dup, acc).otherwise(F.concat(acc, F.array(x)))
+
+    kept = per_q.select("query_id", F.aggregate("c", empty, step).alias("k"))
+    return kept.select("query_id", F.inline("k")).drop("u")

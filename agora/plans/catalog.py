@@ -346,3 +346,95 @@ def q_sentiment_over_time(spark, sf_dir):
 @query("home_feed")
 def q_home_feed(spark, sf_dir):
     return ru.home_feed(trending_given_topics(spark, sf_dir).cards)
+
+
+# --------------------------------------------------------------- vectors and search
+from ..operators import search as sr  # noqa: E402
+from ..operators import vectors as vx  # noqa: E402
+
+
+def label_queries(spark, sf_dir):
+    """Search queries derived from the data: one unit centroid per label of the planted vectors."""
+    return vx.centroids(fx.planted_vectors(spark, sf_dir), "label", "label-")
+
+
+def _round_vec(c):
+    return F.transform(c, lambda x: F.round(x, 6))
+
+
+@query("l2_normalize")
+def q_l2_normalize(spark, sf_dir):
+    v = fx.store_vectors(spark, sf_dir)
+    return v.select("thread_id", _round_vec(vx.l2_normalize("embedding")).alias("unit"))
+
+
+@query("query_centroids")
+def q_query_centroids(spark, sf_dir):
+    return label_queries(spark, sf_dir).select("query_id", _round_vec("embedding").alias("embedding"))
+
+
+@query("cosine_topk")
+def q_cosine_topk(spark, sf_dir):
+    top = vx.cosine_topk(label_queries(spark, sf_dir), fx.planted_vectors(spark, sf_dir), k=5)
+    return top.select("query_id", "thread_id", r6("score").alias("score"), "rank")
+
+
+@query("greedy_dedup")
+def q_greedy_dedup(spark, sf_dir):
+    vec = fx.planted_vectors(spark, sf_dir)
+    top = vx.cosine_topk(label_queries(spark, sf_dir), vec, k=20)
+    kept = vx.greedy_dedup(top.join(vec.select("thread_id", "embedding"), "thread_id"))
+    return kept.select("query_id", "thread_id", r6("score").alias("score"), "rank")
+
+
+def _search_parts(spark, sf_dir):
+    q = label_queries(spark, sf_dir)
+    matched = sr.matched_threads(q, fx.planted_vectors(spark, sf_dir))
+    return q, matched, trending_threads(spark, sf_dir), fx.comments(spark, sf_dir)
+
+
+@query("query_context")
+def q_query_context(spark, sf_dir):
+    q, matched, threads, comments = _search_parts(spark, sf_dir)
+    return sr.query_context(q, matched, threads, comments)
+
+
+@query("query_summary")
+def q_query_summary(spark, sf_dir):
+    q, matched, threads, comments = _search_parts(spark, sf_dir)
+    return sr.query_context(q, matched, threads, comments).select("query_id", tx.query_summary("context").alias("summary"))
+
+
+def _flat_cards(spark, sf_dir):
+    q, matched, threads, comments = _search_parts(spark, sf_dir)
+    c = sr.thread_cards(matched, threads, comments)
+    return c.select(
+        "query_id", "thread_id", "title", "url", "score", "num_comments", "similarity", "sentiment_avg",
+        F.col("sentiment_dist.positive").alias("positive"), F.col("sentiment_dist.neutral").alias("neutral"),
+        F.col("sentiment_dist.negative").alias("negative"),
+        F.size("comment_timeline").cast("long").alias("n_days"),
+        F.aggregate("comment_timeline", F.lit(0).cast("long"), lambda a, p: a + p["count"]).alias("timeline_count"))
+
+
+@query("thread_cards")
+def q_thread_cards(spark, sf_dir):
+    return _flat_cards(spark, sf_dir)
+
+
+@query("similarity_pct")
+def q_similarity_pct(spark, sf_dir):
+    return _flat_cards(spark, sf_dir).select("query_id", "thread_id", sc.similarity_pct("similarity").alias("similarity_pct"))
+
+
+@query("sentiment_share")
+def q_sentiment_share(spark, sf_dir):
+    c = _flat_cards(spark, sf_dir)
+    s = sc.sentiment_share("positive", "neutral", "negative")
+    return c.select("query_id", "thread_id", s.alias("s")).select(
+        "query_id", "thread_id", *[r6(F.col(f"s.{k}")).alias(k) for k in ("positive_pct", "neutral_pct", "negative_pct")])
+
+
+@query("search")
+def q_search(spark, sf_dir):
+    q, _, threads, comments = _search_parts(spark, sf_dir)
+    return sr.search(q, fx.planted_vectors(spark, sf_dir), threads, comments)

@@ -87,13 +87,15 @@ def _closure(names: list[str]) -> list[str]:
 
 
 def sql(uses: list[str], body: str, ctes: list[tuple[str, str]] = ()) -> str:
-    """WITH <fixtures and shared CTEs used> [, own ctes] <body>."""
+    """WITH [RECURSIVE] <fixtures and shared CTEs used> [, own ctes] <body>."""
     parts = []
     for n in _closure(uses):
         text = FX.get(n) or DERIVED[n]
         parts.append(f"{n} AS ({text.strip()})")
     parts += [f"{n} AS ({t.strip()})" for n, t in ctes]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body.strip()
+    head = "WITH RECURSIVE " if any("RECURSIVE" in t for _, t in ctes) else "WITH "
+    parts = [p.replace("/*RECURSIVE*/", "") for p in parts]
+    return (head + ",\n".join(parts) + "\n" if parts else "") + body.strip()
 
 
 ORACLE: dict[str, str] = {}
@@ -394,3 +396,92 @@ LEFT JOIN (
     sum(CAST(s.negative AS DOUBLE) / (s.positive + s.neutral + s.negative) * d.count) AS neg
   FROM tdaily d JOIN tstats s ON s.topic_id = d.topic_id
   WHERE s.total_comments > 0 AND s.positive + s.neutral + s.negative > 0 GROUP BY d.date) x ON x.date = l.date""")
+
+# --------------------------------------------------------------- vectors and search
+DERIVED["qcent"] = """SELECT 'label-' || label AS query_id, 'label-' || label AS query_text,
+  list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS embedding FROM (
+  SELECT label, list(x ORDER BY pos) AS v FROM (
+    SELECT label, pos, avg(x) AS x FROM (
+      SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS pos FROM fx_vec3)
+    GROUP BY label, pos) GROUP BY label)"""
+DEPENDS["qcent"] = ["fx_vec3"]
+
+
+def _ctop(k: int) -> str:
+    return f"""SELECT query_id, thread_id, score, rank FROM (
+  SELECT q.query_id, v.thread_id, list_dot_product(v.embedding, q.embedding) AS score,
+    row_number() OVER (PARTITION BY q.query_id ORDER BY list_dot_product(v.embedding, q.embedding) DESC, v.thread_id) AS rank
+  FROM qcent q CROSS JOIN fx_vec3 v) WHERE rank <= {k}"""
+
+
+def _greedy(k: int) -> list[tuple[str, str]]:
+    return [
+        ("cand", f"""SELECT c.query_id, c.thread_id, c.score, c.rank, v.embedding AS u
+  FROM ({_ctop(k)}) c JOIN fx_vec3 v ON v.thread_id = c.thread_id"""),
+        ("walk", """/*RECURSIVE*/ SELECT query_id, rank, [thread_id] AS kept_ids, [u] AS kept_vecs FROM cand WHERE rank = 1
+  UNION ALL
+  SELECT w.query_id, c.rank,
+    CASE WHEN len(list_filter(w.kept_vecs, lambda y: list_dot_product(y, c.u) > 0.92)) > 0
+         THEN w.kept_ids ELSE list_append(w.kept_ids, c.thread_id) END,
+    CASE WHEN len(list_filter(w.kept_vecs, lambda y: list_dot_product(y, c.u) > 0.92)) > 0
+         THEN w.kept_vecs ELSE list_append(w.kept_vecs, c.u) END
+  FROM walk w JOIN cand c ON c.query_id = w.query_id AND c.rank = w.rank + 1"""),
+        ("kept", """SELECT c.query_id, c.thread_id, c.score, c.rank FROM cand c
+  JOIN (SELECT w.query_id, w.kept_ids FROM walk w
+        JOIN (SELECT query_id, max(rank) AS r FROM cand GROUP BY query_id) m ON m.query_id = w.query_id AND m.r = w.rank) f
+    ON f.query_id = c.query_id WHERE list_contains(f.kept_ids, c.thread_id)"""),
+    ]
+
+
+oracle("l2_normalize", ["fx_store"], """
+SELECT thread_id, list_transform(embedding, lambda x: round(x / sqrt(list_dot_product(embedding, embedding)), 6)) AS unit
+FROM fx_store""")
+oracle("query_centroids", ["qcent"], "SELECT query_id, list_transform(embedding, lambda x: round(x, 6)) AS embedding FROM qcent")
+oracle("cosine_topk", ["qcent", "fx_vec3"], f"SELECT query_id, thread_id, round(score, 6) AS score, rank FROM ({_ctop(5)})")
+oracle("greedy_dedup", ["qcent", "fx_vec3"], "SELECT query_id, thread_id, round(score, 6) AS score, rank FROM kept",
+       _greedy(20))
+
+_SEARCH_CTES = _greedy(5) + [
+    ("sthreads", f"SELECT *, {d_tas('title', 'selftext')} AS title_and_selftext FROM fx_threads"),
+    ("mcom", """SELECT k.query_id, c.* FROM csent c JOIN kept k ON k.thread_id = c.thread_id"""),
+    ("ctopc", f"""SELECT query_id, thread_id, string_agg('  - ' || b, chr(10) ORDER BY rank) AS clines FROM (
+  SELECT query_id, thread_id, {d_strip("replace(substr(coalesce(body, ''), 1, 200), chr(10), ' ')")} AS b,
+    row_number() OVER (PARTITION BY query_id, thread_id ORDER BY score DESC NULLS LAST, comment_id) AS rank
+  FROM mcom) WHERE rank <= 5 AND b <> '' GROUP BY query_id, thread_id"""),
+    ("blocks", f"""SELECT k.query_id, t.thread_id,
+  concat_ws(chr(10), 'Thread: ' || {d_strip("replace(substr(t.title_and_selftext, 1, 300), chr(10), ' ')")}, x.clines, '') AS block
+  FROM kept k JOIN sthreads t ON t.thread_id = k.thread_id
+  LEFT JOIN ctopc x ON x.query_id = k.query_id AND x.thread_id = k.thread_id"""),
+    ("qctx", """SELECT q.query_id, substr(CASE WHEN b.body IS NULL THEN h ELSE h || chr(10) || b.body END, 1, 3000) AS context
+  FROM (SELECT query_id, 'USER QUERY: ' || query_text || chr(10) || chr(10) || 'RELEVANT REDDIT THREADS:' || chr(10) AS h
+        FROM qcent) q
+  LEFT JOIN (SELECT query_id, string_agg(block, chr(10) ORDER BY thread_id) AS body FROM blocks GROUP BY query_id) b
+    ON b.query_id = q.query_id"""),
+    ("tcards", f"""SELECT k.query_id, k.thread_id, {d_strip("substr(t.title_and_selftext, 1, 200)")} AS title,
+  coalesce(t.external_url, '') AS url, coalesce(t.score, 0) AS score, coalesce(t.num_comments, 0) AS num_comments,
+  round(coalesce(k.score, 0.0), 3) AS similarity,
+  coalesce(st.sentiment_avg, 0.0) AS sentiment_avg, coalesce(st.positive, 0) AS positive,
+  coalesce(st.neutral, 0) AS neutral, coalesce(st.negative, 0) AS negative,
+  (SELECT count(DISTINCT strftime(m.created_utc, '%Y-%m-%d')) FROM mcom m
+     WHERE m.query_id = k.query_id AND m.thread_id = k.thread_id AND m.created_utc IS NOT NULL) AS n_days,
+  (SELECT count(m.created_utc) FROM mcom m WHERE m.query_id = k.query_id AND m.thread_id = k.thread_id) AS timeline_count
+  FROM kept k JOIN sthreads t ON t.thread_id = k.thread_id
+  LEFT JOIN (SELECT query_id, thread_id, {DIST}, round(coalesce(avg(compound), 0.0), 3) AS sentiment_avg
+             FROM mcom GROUP BY 1, 2) st ON st.query_id = k.query_id AND st.thread_id = k.thread_id"""),
+]
+_SEARCH_USES = ["qcent", "fx_vec3", "fx_threads", "csent"]
+oracle("query_context", _SEARCH_USES, "SELECT query_id, context FROM qctx", _SEARCH_CTES)
+oracle("query_summary", _SEARCH_USES, f"""
+SELECT query_id, '[Placeholder summary] Based on the matched threads: ' || substr(array_to_string(list_slice(
+  list_transform(list_filter(string_split(context, chr(10)), lambda l: {d_strip('l')} <> '' AND NOT starts_with(l, 'USER QUERY')),
+                 lambda l: {d_strip('l')}), 1, 3), ' '), 1, 200) || '...' AS summary FROM qctx""", _SEARCH_CTES)
+oracle("thread_cards", _SEARCH_USES, "SELECT * FROM tcards", _SEARCH_CTES)
+oracle("similarity_pct", _SEARCH_USES,
+       "SELECT query_id, thread_id, CAST(floor(similarity * 100 + 0.5) AS BIGINT) AS similarity_pct FROM tcards",
+       _SEARCH_CTES)
+oracle("sentiment_share", _SEARCH_USES, """
+SELECT query_id, thread_id,
+  CASE WHEN t > 0 THEN round(100.0 * positive / t, 6) END AS positive_pct,
+  CASE WHEN t > 0 THEN round(100.0 * neutral / t, 6) END AS neutral_pct,
+  CASE WHEN t > 0 THEN round(100.0 - 100.0 * positive / t - 100.0 * neutral / t, 6) END AS negative_pct
+FROM (SELECT *, positive + neutral + negative AS t FROM tcards)""", _SEARCH_CTES)
