@@ -438,3 +438,53 @@ def q_sentiment_share(spark, sf_dir):
 def q_search(spark, sf_dir):
     q, _, threads, comments = _search_parts(spark, sf_dir)
     return sr.search(q, fx.planted_vectors(spark, sf_dir), threads, comments)
+
+
+# --------------------------------------------------------------- clustering, embedding, batch
+from ..operators import cluster as cu  # noqa: E402
+from ..operators import embed as em  # noqa: E402
+from ..operators import prompts as pr  # noqa: E402
+from ..sources import html as hx  # noqa: E402
+
+
+@query("reduce_dims")
+def q_reduce_dims(spark, sf_dir):
+    return cu.reduce_dims(fx.planted_vectors(spark, sf_dir, alpha=2.0).select("thread_id", "embedding"))
+
+
+@query("topic_clusters")
+def q_topic_clusters(spark, sf_dir):
+    v = fx.planted_vectors(spark, sf_dir, alpha=2.0).select("thread_id", "embedding")
+    return cu.topic_clusters(v)
+
+
+@query("trending_topics")
+def q_trending_topics(spark, sf_dir):
+    store = fx.planted_vectors(spark, sf_dir, alpha=2.0).select("thread_id", "embedding")
+    return tg.trending_topics(trending_threads(spark, sf_dir), fx.comments(spark, sf_dir), store).cards
+
+
+@query("embed_texts")
+def q_embed_texts(spark, sf_dir):
+    return em.embed(trending_threads(spark, sf_dir), "title_and_selftext")
+
+
+@query("strip_html")
+def q_strip_html(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", hx.strip_html("html").alias("text"))
+
+
+@query("page_main_text")
+def q_page_main_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", "url", hx.page_main_text("html").alias("text"))
+
+
+@query("prompt_payloads")
+def q_prompt_payloads(spark, sf_dir):
+    _, scored = tg.scored_docs(trending_threads(spark, sf_dir), fx.comments(spark, sf_dir), fx.topics(spark, sf_dir))
+    topic = pr.topic_prompts(cd.topic_context(scored)).select(
+        F.concat(F.lit("topic-"), F.col("topic_id").cast("string")).alias("key"), "prompt")
+    q, matched, threads, comments = _search_parts(spark, sf_dir)
+    qp = pr.query_prompts(sr.query_context(q, matched, threads, comments)).select(
+        F.concat(F.lit("query-"), F.col("query_id")).alias("key"), "prompt")
+    return topic.unionByName(qp)

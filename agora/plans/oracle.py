@@ -485,3 +485,11 @@ SELECT query_id, thread_id,
   CASE WHEN t > 0 THEN round(100.0 * neutral / t, 6) END AS neutral_pct,
   CASE WHEN t > 0 THEN round(100.0 - 100.0 * positive / t - 100.0 * neutral / t, 6) END AS negative_pct
 FROM (SELECT *, positive + neutral + negative AS t FROM tcards)""", _SEARCH_CTES)
+
+# --------------------------------------------------------------- prompts
+from ..operators.prompts import QUERY_INSTRUCTIONS, TOPIC_INSTRUCTIONS  # noqa: E402
+
+oracle("prompt_payloads", _SEARCH_USES + ["allctx"], f"""
+SELECT 'topic-' || topic_id AS key, {_q(TOPIC_INSTRUCTIONS)} || context AS prompt FROM allctx
+UNION ALL
+SELECT 'query-' || query_id AS key, {_q(QUERY_INSTRUCTIONS)} || context AS prompt FROM qctx""", _SEARCH_CTES)
