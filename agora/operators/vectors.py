@@ -130,6 +130,8 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = SEARCH.top_k_th
     for ci in range(n_chunks):
         part = qdf if chunked is None else chunked.where(F.col("_chunk") == ci).drop("_chunk")
         rows = part.orderBy("query_id").collect()
+        if not rows:
+            continue
         qids = [r["query_id"] for r in rows]
         qmat = np.array([r["embedding"] for r in rows], dtype=np.float64)
         bq = sc.broadcast((qids, qmat))
