@@ -49,7 +49,7 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def lexicon_map(lexicon: DataFrame | dict | None = None) -> Column:
+def lexicon_map(lexicon: DataFrame | dict | None = None, with_keys: bool = False):
     """Map literal from a lexicon whose size is checked against ``MAX_MAP_LEXICON``."""
     if lexicon is None:
         lexicon = DEFAULT_LEXICON
@@ -59,8 +59,8 @@ def lexicon_map(lexicon: DataFrame | dict | None = None) -> Column:
             raise ValueError(f"lexicon has {n} entries; use compound_by_join")
         lexicon = {r["token"]: float(r["valence"]) for r in lexicon.collect()}
     keys = list(lexicon)
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in keys]),
-                             F.array(*[F.lit(float(lexicon[k])) for k in keys]))
+    m = F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.lit(float(lexicon[k])) for k in keys]))
+    return (m, keys) if with_keys else m
 
 
 def tokens(c) -> Column:
@@ -82,7 +82,7 @@ def sentiment_compound(c, lexicon: DataFrame | dict | None = None) -> Column:
     Tokens and negator flags are computed once per row; each token then
     looks back at most three flags.
     """
-    lex = lexicon_map(lexicon)
+    lex, keys = lexicon_map(lexicon, with_keys=True)
 
     def with_tokens(toks):
         def with_flags(flags):
@@ -93,8 +93,10 @@ def sentiment_compound(c, lexicon: DataFrame | dict | None = None) -> Column:
                     out = out | x
                 return out
 
-            vals = F.transform(toks, lambda t, i: F.when(negated(i), F.lit(NEGATION_SCALE)).otherwise(F.lit(1.0))
-                               * F.coalesce(F.element_at(lex, t), F.lit(0.0)))
+            # hash-set membership first (InSet); the map lookup runs for hits only
+            vals = F.transform(toks, lambda t, i: F.when(
+                t.isin(keys), F.element_at(lex, t) * F.when(negated(i), F.lit(NEGATION_SCALE)).otherwise(F.lit(1.0))
+            ).otherwise(F.lit(0.0)))
             return compound_from_sum(F.aggregate(vals, F.lit(0.0), lambda a, x: a + x))
 
         return _let(F.transform(toks, lambda t: t.isin(NEGATORS)), with_flags)

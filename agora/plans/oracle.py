@@ -117,8 +117,11 @@ EMOJI = (r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\
          r"\x{2600}-\x{2B55}\x{200D}\x{23CF}\x{23E9}\x{231A}\x{FE0F}\x{3030}]+")
 
 
+WS_STRIP = WS.replace(r"\r ", r"\r\x1c-\x1f ")
+
+
 def d_strip(x: str) -> str:
-    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+    return f"regexp_replace({x}, '^{WS_STRIP}+|{WS_STRIP}+$', '', 'g')"
 
 
 def d_collapse(x: str) -> str:

@@ -79,7 +79,7 @@ def strip_html(c) -> Column:
     """Entity-unescape first, then text of the markup; rows without '<'/'&' only strip."""
     from ..functions.text import strip_ws
     c = F.col(c) if isinstance(c, str) else c
-    needs = c.rlike("[<&]")
+    needs = (F.instr(c, "<") > 0) | (F.instr(c, "&") > 0)
     return F.when(c.isNull(), F.lit(None)).when(needs, html_text_udf(F.when(needs, c))).otherwise(strip_ws(c))
 
 
