@@ -40,6 +40,12 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` (a lambda variable), so
+    guards like ``when(test(v), f(v)).otherwise(v)`` do not copy ``value``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_ws(c) -> Column:
     """Python ``str.strip()``: remove leading/trailing whitespace (``btrim`` over the
     ``str.isspace()`` set: linear in the trimmed ends, no regex)."""
@@ -55,8 +61,7 @@ def remove_urls(c) -> Column:
     """Drop URLs; a scheme-less '://x' also goes, trailing punctuation stays.
 
     The regex only runs on values containing '://' (a plain substring test)."""
-    c = _c(c)
-    return F.when(F.instr(c, "://") > 0, F.regexp_replace(c, URL_PATTERN, "")).otherwise(c)
+    return _let(_c(c), lambda v: F.when(F.instr(v, "://") > 0, F.regexp_replace(v, URL_PATTERN, "")).otherwise(v))
 
 
 def remove_emojis(c) -> Column:
@@ -64,8 +69,8 @@ def remove_emojis(c) -> Column:
 
     Every listed code point is above U+200C, so values without such a
     character skip the (costly, astral-range) replacement."""
-    c = _c(c)
-    return F.when(c.rlike(r"[^\x{0}-\x{200C}]"), F.regexp_replace(c, EMOJI_CLASS, "")).otherwise(c)
+    return _let(_c(c), lambda v: F.when(v.rlike(r"[^\x{0}-\x{200C}]"), F.regexp_replace(v, EMOJI_CLASS, ""))
+                .otherwise(v))
 
 
 def remove_quotes(c) -> Column:
@@ -81,15 +86,13 @@ def remove_quotes(c) -> Column:
 
 def blank_markers(c) -> Column:
     """T6: '[deleted]', '[removed]', 'nan', 'none' (any case, untrimmed) and null -> ''."""
-    c = _c(c)
-    return F.when(c.isNull() | F.lower(c).isin(*BLANK_MARKERS), F.lit("")).otherwise(c)
+    return _let(_c(c), lambda v: F.when(v.isNull() | F.lower(v).isin(*BLANK_MARKERS), F.lit("")).otherwise(v))
 
 
 def flatten_newlines(c) -> Column:
     """'\\r\\n', '\\n', '\\r' -> ' ' (each)."""
-    c = _c(c)
-    crlf = F.when(F.instr(c, "\r\n") > 0, F.regexp_replace(c, "\r\n", " ")).otherwise(c)
-    return F.translate(crlf, "\n\r", "  ")
+    return _let(_c(c), lambda v: F.translate(
+        F.when(F.instr(v, "\r\n") > 0, F.regexp_replace(v, "\r\n", " ")).otherwise(v), "\n\r", "  "))
 
 
 def normalize_text(c, html: bool = True) -> Column:
@@ -98,13 +101,36 @@ def normalize_text(c, html: bool = True) -> Column:
     The HTML step runs the Arrow-batched parser only on rows containing '<' or
     '&' (others get null and pass through the cheap ``strip_ws`` branch).
     """
-    x = flatten_newlines(blank_markers(c))
-    if html:
-        from ..sources.html import html_text_udf
-        needs = (F.instr(x, "<") > 0) | (F.instr(x, "&") > 0)
-        parsed = html_text_udf(F.when(needs, x))
-        x = F.when(needs, parsed).otherwise(strip_ws(x))
-    return strip_ws(collapse_ws(remove_emojis(remove_urls(x))))
+    return _let(html_text(flatten_newlines(blank_markers(c)), html), _post_html)
+
+
+def _post_html(v: Column) -> Column:
+    return strip_ws(collapse_ws(remove_emojis(remove_urls(strip_ws(v)))))
+
+
+def html_text(x: Column, html: bool = True) -> Column:
+    """T2 inside T7: the Arrow-batched parser only sees rows holding '<' or '&'."""
+    if not html:
+        return x
+    from ..sources.html import html_text_udf
+    # Python UDFs cannot sit inside a lambda, so this step is not let-bound;
+    # its input (markers + newlines) is cheap to repeat.
+    needs = (F.instr(x, "<") > 0) | (F.instr(x, "&") > 0)
+    return F.coalesce(html_text_udf(F.when(needs, x)), x)
+
+
+def pre_html(c) -> Column:
+    """T7 steps before the HTML parse: blank markers, newlines -> spaces."""
+    return flatten_newlines(blank_markers(c))
+
+
+def normalize_from_pre(pre, html: bool = True, with_words: bool = False) -> Column:
+    """T7 from the ``pre_html`` value (best bound to a column first, as the HTML
+    test reads it several times); ``with_words`` adds T9 as struct(text, n_words)."""
+    v = html_text(_c(pre), html)
+    if not with_words:
+        return _let(v, _post_html)
+    return _let(v, lambda x: _let(_post_html(x), lambda b: F.struct(b.alias("text"), word_count(b).alias("n_words"))))
 
 
 def flair_norm(c) -> Column:

@@ -29,7 +29,8 @@ def clean_threads(threads: DataFrame, image_ids: DataFrame | None = None) -> Dat
         t = t.withColumn("link_flair_text", tx.flair_norm("link_flair_text"))
     else:
         t = t.withColumn("link_flair_text", F.lit("[no flair]"))
-    return t.withColumn("title_and_selftext", tx.normalize_text(tx.title_and_selftext("title", "selftext")))
+    t = t.withColumn("_pre", tx.pre_html(tx.title_and_selftext("title", "selftext")))
+    return t.withColumn("title_and_selftext", tx.normalize_from_pre("_pre")).drop("_pre")
 
 
 def drop_short_comments(comments: DataFrame, min_words: int = CLEANING.min_words) -> DataFrame:
@@ -38,5 +39,8 @@ def drop_short_comments(comments: DataFrame, min_words: int = CLEANING.min_words
 
 
 def clean_comments(comments: DataFrame, min_words: int = CLEANING.min_words) -> DataFrame:
-    body = tx.normalize_text(tx.remove_quotes(F.coalesce(F.col("body"), F.lit(""))))
-    return drop_short_comments(comments.withColumn("body", body), min_words)
+    pre = comments.withColumn("_pre", tx.pre_html(tx.remove_quotes(F.coalesce(F.col("body"), F.lit("")))))
+    out = pre.withColumn("_nb", tx.normalize_from_pre("_pre", with_words=True)).drop("_pre") \
+        .withColumn("body", F.col("_nb.text")) \
+        .withColumn("body_len", F.col("_nb.n_words")).drop("_nb")
+    return out.where(F.col("body_len") >= min_words)
