@@ -41,3 +41,15 @@ def test_streaming_cleaning_matches_batch(spark):
     got = sorted((r.comment_id, r.body) for r in spark.sql("SELECT * FROM agora_clean").collect())
     want = sorted((r.comment_id, r.body) for r in cleaned_comments(df).collect())
     assert got == want == [("c1", "this is good stuff")]
+
+
+def test_ingest_and_embed_writes_tables(spark):
+    from agora.plans.batch import ingest_and_embed
+    from agora.sources import fixtures as fx
+    out = tempfile.mkdtemp(prefix="agora-batch-", dir="/tmp")
+    t = fx.threads(spark, "/root/testdata/sf0.001")
+    c = fx.comments(spark, "/root/testdata/sf0.001")
+    ingest_and_embed(spark, t, c, out)
+    v = io.read_embeddings(spark, f"{out}/embeddings")
+    assert v.count() == t.count()
+    assert spark.read.parquet(f"{out}/comments").where("body_len < 3").count() == 0
