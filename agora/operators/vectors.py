@@ -115,7 +115,14 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = SEARCH.top_k_th
     re-normalised).  Returns (query_id, id, score, rank), rank 1 = best.
     """
     qcol = l2_normalize("embedding") if normalize_queries else F.col("embedding")
-    qdf = queries.select(F.col("query_id").cast("string").alias("query_id"), qcol.alias("embedding"))
+    qdf = queries.select(F.col("query_id").cast("string").alias("query_id"), qcol.alias("embedding")).cache()
+    try:
+        return _cosine_topk(qdf, vectors, k, id_col)
+    finally:
+        qdf.unpersist()
+
+
+def _cosine_topk(qdf: DataFrame, vectors: DataFrame, k: int, id_col: str) -> DataFrame:
     n_q = qdf.count()
     if n_q == 0:
         return vectors.sparkSession.createDataFrame([], f"query_id string, {id_col} string, score double, rank int")
