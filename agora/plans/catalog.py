@@ -19,8 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(name: str):
+    """Register ``fn``; the session time zone is pinned to UTC (day buckets and
+    timestamps are UTC-based, as in the analysed application)."""
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+        run.__name__ = run.__qualname__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         return fn
     return deco
 
@@ -55,7 +62,7 @@ def docs_text(spark, sf_dir):
 
 
 def _text_query(name, out, fn):
-    QUERIES[name] = lambda spark, sf_dir: docs_text(spark, sf_dir).select("doc_id", fn(F.col("text")).alias(out))
+    query(name)(lambda spark, sf_dir: docs_text(spark, sf_dir).select("doc_id", fn(F.col("text")).alias(out)))
 
 
 _text_query("collapse_ws", "collapsed", tx.collapse_ws)
