@@ -3,14 +3,18 @@
 The lexicon is data (token -> valence).  A lexicon of checked size becomes
 one map literal shipped with the plan, so scoring is a per-row JVM expression
 (no shuffle, no Python).  Beyond the size bound ``compound_by_join`` scores
-through an explode + join + grouped sum instead.
-
-Rules (after Hutto & Gilbert, 2014, in simplified form; numeric parity with
-any particular library is not claimed):
-  * tokens: lower-cased runs of letters, digits and apostrophes;
-  * a token's valence is flipped and damped when one of the three preceding
-    tokens is a negator;
-  * compound = s / sqrt(s^2 + 15), s = sum of token valences.
+through an explode + join + grouped sum with the same rules.
+
+Rules, after the published heuristics of Hutto & Gilbert (2014); numeric
+parity with any particular library is not claimed:
+  * tokens: runs of letters, digits and apostrophes, matched lower-cased;
+  * booster words within the three preceding tokens add (or, before a
+    negative word, subtract) their weight, damped by distance;
+  * an ALL-CAPS sentiment word in mixed-case text gains emphasis;
+  * a negator within the three preceding tokens flips and damps the valence;
+  * words before the first "but" count half, words after it one and a half;
+  * '!' (up to 4) and '?' (more than one) push the sum away from zero;
+  * compound = s / sqrt(s^2 + 15), s = the adjusted sum.
 """
 
 from __future__ import annotations
@@ -20,14 +24,26 @@ from pyspark.sql import functions as F
 
 from ..params import SENTIMENT_NEGATIVE, SENTIMENT_POSITIVE
 
-# Normalisation constant, negation damping and window.
+# Normalisation constant and rule weights (Hutto & Gilbert 2014).
 COMPOUND_ALPHA = 15.0
 NEGATION_SCALE = -0.74
 NEGATION_WINDOW = 3
+BOOSTER_WEIGHT = 0.293
+BOOSTER_DAMPING = [1.0, 0.95, 0.9]
+CAPS_EMPHASIS = 0.733
+BUT_BEFORE, BUT_AFTER = 0.5, 1.5
+EXCLAMATION_WEIGHT, EXCLAMATION_MAX = 0.292, 4
+QUESTION_WEIGHT, QUESTION_MAX, QUESTION_CAP = 0.18, 3, 0.96
 # Negators (English, French, German, Spanish).
 NEGATORS = ["not", "no", "never", "none", "nobody", "nothing", "neither", "nor", "cannot",
             "isn't", "aren't", "wasn't", "don't", "doesn't", "didn't", "won't", "can't",
             "ne", "pas", "jamais", "nicht", "kein", "keine", "nie", "nunca", "nada"]
+# Booster words (+ weight) and dampeners (- weight); our own short list.
+BOOSTERS = {w: BOOSTER_WEIGHT for w in [
+    "absolutely", "completely", "deeply", "extremely", "highly", "hugely", "incredibly", "really",
+    "so", "totally", "truly", "utterly", "very", "especially", "particularly", "remarkably", "most"]}
+BOOSTERS.update({w: -BOOSTER_WEIGHT for w in [
+    "almost", "barely", "hardly", "kinda", "less", "marginally", "partly", "scarcely", "slightly", "somewhat"]})
 # The default lexicon (our own small general-purpose list).
 DEFAULT_LEXICON = {
     "good": 1.9, "great": 3.1, "excellent": 3.2, "best": 3.2, "better": 1.9, "love": 3.2,
@@ -49,6 +65,16 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _map(d: dict) -> Column:
+    keys = list(d)
+    return F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.lit(float(d[k])) for k in keys]))
+
+
 def lexicon_map(lexicon: DataFrame | dict | None = None, with_keys: bool = False):
     """Map literal from a lexicon whose size is checked against ``MAX_MAP_LEXICON``."""
     if lexicon is None:
@@ -58,67 +84,113 @@ def lexicon_map(lexicon: DataFrame | dict | None = None, with_keys: bool = False
         if n > MAX_MAP_LEXICON:
             raise ValueError(f"lexicon has {n} entries; use compound_by_join")
         lexicon = {r["token"]: float(r["valence"]) for r in lexicon.collect()}
-    keys = list(lexicon)
-    m = F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.lit(float(lexicon[k])) for k in keys]))
-    return (m, keys) if with_keys else m
+    m = _map(lexicon)
+    return (m, list(lexicon)) if with_keys else m
+
+
+def raw_tokens(c) -> Column:
+    return F.filter(F.split(F.coalesce(_c(c), F.lit("")), TOKEN_SPLIT), lambda t: t != "")
 
 
 def tokens(c) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(_c(c), F.lit(""))), TOKEN_SPLIT), lambda t: t != "")
+    """Lower-cased tokens."""
+    return F.transform(raw_tokens(c), lambda t: F.lower(t))
 
 
 def compound_from_sum(s: Column) -> Column:
     return s / F.sqrt(s * s + F.lit(COMPOUND_ALPHA))
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def _count_char(text: Column, ch: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
+
+
+def punctuation_emphasis(text: Column) -> Column:
+    ex = F.least(_count_char(text, "!"), F.lit(EXCLAMATION_MAX)) * F.lit(EXCLAMATION_WEIGHT)
+    q = _count_char(text, "?")
+    qe = F.when(q > 1, F.when(q <= QUESTION_MAX, q * F.lit(QUESTION_WEIGHT)).otherwise(F.lit(QUESTION_CAP))) \
+        .otherwise(F.lit(0.0))
+    return ex + qe
+
+
+def _adjust(base: Column, i: Column, raw: Column, neg: Column, boost: Column, but: Column, mixed: Column) -> Column:
+    """Valence of the lexicon word at 0-based position ``i`` after all word-level rules."""
+    r = F.get(raw, i)
+    caps = F.when(mixed & (r == F.upper(r)) & (r != F.lower(r)), F.signum(base) * F.lit(CAPS_EMPHASIS)).otherwise(F.lit(0.0))
+    b = F.lit(0.0)
+    for k, damp in enumerate(BOOSTER_DAMPING, start=1):
+        b = b + F.when(i >= k, F.coalesce(F.get(boost, i - k), F.lit(0.0)) * F.lit(damp)).otherwise(F.lit(0.0))
+    v = base + caps + F.when(base < 0, -b).otherwise(b)
+    negated = F.lit(False)
+    for k in range(1, NEGATION_WINDOW + 1):
+        negated = negated | ((i >= k) & F.coalesce(F.get(neg, i - k), F.lit(False)))
+    v = F.when(negated, v * F.lit(NEGATION_SCALE)).otherwise(v)
+    pos = but - 1  # 0-based index of the first "but", -1 when absent
+    return F.when(but > 0, F.when(i < pos, v * F.lit(BUT_BEFORE)).when(i > pos, v * F.lit(BUT_AFTER)).otherwise(v)) \
+        .otherwise(v)
+
+
+def _finish(s: Column, text: Column) -> Column:
+    ep = punctuation_emphasis(text)
+    s = F.when(s > 0, s + ep).when(s < 0, s - ep).otherwise(s)
+    return compound_from_sum(s)
+
+
+def _row_arrays(raw: Column, body):
+    """Bind the per-row arrays once: lower tokens, negator flags, booster weights, 'but' position, mixed case."""
+    boost_map, boost_keys = _map(BOOSTERS), list(BOOSTERS)
+
+    def with_low(low):
+        def with_neg(neg):
+            def with_boost(boost):
+                but = F.array_position(low, "but")
+                mixed = F.exists(raw, lambda t: t != F.upper(t))
+                return body(low, neg, boost, but, mixed)
+            return _let(F.transform(low, lambda t: F.when(t.isin(boost_keys), F.element_at(boost_map, t))
+                                    .otherwise(F.lit(0.0))), with_boost)
+        return _let(F.transform(low, lambda t: t.isin(NEGATORS)), with_neg)
+    return _let(F.transform(raw, lambda t: F.lower(t)), with_low)
 
 
 def sentiment_compound(c, lexicon: DataFrame | dict | None = None) -> Column:
     """Compound polarity in [-1, 1]; null text scores 0.
 
-    Tokens and negator flags are computed once per row; each token then
-    looks back at most three flags.
+    Per-row arrays are bound once; each token is tested against the lexicon
+    with a hash set (InSet) and only hits do the map lookup and the rules.
     """
     lex, keys = lexicon_map(lexicon, with_keys=True)
+    text = F.coalesce(_c(c), F.lit(""))
 
-    def with_tokens(toks):
-        def with_flags(flags):
-            def negated(i):
-                look = [(i >= k) & F.coalesce(F.get(flags, i - k), F.lit(False)) for k in range(1, NEGATION_WINDOW + 1)]
-                out = look[0]
-                for x in look[1:]:
-                    out = out | x
-                return out
-
-            # hash-set membership first (InSet); the map lookup runs for hits only
-            vals = F.transform(toks, lambda t, i: F.when(
-                t.isin(keys), F.element_at(lex, t) * F.when(negated(i), F.lit(NEGATION_SCALE)).otherwise(F.lit(1.0))
-            ).otherwise(F.lit(0.0)))
-            return compound_from_sum(F.aggregate(vals, F.lit(0.0), lambda a, x: a + x))
-
-        return _let(F.transform(toks, lambda t: t.isin(NEGATORS)), with_flags)
+    def with_raw(raw):
+        def body(low, neg, boost, but, mixed):
+            vals = F.transform(low, lambda t, i: F.when(
+                t.isin(keys), _adjust(F.element_at(lex, t), i, raw, neg, boost, but, mixed)).otherwise(F.lit(0.0)))
+            return _finish(F.aggregate(vals, F.lit(0.0), lambda a, x: a + x), text)
+        return _row_arrays(raw, body)
 
-    return _let(tokens(c), with_tokens)
+    return _let(raw_tokens(text), with_raw)
 
 
 def compound_by_join(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
     """E1 for lexicons too large for a map literal: explode, join, grouped sum.
 
-    Same tokens and negation rule; adds ``compound`` to ``df``.
+    Same tokens and rules; adds ``compound`` to ``df``.  Only lexicon hits
+    survive the join, so the grouped sum shuffles one partial row per comment
+    with a hit.
     """
-    negs = F.array(*[F.lit(w) for w in NEGATORS])
-    toks = df.select(id_col, tokens(text_col).alias("_toks"))
-    exploded = toks.select(id_col, "_toks", F.posexplode("_toks").alias("_i", "token"))
-    lo = F.greatest(F.col("_i") - NEGATION_WINDOW, F.lit(0))
-    negated = F.exists(F.slice("_toks", lo + 1, F.col("_i") - lo), lambda p: F.array_contains(negs, p))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    arrays = df.select(id_col, text.alias("_text"), raw_tokens(text).alias("_raw")).select(
+        id_col, "_text", "_raw",
+        _let(F.col("_raw"), lambda raw: _row_arrays(raw, lambda low, neg, boost, but, mixed: F.struct(
+            low.alias("low"), neg.alias("neg"), boost.alias("boost"), but.alias("but"), mixed.alias("mixed")))).alias("_a"))
+    exploded = arrays.select(id_col, "_raw", "_a", F.posexplode("_a.low").alias("_i", "token"))
     hits = exploded.join(lexicon.select("token", "valence"), "token").select(
-        id_col, F.when(negated, F.col("valence") * NEGATION_SCALE).otherwise(F.col("valence")).alias("v"))
+        id_col, _adjust(F.col("valence"), F.col("_i"), F.col("_raw"), F.col("_a.neg"), F.col("_a.boost"),
+                        F.col("_a.but"), F.col("_a.mixed")).alias("v"))
     sums = hits.groupBy(id_col).agg(F.sum("v").alias("_s"))
-    return df.join(sums, id_col, "left").withColumn(
-        "compound", compound_from_sum(F.coalesce(F.col("_s"), F.lit(0.0)))).drop("_s")
+    out = df.join(sums, id_col, "left")
+    return out.withColumn("compound", _finish(F.coalesce(F.col("_s"), F.lit(0.0)),
+                                              F.coalesce(F.col(text_col), F.lit("")))).drop("_s")
 
 
 def sentiment_bucket(c) -> Column:

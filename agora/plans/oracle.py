@@ -288,35 +288,64 @@ SELECT comment_id, thread_id, body, body_len FROM (
 WHERE body_len >= 3""")
 
 # --------------------------------------------------------------- sentiment
-from ..functions.sentiment import (COMPOUND_ALPHA, DEFAULT_LEXICON, NEGATION_SCALE,  # noqa: E402
-                                   NEGATION_WINDOW, NEGATORS)
+from ..functions import sentiment as _se  # noqa: E402
 
 
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-LEX_SQL = ("MAP([" + ", ".join(_q(k) for k in DEFAULT_LEXICON) + "], CAST(["
-           + ", ".join(repr(float(v)) for v in DEFAULT_LEXICON.values()) + "] AS DOUBLE[]))")
-NEG_SQL = "[" + ", ".join(_q(w) for w in NEGATORS) + "]"
+def _map_sql(d: dict) -> str:
+    return ("MAP([" + ", ".join(_q(k) for k in d) + "], CAST(["
+            + ", ".join(repr(float(v)) for v in d.values()) + "] AS DOUBLE[]))")
 
 
-def d_tokens(x: str) -> str:
-    return f"list_filter(string_split_regex(lower(coalesce({x}, '')), '[^\\pL\\pN'']+'), lambda t: t <> '')"
+LEX_SQL = _map_sql(_se.DEFAULT_LEXICON)
+BOOST_SQL = _map_sql(_se.BOOSTERS)
+NEG_SQL = "[" + ", ".join(_q(w) for w in _se.NEGATORS) + "]"
 
 
-def d_compound(toks: str) -> str:
-    v = f"coalesce(map_extract_value({LEX_SQL}, t), 0.0)"
-    neg = f"list_has_any(list_slice({toks}, greatest(i - {NEGATION_WINDOW}, 1), i - 1), {NEG_SQL})"
-    s = f"coalesce(list_sum(list_transform({toks}, lambda t, i: CASE WHEN {neg} THEN {v} * ({NEGATION_SCALE}) ELSE {v} END)), 0.0)"
-    return f"({s} / sqrt({s} * {s} + {COMPOUND_ALPHA}))"
+def d_raw_tokens(x: str) -> str:
+    return f"list_filter(string_split_regex(coalesce({x}, ''), '[^\\pL\\pN'']+'), lambda t: t <> '')"
+
+
+def _d_token_value() -> str:
+    """Per-token valence (lambda t, i over ``low``; 1-based i) with all word-level rules."""
+    base = f"map_extract_value({LEX_SQL}, t)"
+    caps = (f"CASE WHEN mixed AND upper(raw[i]) = raw[i] AND lower(raw[i]) <> raw[i] "
+            f"THEN sign({base}) * {_se.CAPS_EMPHASIS} ELSE 0.0 END")
+    boost = " + ".join(
+        f"CASE WHEN i > {k} THEN coalesce(map_extract_value({BOOST_SQL}, low[i - {k}]), 0.0) * {damp} ELSE 0.0 END"
+        for k, damp in enumerate(_se.BOOSTER_DAMPING, start=1))
+    v1 = f"({base} + {caps} + CASE WHEN {base} < 0 THEN -({boost}) ELSE ({boost}) END)"
+    neg = f"list_has_any(list_slice(low, greatest(i - {_se.NEGATION_WINDOW}, 1), i - 1), {NEG_SQL})"
+    v2 = f"(CASE WHEN {neg} THEN {v1} * ({_se.NEGATION_SCALE}) ELSE {v1} END)"
+    v3 = (f"(CASE WHEN butp > 0 THEN CASE WHEN i < butp THEN {v2} * {_se.BUT_BEFORE} "
+          f"WHEN i > butp THEN {v2} * {_se.BUT_AFTER} ELSE {v2} END ELSE {v2} END)")
+    return f"CASE WHEN {base} IS NOT NULL THEN {v3} ELSE 0.0 END"
+
+
+def d_sentiment_cte(src: str, text: str) -> str:
+    """SELECT *, compound FROM src, scoring column ``text``."""
+    ex = f"least(length(txt) - length(replace(txt, '!', '')), {_se.EXCLAMATION_MAX}) * {_se.EXCLAMATION_WEIGHT}"
+    q = "(length(txt) - length(replace(txt, '?', '')))"
+    qe = (f"CASE WHEN {q} > 1 THEN CASE WHEN {q} <= {_se.QUESTION_MAX} THEN {q} * {_se.QUESTION_WEIGHT} "
+          f"ELSE {_se.QUESTION_CAP} END ELSE 0.0 END")
+    return f"""SELECT *, s2 / sqrt(s2 * s2 + {_se.COMPOUND_ALPHA}) AS compound FROM (
+  SELECT *, CASE WHEN s > 0 THEN s + ep WHEN s < 0 THEN s - ep ELSE s END AS s2 FROM (
+    SELECT *, coalesce(list_sum(list_transform(low, lambda t, i: {_d_token_value()})), 0.0) AS s,
+      {ex} + {qe} AS ep FROM (
+      SELECT *, len(list_filter(raw, lambda u: u <> upper(u))) > 0 AS mixed,
+        coalesce(list_position(low, 'but'), 0) AS butp FROM (
+        SELECT *, list_transform(raw, lambda t: lower(t)) AS low FROM (
+          SELECT *, coalesce({text}, '') AS txt, {d_raw_tokens(text)} AS raw FROM {src})))))"""
 
 
 def d_bucket(c: str) -> str:
     return f"CASE WHEN {c} >= 0.05 THEN 'positive' WHEN {c} <= -0.05 THEN 'negative' ELSE 'neutral' END"
 
 
-DERIVED["csent"] = f"SELECT *, {d_compound('toks')} AS compound FROM (SELECT *, {d_tokens('body')} AS toks FROM fx_comments)"
+DERIVED["csent"] = d_sentiment_cte("fx_comments", "body")
 DEPENDS["csent"] = ["fx_comments"]
 oracle("sentiment_compound", ["csent"], "SELECT comment_id, round(compound, 6) AS compound FROM csent")
 oracle("sentiment_bucket", ["csent"], f"SELECT comment_id, {d_bucket('compound')} AS bucket FROM csent")
