@@ -19,6 +19,8 @@ parity with any particular library is not claimed:
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +73,12 @@ def _let(value: Column, body) -> Column:
 
 
 def _map(d: dict) -> Column:
-    keys = list(d)
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.lit(float(d[k])) for k in keys]))
+    """A map literal from one JSON string literal (constant-folded by the optimizer)."""
+    return F.from_json(F.lit(json.dumps({k: float(v) for k, v in d.items()})), "map<string,double>")
+
+
+def _str_array(words) -> Column:
+    return F.from_json(F.lit(json.dumps(list(words))), "array<string>")
 
 
 def lexicon_map(lexicon: DataFrame | dict | None = None, with_keys: bool = False):
@@ -106,37 +112,43 @@ def _count_char(text: Column, ch: str) -> Column:
 
 
 def punctuation_emphasis(text: Column) -> Column:
+    def with_q(q):
+        return F.when(q > 1, F.when(q <= QUESTION_MAX, q * F.lit(QUESTION_WEIGHT)).otherwise(F.lit(QUESTION_CAP))) \
+            .otherwise(F.lit(0.0))
     ex = F.least(_count_char(text, "!"), F.lit(EXCLAMATION_MAX)) * F.lit(EXCLAMATION_WEIGHT)
-    q = _count_char(text, "?")
-    qe = F.when(q > 1, F.when(q <= QUESTION_MAX, q * F.lit(QUESTION_WEIGHT)).otherwise(F.lit(QUESTION_CAP))) \
-        .otherwise(F.lit(0.0))
-    return ex + qe
+    return ex + _let(_count_char(text, "?"), with_q)
 
 
 def _adjust(base: Column, i: Column, raw: Column, neg: Column, boost: Column, but: Column, mixed: Column) -> Column:
-    """Valence of the lexicon word at 0-based position ``i`` after all word-level rules."""
-    r = F.get(raw, i)
-    caps = F.when(mixed & (r == F.upper(r)) & (r != F.lower(r)), F.signum(base) * F.lit(CAPS_EMPHASIS)).otherwise(F.lit(0.0))
-    b = F.lit(0.0)
-    for k, damp in enumerate(BOOSTER_DAMPING, start=1):
-        b = b + F.when(i >= k, F.coalesce(F.get(boost, i - k), F.lit(0.0)) * F.lit(damp)).otherwise(F.lit(0.0))
-    v = base + caps + F.when(base < 0, -b).otherwise(b)
-    negated = F.lit(False)
-    for k in range(1, NEGATION_WINDOW + 1):
-        negated = negated | ((i >= k) & F.coalesce(F.get(neg, i - k), F.lit(False)))
-    v = F.when(negated, v * F.lit(NEGATION_SCALE)).otherwise(v)
-    pos = but - 1  # 0-based index of the first "but", -1 when absent
-    return F.when(but > 0, F.when(i < pos, v * F.lit(BUT_BEFORE)).when(i > pos, v * F.lit(BUT_AFTER)).otherwise(v)) \
-        .otherwise(v)
+    """Valence of the lexicon word at 0-based position ``i`` after all word-level rules.
+
+    Every value used more than once is let-bound, so the expression stays linear in size.
+    """
+    def with_base(bv):
+        r = F.get(raw, i)
+        caps = F.when(mixed & (r == F.upper(r)) & (r != F.lower(r)), F.signum(bv) * F.lit(CAPS_EMPHASIS)) \
+            .otherwise(F.lit(0.0))
+        b = F.lit(0.0)
+        for k, damp in enumerate(BOOSTER_DAMPING, start=1):
+            b = b + F.when(i >= k, F.coalesce(F.get(boost, i - k), F.lit(0.0)) * F.lit(damp)).otherwise(F.lit(0.0))
+        negated = F.lit(False)
+        for k in range(1, NEGATION_WINDOW + 1):
+            negated = negated | ((i >= k) & F.coalesce(F.get(neg, i - k), F.lit(False)))
+        scale = F.when(negated, F.lit(NEGATION_SCALE)).otherwise(F.lit(1.0))
+        pos = but - 1  # 0-based index of the first "but", -1 when absent
+        shift = F.when((but > 0) & (i < pos), F.lit(BUT_BEFORE)).when((but > 0) & (i > pos), F.lit(BUT_AFTER)) \
+            .otherwise(F.lit(1.0))
+        return (bv + caps + F.when(bv < 0, -b).otherwise(b)) * scale * shift
+
+    return _let(base, with_base)
 
 
 def _finish(s: Column, text: Column) -> Column:
     ep = punctuation_emphasis(text)
-    s = F.when(s > 0, s + ep).when(s < 0, s - ep).otherwise(s)
-    return compound_from_sum(s)
+    return _let(s, lambda s1: _let(s1 + F.signum(s1) * ep, compound_from_sum))
 
 
-def _row_arrays(raw: Column, body):
+def _row_arrays(raw: Column, body, low: Column | None = None):
     """Bind the per-row arrays once: lower tokens, negator flags, booster weights, 'but' position, mixed case."""
     boost_map, boost_keys = _map(BOOSTERS), list(BOOSTERS)
 
@@ -149,26 +161,35 @@ def _row_arrays(raw: Column, body):
             return _let(F.transform(low, lambda t: F.when(t.isin(boost_keys), F.element_at(boost_map, t))
                                     .otherwise(F.lit(0.0))), with_boost)
         return _let(F.transform(low, lambda t: t.isin(NEGATORS)), with_neg)
+    if low is not None:
+        return with_low(low)
     return _let(F.transform(raw, lambda t: F.lower(t)), with_low)
 
 
 def sentiment_compound(c, lexicon: DataFrame | dict | None = None) -> Column:
     """Compound polarity in [-1, 1]; null text scores 0.
 
-    Per-row arrays are bound once; each token is tested against the lexicon
-    with a hash set (InSet) and only hits do the map lookup and the rules.
+    Tokens are bound once.  A hash-based ``arrays_overlap`` with the lexicon
+    keys decides whether any rule work is needed at all (most texts hold no
+    sentiment word); for texts that do, each token is tested with a hash set
+    (InSet) and only hits do the map lookup and the rules.
     """
     lex, keys = lexicon_map(lexicon, with_keys=True)
-    text = F.coalesce(_c(c), F.lit(""))
+    key_arr = _str_array(keys)
+
+    def with_text(text):
+        def with_raw(raw):
+            def body(low, neg, boost, but, mixed):
+                vals = F.transform(low, lambda t, i: F.when(
+                    t.isin(keys), _adjust(F.element_at(lex, t), i, raw, neg, boost, but, mixed)).otherwise(F.lit(0.0)))
+                return _finish(F.aggregate(vals, F.lit(0.0), lambda a, x: a + x), text)
+
+            return _let(F.transform(raw, lambda t: F.lower(t)), lambda low: F.when(
+                F.arrays_overlap(low, key_arr), _row_arrays(raw, body, low)).otherwise(F.lit(0.0)))
 
-    def with_raw(raw):
-        def body(low, neg, boost, but, mixed):
-            vals = F.transform(low, lambda t, i: F.when(
-                t.isin(keys), _adjust(F.element_at(lex, t), i, raw, neg, boost, but, mixed)).otherwise(F.lit(0.0)))
-            return _finish(F.aggregate(vals, F.lit(0.0), lambda a, x: a + x), text)
-        return _row_arrays(raw, body)
+        return _let(raw_tokens(text), with_raw)
 
-    return _let(raw_tokens(text), with_raw)
+    return _let(F.coalesce(_c(c), F.lit("")), with_text)
 
 
 def compound_by_join(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
