@@ -18,6 +18,7 @@ from ..operators import cards as cd
 from ..operators import ranking as rk
 from ..operators import trends as tr
 from ..params import TRENDING
+from ..session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -53,8 +54,18 @@ def top_topics_with_summaries(trends: DataFrame, scored: DataFrame, n: int = TRE
 
 def trending_from_topics(threads: DataFrame, comments: DataFrame, topics: DataFrame,
                          days: int = TRENDING.days, as_of: Column | None = None, summariser=None,
-                         lexicon=None) -> TrendingResult:
+                         lexicon=None, materialize: bool = True) -> TrendingResult:
+    """Trends, top topics and cards from given topic labels.
+
+    ``materialize`` writes the scored active-thread documents once with a
+    reliable ``checkpoint()`` (shared checkpoint folder): trends, contexts and
+    listed threads all read them, so the window, joins and comment ranking run
+    once, and a lost executor recomputes nothing upstream of the checkpoint.
+    """
     docs, scored = scored_docs(threads, comments, topics, days, as_of)
+    if materialize:
+        ensure_checkpoint_dir(scored.sparkSession)
+        scored = scored.checkpoint()
     trends = tr.aggregate_trends(scored)
     top = top_topics_with_summaries(trends, scored, TRENDING.top_topics, summariser)
     listed = cd.listed_threads(scored, top, TRENDING.threads_per_topic)
