@@ -396,7 +396,7 @@ def q_greedy_dedup(spark, sf_dir):
 
 def _search_parts(spark, sf_dir):
     q = label_queries(spark, sf_dir)
-    matched = sr.matched_threads(q, fx.planted_vectors(spark, sf_dir))
+    matched = sr.matched_threads(q, fx.planted_vectors(spark, sf_dir))  # checkpointed (bounded)
     return q, matched, trending_threads(spark, sf_dir), fx.comments(spark, sf_dir)
 
 
@@ -495,3 +495,11 @@ def q_prompt_payloads(spark, sf_dir):
     qp = pr.query_prompts(sr.query_context(q, matched, threads, comments)).select(
         F.concat(F.lit("query-"), F.col("query_id")).alias("key"), "prompt")
     return topic.unionByName(qp)
+
+
+@query("extract_json")
+def q_extract_json(spark, sf_dir):
+    """T17 on the JSON objects embedded in ``events.props``."""
+    e = table(spark, sf_dir, "events")
+    j = tx.extract_json("props", "k INT")
+    return e.select("event_id", j["k"].alias("k"), j.isNotNull().alias("is_valid"))

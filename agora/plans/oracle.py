@@ -525,3 +525,8 @@ oracle("prompt_payloads", _SEARCH_USES + ["allctx"], f"""
 SELECT 'topic-' || topic_id AS key, {_q(TOPIC_INSTRUCTIONS)} || context AS prompt FROM allctx
 UNION ALL
 SELECT 'query-' || query_id AS key, {_q(QUERY_INSTRUCTIONS)} || context AS prompt FROM qctx""", _SEARCH_CTES)
+
+# --------------------------------------------------------------- JSON extraction
+oracle("extract_json", [], """
+SELECT event_id, TRY_CAST(json_extract(NULLIF(regexp_extract(props, '(?s)\\{.*\\}', 0), ''), '$.k') AS INTEGER) AS k,
+  regexp_extract(props, '(?s)\\{.*\\}', 0) <> '' AS is_valid FROM events""")
