@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -21,20 +21,31 @@ from pyspark.sql import functions as F
 Encoder = Callable[[list], np.ndarray]
 
 
-def hashing_embed(df: DataFrame, text_col: str, id_col: str = "thread_id", dim: int = 256,
-                  fit_on: DataFrame | None = None) -> DataFrame:
-    """(id, embedding ARRAY<DOUBLE>) with unit-length TF-IDF hashing vectors."""
+def fit_hashing_encoder(corpus: DataFrame, text_col: str, dim: int = 256) -> PipelineModel:
+    """Fit the default encoder (IDF weights) on a corpus; reuse it for documents and queries alike."""
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}\p{N}]+", toLowercase=True),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim),
         IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="_n", p=2.0),
     ])
-    src = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
-    model = pipe.fit(src if fit_on is None else fit_on.select(F.coalesce(F.col(text_col), F.lit("")).alias(text_col)))
+    return pipe.fit(corpus.select(F.coalesce(F.col(text_col), F.lit("")).alias(text_col)))
+
+
+def embed_with(model: PipelineModel, df: DataFrame, text_col: str, id_col: str = "thread_id") -> DataFrame:
+    """V1/V2 with a fitted encoder: (id, embedding ARRAY<DOUBLE>), unit length."""
+    in_col = model.stages[0].getInputCol()  # the encoder reads the column it was fitted on
+    src = df.select(F.col(id_col).cast("string").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(in_col))
     return model.transform(src).select(id_col, vector_to_array("_n").alias("embedding"))
 
 
+def hashing_embed(df: DataFrame, text_col: str, id_col: str = "thread_id", dim: int = 256,
+                  fit_on: DataFrame | None = None) -> DataFrame:
+    """(id, embedding ARRAY<DOUBLE>) with unit-length TF-IDF hashing vectors."""
+    model = fit_hashing_encoder(df if fit_on is None else fit_on, text_col, dim)
+    return embed_with(model, df, text_col, id_col)
+
+
 def embed(df: DataFrame, text_col: str, encoder: Encoder | None = None, id_col: str = "thread_id",
           dim: int = 256, batch_size: int = 64) -> DataFrame:
     """V1/V2: one L2-normalised vector per row of ``df``."""

@@ -503,3 +503,15 @@ def q_extract_json(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     j = tx.extract_json("props", "k INT")
     return e.select("event_id", j["k"].alias("k"), j.isNotNull().alias("is_valid"))
+
+
+@query("text_search")
+def q_text_search(spark, sf_dir):
+    """V1 + V2 + X4: benchmark passages as query texts against thread texts, one fitted encoder."""
+    threads = trending_threads(spark, sf_dir)
+    model = em.fit_hashing_encoder(threads, "title_and_selftext")
+    vecs = em.embed_with(model, threads, "title_and_selftext")
+    qs = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("bench-"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("query_text"))
+    qv = em.embed_with(model, qs, "query_text", "query_id").join(qs, "query_id")
+    return sr.search(qv, vecs, threads, fx.comments(spark, sf_dir))
