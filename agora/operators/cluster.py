@@ -133,26 +133,39 @@ def mst_edges(x: DataFrame, core: DataFrame, n_blocks: int) -> DataFrame:
     return g.groupBy("bi", "bj").applyInPandas(_msf_udf(), "src string, dst string, w double")
 
 
-def _components(edges: DataFrame, nodes: DataFrame, max_rounds: int) -> DataFrame:
-    """Min-label propagation + pointer jumping over (level, node); returns (level, node, label)."""
+def _components(edges: DataFrame, nodes: DataFrame, max_rounds: int, checkpoint_every: int = 3) -> DataFrame:
+    """Min-label propagation + pointer jumping over (level, node); returns (level, node, label).
+
+    Each round carries the previous label along, so change detection is one
+    aggregate over the round's result.  Rounds are persisted; every
+    ``checkpoint_every``-th round is written with a reliable ``checkpoint()``,
+    which bounds the lineage an executor loss can force to recompute.
+    """
     spark = nodes.sparkSession
     ensure_checkpoint_dir(spark)
     both = edges.select("level", F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(
         edges.select("level", F.col("dst").alias("a"), F.col("src").alias("b"))).checkpoint()
     lab = nodes.select("level", "node", F.col("node").alias("label")).checkpoint()
-    for _ in range(max_rounds):
+    held = None
+    for r in range(max_rounds):
         msgs = both.join(lab.withColumnRenamed("node", "a"), ["level", "a"]).select(
-            "level", F.col("b").alias("node"), "label")
-        new = lab.unionByName(msgs).groupBy("level", "node").agg(F.min("label").alias("label"))
-        hop = new.alias("n").join(new.alias("p"), (F.col("n.level") == F.col("p.level")) & (F.col("n.label") == F.col("p.node")), "left") \
-            .select(F.col("n.level").alias("level"), F.col("n.node").alias("node"),
-                    F.least(F.col("n.label"), F.coalesce(F.col("p.label"), F.col("n.label"))).alias("label"))
-        hop = hop.checkpoint()
-        changed = hop.join(lab.withColumnRenamed("label", "old"), ["level", "node"]).where(
-            F.col("label") != F.col("old")).limit(1).count()
-        lab = hop
+            "level", F.col("b").alias("node"), "label", F.lit(None).cast("string").alias("own"))
+        mine = lab.select("level", "node", "label", F.col("label").alias("own"))
+        new = mine.unionByName(msgs).groupBy("level", "node").agg(
+            F.min("label").alias("label"), F.max("own").alias("old"))
+        hop = new.alias("n").join(new.alias("p"), (F.col("n.level") == F.col("p.level"))
+                                  & (F.col("n.label") == F.col("p.node")), "left").select(
+            F.col("n.level").alias("level"), F.col("n.node").alias("node"),
+            F.least(F.col("n.label"), F.coalesce(F.col("p.label"), F.col("n.label"))).alias("label"),
+            F.col("n.old").alias("old"))
+        hop = hop.checkpoint() if (r + 1) % checkpoint_every == 0 else hop.persist()
+        changed = hop.agg(F.count_if(F.col("label") != F.col("old"))).first()[0]
+        if held is not None:
+            held.unpersist()
+        held = hop
+        lab = hop.select("level", "node", "label")
         if changed == 0:
-            return lab
+            return lab.checkpoint()
     raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
 
 
