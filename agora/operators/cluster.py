@@ -222,7 +222,9 @@ def topic_clusters(vecs: DataFrame, reduce: bool = True, dims: int = TRENDING.re
                    levels: int = 16, block_size: int = 1000, max_rounds: int = 60) -> DataFrame:
     """V7: (thread_id, embedding) -> (thread_id, topic_id), -1 = noise."""
     spark = vecs.sparkSession
-    x = reduce_dims(vecs, dims) if reduce else vecs.select("thread_id", "embedding")
+    ensure_checkpoint_dir(spark)
+    src = vecs.select("thread_id", "embedding").checkpoint()  # PCA reads its input several times
+    x = reduce_dims(src, dims) if reduce else src
     x = x.checkpoint()
     n = x.count()
     mcs, ms = cluster_sizes(n)
