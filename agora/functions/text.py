@@ -112,11 +112,10 @@ def html_text(x: Column, html: bool = True) -> Column:
     """T2 inside T7: the Arrow-batched parser only sees rows holding '<' or '&'."""
     if not html:
         return x
-    from ..sources.html import html_text_udf
-    # Python UDFs cannot sit inside a lambda, so this step is not let-bound;
-    # its input (markers + newlines) is cheap to repeat.
+    from ..sources.html import html_text_barrier_udf
+    # Python UDFs cannot sit inside a lambda, so this step is not let-bound.
     needs = (F.instr(x, "<") > 0) | (F.instr(x, "&") > 0)
-    return F.coalesce(html_text_udf(F.when(needs, x)), x)
+    return F.coalesce(html_text_barrier_udf(F.when(needs, x)), x)
 
 
 def pre_html(c) -> Column:

@@ -70,6 +70,13 @@ def html_text_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html_to_text(x))
 
 
+# The parse is deterministic; this handle is marked otherwise only to act as an
+# optimizer barrier: Catalyst then neither copies the cleaned-text projection
+# into a later filter nor inlines its input into several consumers, so the
+# regex chain around the parse runs once per row.
+html_text_barrier_udf = html_text_udf.asNondeterministic()
+
+
 @F.pandas_udf(T.StringType())
 def page_text_udf(s: pd.Series) -> pd.Series:
     return s.map(page_text)
