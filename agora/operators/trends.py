@@ -38,4 +38,5 @@ def topic_trends(threads: DataFrame, comments: DataFrame, topics: DataFrame, day
     end = window_end(comments, threads)
     as_of = end if as_of is None else as_of
     active = active_threads(threads, windowed_comments(comments, threads, days, end))
-    return aggregate_trends(score_topic_threads(active, topics, as_of))
+    trends = aggregate_trends(score_topic_threads(active, topics, as_of))
+    return trends.orderBy(F.col("topic_trend_score").desc_nulls_last(), F.col("topic_id"))
