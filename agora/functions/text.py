@@ -26,8 +26,12 @@ EMOJI_CLASS = (r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F
                r"\x{2600}-\x{2B55}\x{200D}\x{23CF}\x{23E9}\x{231A}\x{FE0F}\x{3030}]+")
 # URL pattern: optional https/http, '://', a non-space run ending at a word boundary.
 URL_PATTERN = r"(?U)(?:https|http)?://\S+\b"
+# Python whitespace (str.isspace) = Unicode White_Space plus U+001C-U+001F;
+# Python line breaks (str.splitlines) = \n \r \r\n \v \f U+001C-U+001E U+0085 U+2028 U+2029.
+PY_WS_CLASS = r"(?U)[\s\x1C-\x1F]"
+LINE_BREAK_CLASS = r"[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 # Quote lines: first non-blank character is '>'.
-QUOTE_LINE = r"(?U)^\s*>"
+QUOTE_LINE = r"(?U)^[\s\x1C-\x1F]*>"
 # Default flair when missing.
 NO_FLAIR = "[No Flair]"
 # Characters Python's str.strip() removes (str.isspace()).
@@ -54,7 +58,7 @@ def strip_ws(c) -> Column:
 
 def collapse_ws(c) -> Column:
     """Runs of two or more whitespace characters -> one space (a lone tab stays)."""
-    return F.regexp_replace(_c(c), r"(?U)\s{2,}", " ")
+    return F.regexp_replace(_c(c), PY_WS_CLASS + "{2,}", " ")
 
 
 def remove_urls(c) -> Column:
@@ -79,9 +83,12 @@ def remove_quotes(c) -> Column:
     Line breaks are Python ``splitlines`` breaks (``\\R``); a single trailing
     break does not produce an empty last line.
     """
-    body = F.regexp_replace(_c(c), r"\R\z", "")
-    lines = F.split(body, r"\R", -1)
-    return F.array_join(F.filter(lines, lambda ln: ~ln.rlike(QUOTE_LINE)), "\n")
+    def split_lines(v):
+        unix = F.when(F.instr(v, "\r\n") > 0, F.regexp_replace(v, "\r\n", "\n")).otherwise(v)
+        body = F.regexp_replace(unix, LINE_BREAK_CLASS + r"\z", "")
+        return F.array_join(F.filter(F.split(body, LINE_BREAK_CLASS, -1), lambda ln: ~ln.rlike(QUOTE_LINE)), "\n")
+
+    return _let(_c(c), split_lines)
 
 
 def blank_markers(c) -> Column:
@@ -139,7 +146,7 @@ def flair_norm(c) -> Column:
 
 def word_count(c) -> Column:
     """Number of whitespace-separated words (Python ``len(s.split())``)."""
-    words = F.split(strip_ws(F.coalesce(_c(c), F.lit(""))), r"(?U)\s+")
+    words = F.split(strip_ws(F.coalesce(_c(c), F.lit(""))), PY_WS_CLASS + "+")
     return F.size(F.filter(words, lambda w: w != F.lit("")))
 
 

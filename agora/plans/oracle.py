@@ -111,13 +111,13 @@ SELECT topic_id, round(topic_trend_score, 6) AS topic_trend_score, thread_count,
 
 # --------------------------------------------------------------- DuckDB text helpers
 # Unicode White_Space, spelled out for RE2 (its \s is ASCII only).
-WS = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-LINEBREAK = r"(?:\r\n|[\n\x0b\f\r\x{85}\x{2028}\x{2029}])"
+WS = r"[\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+LINEBREAK = r"[\n\x0b\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 EMOJI = (r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}"
          r"\x{2600}-\x{2B55}\x{200D}\x{23CF}\x{23E9}\x{231A}\x{FE0F}\x{3030}]+")
 
 
-WS_STRIP = WS.replace(r"\r ", r"\r\x1c-\x1f ")
+WS_STRIP = WS
 
 
 def d_strip(x: str) -> str:
@@ -145,7 +145,8 @@ def d_flatten(x: str) -> str:
 
 
 def d_quotes(x: str) -> str:
-    lines = f"string_split_regex(regexp_replace({x}, '{LINEBREAK}$', ''), '{LINEBREAK}')"
+    unix = f"replace({x}, chr(13) || chr(10), chr(10))"
+    lines = f"string_split_regex(regexp_replace({unix}, '{LINEBREAK}$', ''), '{LINEBREAK}')"
     return f"array_to_string(list_filter({lines}, lambda l: NOT regexp_matches(l, '^{WS}*>')), chr(10))"
 
 

@@ -85,3 +85,17 @@ def test_topic_headline_placeholder(spark):
     df = spark.createDataFrame([("- Some title here\n  comments", 3), ("", 4)], "ctx string, tid int")
     got = [r[0] for r in df.select(tx.topic_headline("ctx", "tid")).collect()]
     assert got == ["Some title here", "Topic 4"]
+
+
+def test_python_whitespace_and_line_parity(spark):
+    import re
+    cases = ["a\x1c\x1db c", "x\r\n> q\r\ny\x1e> z\n", "  a  b\t c  ", "line1\nline2\n", "\x1f>quoted\nkeep", "",
+             "a\rb\r\n", " x  y　"]
+    df = spark.createDataFrame([(c,) for c in cases], "s string")
+    got = df.select(tx.remove_quotes("s").alias("q"), tx.collapse_ws("s").alias("w"), tx.word_count("s").alias("n"),
+                    tx.strip_ws("s").alias("t")).collect()
+    for c, r in zip(cases, got):
+        assert r.q == "\n".join(ln for ln in c.splitlines() if not ln.strip().startswith(">"))
+        assert r.w == re.sub(r"\s{2,}", " ", c)
+        assert r.n == len(c.split())
+        assert r.t == c.strip()
