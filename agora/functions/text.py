@@ -25,7 +25,7 @@ BLANK_MARKERS = ["[deleted]", "[removed]", "nan", "none"]
 EMOJI_CLASS = (r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}"
                r"\x{2600}-\x{2B55}\x{200D}\x{23CF}\x{23E9}\x{231A}\x{FE0F}\x{3030}]+")
 # URL pattern: optional https/http, '://', a non-space run ending at a word boundary.
-URL_PATTERN = r"(?U)(?:https|http)?://\S+\b"
+URL_PATTERN = r"(?U)(?:https|http)?://[^\s\x1C-\x1F]+\b"
 # Python whitespace (str.isspace) = Unicode White_Space plus U+001C-U+001F;
 # Python line breaks (str.splitlines) = \n \r \r\n \v \f U+001C-U+001E U+0085 U+2028 U+2029.
 PY_WS_CLASS = r"(?U)[\s\x1C-\x1F]"

@@ -71,3 +71,12 @@ def test_planted_clusters_recovered_and_noise(spark):
 def test_small_input_all_noise(spark):
     df = spark.createDataFrame([(str(i), [float(i), 0.0]) for i in range(5)], "thread_id string, embedding array<double>")
     assert {r.topic_id for r in cu.topic_clusters(df, reduce=False).collect()} == {-1}
+
+
+def test_identical_points_cluster(spark):
+    rows = [(f"a{i:02d}", [0.0, 0.0, 1.0]) for i in range(20)] + [(f"b{i:02d}", [5.0, 5.0, 1.0]) for i in range(20)] \
+        + [("z", [100.0, -40.0, 3.0])]
+    df = spark.createDataFrame(rows, "thread_id string, embedding array<double>")
+    lab = {r.thread_id: r.topic_id for r in cu.topic_clusters(df, reduce=False, block_size=16).collect()}
+    assert {lab[f"a{i:02d}"] for i in range(20)} == {0} and {lab[f"b{i:02d}"] for i in range(20)} == {1}
+    assert lab["z"] == -1
