@@ -29,7 +29,6 @@ URL_PATTERN = r"(?U)(?:https|http)?://[^\s\x1C-\x1F]+\b"
 # Python whitespace (str.isspace) = Unicode White_Space plus U+001C-U+001F;
 # Python line breaks (str.splitlines) = \n \r \r\n \v \f U+001C-U+001E U+0085 U+2028 U+2029.
 PY_WS_CLASS = r"(?U)[\s\x1C-\x1F]"
-LINE_BREAK_CLASS = r"[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 # Quote lines: first non-blank character is '>'.
 QUOTE_LINE = r"(?U)^[\s\x1C-\x1F]*>"
 # Default flair when missing.
@@ -80,15 +79,16 @@ def remove_emojis(c) -> Column:
 def remove_quotes(c) -> Column:
     """T5: drop lines whose stripped form starts with '>'; lines re-joined with '\\n'.
 
-    Line breaks are Python ``splitlines`` breaks (``\\R``); a single trailing
-    break does not produce an empty last line.
+    Line breaks are Python ``splitlines`` breaks (Java ``\\R`` plus U+001C-U+001E);
+    a single trailing break does not produce an empty last line.
     """
-    def split_lines(v):
-        unix = F.when(F.instr(v, "\r\n") > 0, F.regexp_replace(v, "\r\n", "\n")).otherwise(v)
-        body = F.regexp_replace(unix, LINE_BREAK_CLASS + r"\z", "")
-        return F.array_join(F.filter(F.split(body, LINE_BREAK_CLASS, -1), lambda ln: ~ln.rlike(QUOTE_LINE)), "\n")
-
-    return _let(_c(c), split_lines)
+    c = _c(c)
+    # Python also breaks lines at U+001C-U+001E; Java's \R does not.  Rare, so only
+    # values holding one pay a replace (to U+000B, a single break in both).
+    seps = (F.instr(c, "\x1c") > 0) | (F.instr(c, "\x1d") > 0) | (F.instr(c, "\x1e") > 0)
+    x = F.when(seps, F.regexp_replace(c, "[\\x1C-\\x1E]", "\x0b")).otherwise(c)
+    body = F.regexp_replace(x, r"\R\z", "")
+    return F.array_join(F.filter(F.split(body, r"\R", -1), lambda ln: ~ln.rlike(QUOTE_LINE)), "\n")
 
 
 def blank_markers(c) -> Column:
