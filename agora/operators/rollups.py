@@ -60,8 +60,21 @@ def sentiment_over_time(cards: DataFrame, n: int = 14) -> DataFrame:
 
 
 def home_feed(cards: DataFrame) -> DataFrame:
-    """One row {topics: [cards], overall_timeline: [{date, count}]}."""
-    topics = cards.agg(F.collect_list(F.struct(*cards.columns)).alias("topics"))
-    tl = overall_timeline(cards).agg(F.array_sort(F.collect_list(F.struct("date", "count"))).alias("overall_timeline"))
-    one = F.lit(1).alias("_k")
-    return topics.select(one, "topics").join(tl.select(one, "overall_timeline"), "_k").drop("_k")
+    """One row {topics: [cards], overall_timeline: [{date, count}]}.
+
+    One aggregate over the (bounded) card table: the cards are collected, and
+    their timelines are merged by a fold over the date-sorted points, so no
+    join of the two results is needed.
+    """
+    pts = F.array_sort(F.flatten(F.collect_list("comment_timeline")))
+    empty = F.array().cast("array<struct<date:string,count:bigint>>")
+
+    def merge(acc, p):
+        n = F.size(acc)
+        last = F.element_at(acc, -1)
+        same = (n > 0) & (last["date"] == p["date"])
+        summed = F.struct(p["date"].alias("date"), (last["count"] + p["count"]).alias("count"))
+        return F.when(same, F.concat(F.slice(acc, 1, n - 1), F.array(summed))).otherwise(F.concat(acc, F.array(p)))
+
+    return cards.agg(F.collect_list(F.struct(*cards.columns)).alias("topics"), pts.alias("_pts")).select(
+        "topics", F.aggregate("_pts", empty, merge).alias("overall_timeline"))

@@ -9,7 +9,8 @@ from .conftest import SF001
 
 LAZY = ["topic_trends", "build_docs", "top_comments_by_priority", "top_comments_by_score", "latest_threads_per_topic",
         "top_threads_by_trend", "sentiment_dist", "daily_timeline", "clean_comments", "clean_threads",
-        "dedupe_threads", "active_window", "active_threads", "comment_priority", "topic_context", "extract_json"]
+        "dedupe_threads", "active_window", "active_threads", "comment_priority", "topic_context", "extract_json",
+        "home_feed", "topic_cards", "thread_cards", "search"]
 
 
 def physical(df) -> str:
