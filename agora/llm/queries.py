@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from agora.llm import lines, near_dup
+from agora.llm import lines, mixing, near_dup
 
 QUERIES = {
+    "op10_mixing": mixing.op10_mixing,
     "op8_near_dup": near_dup.op8_near_dup,
     "op9_line_dedup": lines.op9_line_dedup,
 }
