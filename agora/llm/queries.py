@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from agora.llm import lines, mixing, near_dup
+from agora.llm import lines, mixing, near_dup, quality, sentencepiece
 
 QUERIES = {
+    "op5_sentencepiece": sentencepiece.op5_sentencepiece,
+    "op1_quality": quality.op1_quality,
     "op10_mixing": mixing.op10_mixing,
     "op8_near_dup": near_dup.op8_near_dup,
     "op9_line_dedup": lines.op9_line_dedup,
 }
 
 ORACLE = {
+    "op1_quality": quality.OP1_SQL,
     "op9_line_dedup": lines.OP9_SQL,
 }
