@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from agora.llm import lines, mixing, near_dup, quality, sentencepiece
+from agora.llm import chat, lines, mixing, near_dup, quality, sentencepiece, topk, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op4_topk": topk.op4_topk,
+    "op7_chat_format": chat.op7_chat_format,
     "op5_sentencepiece": sentencepiece.op5_sentencepiece,
     "op1_quality": quality.op1_quality,
     "op10_mixing": mixing.op10_mixing,
@@ -13,6 +16,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_topk": topk.OP4_SQL,
+    "op7_chat_format": chat.OP7_SQL,
     "op1_quality": quality.OP1_SQL,
     "op9_line_dedup": lines.OP9_SQL,
 }

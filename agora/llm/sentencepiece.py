@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from agora.llm.common import BASES, BYTE, Spans
 
@@ -289,6 +290,8 @@ def _parts(column: pa.Array, limit: int) -> Iterator[tuple[int, list[bytes]]]:
 def encode(docs: DataFrame, path: str = VOCABULARY, scores: str = "zipf", text: str = "text") -> DataFrame:
     """``docs`` with a column ids array<int>."""
     model = docs.sparkSession.sparkContext.broadcast(make_model(read_pieces(path, scores)))
+    if "ids" in docs.columns:
+        raise ValueError("a column ids exists already")
     k = docs.columns.index(text)
 
     def run(batches):
@@ -298,11 +301,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, scores: str = "zipf", text:
                 rows = batch.slice(i, len(part))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], names=[*rows.schema.names, "ids"])
 
-    return docs.mapInArrow(run, docs.schema.add("ids", "array<int>") if "ids" not in docs.columns else _no_ids())
-
-
-def _no_ids():
-    raise ValueError("a column ids exists already")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
 def decode(rows: DataFrame, path: str = VOCABULARY, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -325,7 +324,7 @@ def decode(rows: DataFrame, path: str = VOCABULARY, ids: str = "ids", out: str =
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
                 i = j
 
-    return rows.mapInArrow(run, rows.schema.add(out, "string"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out, StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str = VOCABULARY, scores: str = "zipf") -> DataFrame:
