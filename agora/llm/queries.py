@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from agora.llm import chat, lines, mixing, near_dup, quality, sentencepiece, topk, toxicity
+from agora.llm import chat, lines, mixing, near_dup, quality, sentencepiece, substring, topk, toxicity
 
 QUERIES = {
+    "op6_substring": substring.op6_substring,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_topk": topk.op4_topk,
     "op7_chat_format": chat.op7_chat_format,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op6_substring": substring.OP6_SQL,
     "op4_topk": topk.OP4_SQL,
     "op7_chat_format": chat.OP7_SQL,
     "op1_quality": quality.OP1_SQL,

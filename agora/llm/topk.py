@@ -59,7 +59,7 @@ def block_topk(ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, queries: np.
 
 
 def _score(k: int):
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         if not len(left) or not len(right):
             return out
