@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from agora.llm import chat, lines, mixing, near_dup, quality, sentencepiece, substring, topk, toxicity
+from agora.llm import chat, lines, mixing, near_dup, quality, sentencepiece, substring, suffix_array, topk, toxicity
 
 QUERIES = {
+    "op3_suffix_array": suffix_array.op3_suffix_array,
     "op6_substring": substring.op6_substring,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_topk": topk.op4_topk,
