@@ -25,10 +25,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agora.llm.common import BASES, U64, Spans, cut, mix, text_chunks, text_key, word_hashes, word_spans
+from agora.llm.common import BASES, U64, Spans, cut, mix, own_prefix, text_chunks, text_key, word_hashes, word_spans
 from agora.llm.graph import components
 
 TABLES = 12
@@ -86,7 +86,11 @@ def _candidates(classes: DataFrame, tables: int) -> DataFrame:
              .select("c", F.xxhash64("x.k", "y.k", "x.h", "y.h").alias("t"), F.xxhash64("y.h", "x.h", "y.k").alias("u")))
     pairs = cut(pairs, "tables")
     least = pairs.groupBy("t", "u").agg(F.min("c").alias("b"), F.max("c").alias("top")).filter("b <> top").select("t", "u", "b")
-    return pairs.join(least, ["t", "u"]).filter("c <> b").select(F.col("c").alias("a"), "b").distinct()
+    links = pairs.join(least, ["t", "u"]).select(F.col("c").alias("a"), "b").distinct()
+    # the least classes of one class's tables (tables ** 2 at most) are linked to the least of them, not to the class:
+    # members of a large group share these few links
+    links = links.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    return links.select("a", F.col("m").alias("b")).unionByName(links.select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
 def verified_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -159,12 +163,13 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, tables:
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     """One document of each group, its smallest doc_id, stays; documents without words all stay."""
+    p = own_prefix(docs)
     marks = cut(near_components(docs, **how), "marks")
-    kept = marks.filter("kept").select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk"), (F.col("n_shingles") > 0).alias("__one")).distinct()
-    rows = docs.withColumn("__k", text_key()).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__tk")))
+    kept = marks.filter("kept").select(F.col("doc_id").alias(f"{p}id"), F.col("tk").alias(f"{p}tk"), (F.col("n_shingles") > 0).alias(f"{p}one")).distinct()
+    rows = docs.withColumn(f"{p}k", text_key()).join(kept, F.col("doc_id").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}k") == F.col(f"{p}tk")))
     again = marks.filter("kept and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
     if not again:  # rows that repeat a doc_id within a group
-        rows = rows.filter("__one").dropDuplicates(["doc_id"]).unionByName(rows.filter("not __one"))
+        rows = rows.filter(f"{p}one").dropDuplicates(["doc_id"]).unionByName(rows.filter(f"not {p}one"))
     return rows.select(*docs.columns)
 
 
