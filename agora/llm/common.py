@@ -31,6 +31,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def own_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with, for columns that are added and taken away again."""
+    p = "__"
+    while any(c.startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
 def text_key():
     """Rows are told apart by doc_id and this: repeated doc_ids keep their own texts, equal rows share decisions."""
     return F.xxhash64(F.col("text"), F.col("text").isNull())

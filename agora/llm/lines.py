@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import cut, partitions, text_key
+from agora.llm.common import cut, own_prefix, partitions, text_key
 
 HOT_SHARE = 1000
 
@@ -147,10 +147,12 @@ def kept_lines(text: bytes | None, dropped: bytes | None) -> tuple[list[bytes],
     return [x for x, b in zip(lines, bits) if not b], len(lines)
 
 
-def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    keyed = docs.withColumn("__tk", text_key())
-    b = bitmaps.select(F.col("doc_id").alias("__id"), F.col("tk").alias("__bk"), F.col("dropped").alias("__dropped"))
-    return keyed.join(b, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tk") == F.col("__bk")), "left").drop("__id", "__bk", "__tk")
+def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> tuple[DataFrame, str]:
+    p = own_prefix(docs)
+    keyed = docs.withColumn(f"{p}tk", text_key())
+    b = bitmaps.select(F.col("doc_id").alias(f"{p}id"), F.col("tk").alias(f"{p}bk"), F.col("dropped").alias(f"{p}dropped"))
+    both = keyed.join(b, F.col("doc_id").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}tk") == F.col(f"{p}bk")), "left")
+    return both, f"{p}dropped"
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +169,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_digest(docs: DataFrame, **rule) -> DataFrame:
     """doc_id, n_lines, n_dropped and the digest of the kept lines, one row for each input row."""
-    both = _with_bitmaps(docs.select("doc_id", "text"), line_bitmaps(docs, **rule))
-    return both.select("doc_id", "text", "__dropped").mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    both, dropped = _with_bitmaps(docs.select("doc_id", "text"), line_bitmaps(docs, **rule))
+    return both.select("doc_id", "text", dropped).mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def _apply(text, dropped):
@@ -178,8 +180,8 @@ def _apply(text, dropped):
 
 def drop_lines(docs: DataFrame, **rule) -> DataFrame:
     """``docs`` with the dropped lines taken out of text (a text that loses none stays as it is, null included)."""
-    both = _with_bitmaps(docs, line_bitmaps(docs, **rule))
-    new = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.pandas_udf(_apply, "string")("text", "__dropped"))
+    both, dropped = _with_bitmaps(docs, line_bitmaps(docs, **rule))
+    new = F.when(F.col(dropped).isNull(), F.col("text")).otherwise(F.pandas_udf(_apply, "string")("text", dropped))
     return both.withColumn("text", new).select(*docs.columns)
 
 

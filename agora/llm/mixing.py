@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agora.llm.common import WORD, cut
+from agora.llm.common import WORD, cut, own_prefix
 
 WEIGHTS = (5, 2, 1)
 FAN = 32
@@ -150,11 +150,12 @@ def mix_report(docs: DataFrame, weights=WEIGHTS, percent: int = 150, most: int =
 
 def take_mix(docs: DataFrame, **how) -> DataFrame:
     """Each row of ``docs`` as often as the mix takes it."""
+    p = own_prefix(docs)
     plan = mix_report(docs, **how).filter("copies > 0").select(
-        F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("copies").alias("__n")).distinct()
-    sized = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
-    return sized.join(plan, same).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)
+        F.col("doc_id").alias(f"{p}d"), F.col("source").alias(f"{p}s"), F.col("size").alias(f"{p}z"), F.col("copies").alias(f"{p}n")).distinct()
+    sized = docs.withColumn(f"{p}size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col(f"{p}d")) & F.col("source").eqNullSafe(F.col(f"{p}s")) & (F.col(f"{p}size") == F.col(f"{p}z"))
+    return sized.join(plan, same).withColumn(f"{p}i", F.explode(F.sequence(F.lit(1), F.col(f"{p}n").cast("int")))).select(*docs.columns)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agora.llm.common import cut, text_key
+from agora.llm.common import cut, own_prefix, text_key
 
 BITS = 6
 MIN_GROUP = 200
@@ -126,9 +126,10 @@ def judged(docs: DataFrame, rules: dict = RULES, min_group: int = MIN_GROUP) ->
 
 def keep_quality(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that are kept."""
-    kept = judged(docs, **how).filter("kept").select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")).distinct()
-    return docs.withColumn("__k", text_key()).join(
-        kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__tk")), "left_semi").select(*docs.columns)
+    p = own_prefix(docs)
+    kept = judged(docs, **how).filter("kept").select(F.col("doc_id").alias(f"{p}id"), F.col("tk").alias(f"{p}tk")).distinct()
+    return docs.withColumn(f"{p}k", text_key()).join(
+        kept, F.col("doc_id").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}k") == F.col(f"{p}tk")), "left_semi").select(*docs.columns)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
