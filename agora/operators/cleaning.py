@@ -40,7 +40,7 @@ def drop_short_comments(comments: DataFrame, min_words: int = CLEANING.min_words
 
 def clean_comments(comments: DataFrame, min_words: int = CLEANING.min_words) -> DataFrame:
     pre = comments.withColumn("_pre", tx.pre_html(tx.remove_quotes(F.coalesce(F.col("body"), F.lit("")))))
-    out = pre.withColumn("_nb", tx.normalize_from_pre("_pre", with_words=True)).drop("_pre") \
-        .withColumn("body", F.col("_nb.text")) \
-        .withColumn("body_len", F.col("_nb.n_words")).drop("_nb")
-    return out.where(F.col("body_len") >= min_words)
+    # a generator: neither the filter nor the projection gets a copy of the chain
+    kept = F.filter(F.array(tx.normalize_from_pre("_pre", with_words=True)), lambda x: x["n_words"] >= min_words)
+    out = pre.withColumn("_nb", F.explode(kept)).drop("_pre")
+    return out.withColumn("body", F.col("_nb.text")).withColumn("body_len", F.col("_nb.n_words")).drop("_nb")

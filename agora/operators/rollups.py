@@ -37,7 +37,7 @@ def recent_activity(cards: DataFrame, n: int = 14) -> DataFrame:
 def trend_bars(cards: DataFrame) -> DataFrame:
     """K9: short headline label and 2-decimal score (Math.round semantics), best first."""
     return cards.select(short_label("headline").alias("name"),
-                        js_round2("topic_trend_score").alias("score")).orderBy(F.col("score").desc())
+                        js_round2("topic_trend_score").alias("score")).orderBy(F.col("score").desc(), "name")
 
 
 def sentiment_over_time(cards: DataFrame, n: int = 14) -> DataFrame:
@@ -76,5 +76,6 @@ def home_feed(cards: DataFrame) -> DataFrame:
         summed = F.struct(p["date"].alias("date"), (last["count"] + p["count"]).alias("count"))
         return F.when(same, F.concat(F.slice(acc, 1, n - 1), F.array(summed))).otherwise(F.concat(acc, F.array(p)))
 
-    return cards.agg(F.collect_list(F.struct(*cards.columns)).alias("topics"), pts.alias("_pts")).select(
+    best = F.array_sort(F.collect_list(F.struct((-F.col("topic_trend_score")).alias("_s"), F.col("topic_id").alias("_t"), F.struct(*cards.columns).alias("card"))))
+    return cards.agg(F.transform(best, lambda x: x["card"]).alias("topics"), pts.alias("_pts")).select(
         "topics", F.aggregate("_pts", empty, merge).alias("overall_timeline"))

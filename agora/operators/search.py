@@ -101,4 +101,5 @@ def search(queries: DataFrame, vectors: DataFrame, threads: DataFrame, comments:
         F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("_s"), F.col("rank").alias("_r"),
                                              F.struct(*[c for c in cards.columns if c not in ("query_id", "rank")]).alias("card")))),
         lambda x: x["card"]).alias("threads"))
-    return queries.select("query_id", "query_text").join(summ, "query_id", "left").join(nested, "query_id", "left")
+    return queries.select("query_id", "query_text").join(summ, "query_id", "left").join(nested, "query_id", "left") \
+        .withColumn("threads", F.coalesce("threads", F.array()))

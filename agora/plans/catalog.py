@@ -62,14 +62,14 @@ def docs_text(spark, sf_dir):
 
 
 def _text_query(name, out, fn):
-    query(name)(lambda spark, sf_dir: docs_text(spark, sf_dir).select("doc_id", fn(F.col("text")).alias(out)))
+    query(name)(lambda spark, sf_dir: fx.planted_texts(spark, sf_dir).select("doc_id", fn(F.col("text")).alias(out)))
 
 
 _text_query("collapse_ws", "collapsed", tx.collapse_ws)
 _text_query("remove_urls", "no_urls", tx.remove_urls)
 _text_query("remove_emojis", "no_emojis", tx.remove_emojis)
 _text_query("remove_quotes", "unquoted", tx.remove_quotes)
-_text_query("blank_markers", "first_line", lambda c: tx.blank_markers(F.split_part(c, F.lit("\n"), F.lit(1))))
+_text_query("blank_markers", "unmarked", tx.blank_markers)
 _text_query("normalize_text", "normalized", tx.normalize_text)
 _text_query("word_count", "n_words", tx.word_count)
 
@@ -254,6 +254,13 @@ def q_clean_threads(spark, sf_dir):
         "thread_id", "link_flair_text", "has_image", "title_and_selftext")
 
 
+@query("has_image")
+def q_has_image(spark, sf_dir):
+    """J6 with the ids of the crawled pages as the set of ids that have an image."""
+    ids = table(spark, sf_dir, "pages").select(F.col("page_id").alias("thread_id"))
+    return cl.with_has_image(fx.threads(spark, sf_dir), ids).select("thread_id", "has_image")
+
+
 @query("clean_comments")
 def q_clean_comments(spark, sf_dir):
     return cl.clean_comments(fx.comments(spark, sf_dir)).select("comment_id", "thread_id", "body", "body_len")

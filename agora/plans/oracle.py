@@ -10,24 +10,29 @@ from __future__ import annotations
 
 FX = {
     "fx_threads": """
-SELECT CAST(d.doc_id AS VARCHAR) AS thread_id, split_part(d.text, chr(10), 1) AS title,
+SELECT CASE WHEN d.doc_id % 17 = 3 THEN 'moved-' ELSE '' END || d.doc_id AS thread_id, split_part(d.text, chr(10), 1) AS title,
   substr(d.text, length(split_part(d.text, chr(10), 1)) + 2) AS selftext,
   CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE ' ' || upper(d.source) || ' ' END AS link_flair_text,
   CASE WHEN d.doc_id % 13 = 5 THEN NULL
        ELSE TIMESTAMP '2024-01-10 00:00:00' + to_hours(CAST(d.doc_id * 7 % 470 AS INTEGER)) END AS created_utc,
   CASE WHEN d.doc_id % 11 = 0 THEN NULL ELSE CAST(d.n_chars % 500 - 50 AS INTEGER) END AS score,
   CAST(d.n_chars % 37 AS INTEGER) AS num_comments, p.url AS external_url
-FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id WHERE d.doc_id % 17 <> 3""",
+FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id""",
+    "fx_planted": """
+SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN text || '  https://ex.org/a?b=' || doc_id || ' www.ex.org/c end'
+  WHEN 2 THEN '> quoted line' || chr(10) || text || chr(10) || '  > another'
+  WHEN 3 THEN text || ' ' || chr(128512) || '  ok' || chr(160) || chr(9) || ' end' ELSE text END AS text FROM documents
+UNION ALL SELECT -doc_id - 1, CASE WHEN doc_id % 2 = 0 THEN ' [deleted] ' ELSE '[removed]' END FROM documents WHERE doc_id % 7 = 0""",
     "fx_comments": """
 SELECT CAST(e.event_id AS VARCHAR) AS comment_id, CAST(e.user_id AS VARCHAR) AS thread_id,
-  substr(d.text, 1, 400) AS body,
+  d.text AS body,
   CASE WHEN e.event_id % 53 = 0 THEN NULL ELSE CAST(floor(e.value) AS INTEGER) - 30 END AS score,
   CASE WHEN e.event_id % 97 = 0 THEN NULL ELSE e.ts END AS created_utc
 FROM events e CROSS JOIN (SELECT count(*) AS n FROM documents) k
 JOIN documents d ON d.doc_id = e.event_id % k.n""",
     "fx_topics": """
-SELECT CAST(vec_id AS VARCHAR) AS thread_id, CASE WHEN label = 0 THEN -1 ELSE label END AS topic_id
-FROM embeddings WHERE vec_id % 7 <> 6""",
+SELECT CASE WHEN vec_id % 7 = 6 THEN 'moved-' ELSE '' END || vec_id AS thread_id, CASE WHEN label = 0 THEN -1 ELSE label END AS topic_id
+FROM embeddings""",
     "fx_vec3": """
 SELECT CAST(vec_id AS VARCHAR) AS thread_id, label,
   list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS embedding
@@ -172,13 +177,14 @@ def d_hours(as_of: str, ts: str) -> str:
 
 
 # --------------------------------------------------------------- text functions
-oracle("collapse_ws", [], f"SELECT doc_id, {d_collapse('text')} AS collapsed FROM documents")
-oracle("remove_urls", [], f"SELECT doc_id, {d_urls('text')} AS no_urls FROM documents")
-oracle("remove_emojis", [], f"SELECT doc_id, {d_emoji('text')} AS no_emojis FROM documents")
-oracle("remove_quotes", [], f"SELECT doc_id, {d_quotes('text')} AS unquoted FROM documents")
-oracle("blank_markers", [], f"SELECT doc_id, {d_blank('split_part(text, chr(10), 1)')} AS first_line FROM documents")
-oracle("normalize_text", [], f"SELECT doc_id, {d_normalize('text')} AS normalized FROM documents")
-oracle("word_count", [], f"SELECT doc_id, {d_words('text')} AS n_words FROM documents")
+oracle("collapse_ws", ["fx_planted"], f"SELECT doc_id, {d_collapse('text')} AS collapsed FROM fx_planted")
+oracle("remove_urls", ["fx_planted"], f"SELECT doc_id, {d_urls('text')} AS no_urls FROM fx_planted")
+oracle("remove_emojis", ["fx_planted"], f"SELECT doc_id, {d_emoji('text')} AS no_emojis FROM fx_planted")
+oracle("remove_quotes", ["fx_planted"], f"SELECT doc_id, {d_quotes('text')} AS unquoted FROM fx_planted")
+oracle("blank_markers", ["fx_planted"], f"SELECT doc_id, {d_blank('text')} AS unmarked FROM fx_planted")
+oracle("normalize_text", ["fx_planted"], f"SELECT doc_id, {d_normalize('text')} AS normalized FROM fx_planted")
+oracle("word_count", ["fx_planted"], f"SELECT doc_id, {d_words('text')} AS n_words FROM fx_planted")
+oracle("has_image", ["fx_threads"], "SELECT thread_id, thread_id IN (SELECT CAST(page_id AS VARCHAR) FROM pages) AS has_image FROM fx_threads")
 oracle("flair_norm", ["fx_threads"],
        f"SELECT thread_id, lower({d_strip(chr(39).join(['coalesce(link_flair_text, ', '[No Flair]', ')']))}) AS flair FROM fx_threads")
 oracle("title_and_selftext", ["fx_threads"],

@@ -28,10 +28,10 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select(F.col("page_id"), F.col("url").alias("external_url"))
     title = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
     out = (
-        d.where(F.col("doc_id") % 17 != 3)
-        .join(p, F.col("page_id") == F.col("doc_id"), "left")
+        d.join(p, F.col("page_id") == F.col("doc_id"), "left")
         .select(
-            F.col("doc_id").cast("string").alias("thread_id"),
+            # some threads are known by another id, so that comments name absent threads
+            F.concat(F.when(F.col("doc_id") % 17 == 3, "moved-").otherwise(""), F.col("doc_id").cast("string")).alias("thread_id"),
             title.alias("title"),
             F.expr("substr(text, length(split_part(text, char(10), 1)) + 2)").alias("selftext"),
             F.when(F.col("doc_id") % 4 == 0, F.lit(None).cast("string"))
@@ -50,6 +50,18 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def planted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, with a link, a quoted line or an emoji and odd spaces put to its text by id; and one marker-only
+    row for every seventh document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    k = F.col("doc_id") % 4
+    text = (F.when(k == 1, F.concat("text", F.lit("  https://ex.org/a?b="), F.col("doc_id").cast("string"), F.lit(" www.ex.org/c end")))
+            .when(k == 2, F.concat(F.lit("> quoted line\n"), F.col("text"), F.lit("\n  > another")))
+            .when(k == 3, F.concat("text", F.lit(" \U0001F600  ok\u00a0\t end"))).otherwise(F.col("text")))
+    marks = d.where(F.col("doc_id") % 7 == 0).select((-F.col("doc_id") - 1).alias("doc_id"), F.when(F.col("doc_id") % 2 == 0, " [deleted] ").otherwise("[removed]").alias("text"))
+    return d.select("doc_id", text.alias("text")).unionByName(marks)
+
+
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     e = table(spark, sf_dir, "events")
@@ -58,7 +70,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.join(d.select("doc_id", "text"), F.col("doc_key") == F.col("doc_id")).select(
         F.col("event_id").cast("string").alias("comment_id"),
         F.col("user_id").cast("string").alias("thread_id"),
-        F.substring("text", 1, 400).alias("body"),
+        F.col("text").alias("body"),
         F.when(F.col("event_id") % 53 == 0, F.lit(None).cast("int"))
         .otherwise(F.floor("value").cast("int") - 30)
         .alias("score"),
@@ -70,8 +82,8 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    return v.where(F.col("vec_id") % 7 != 6).select(
-        F.col("vec_id").cast("string").alias("thread_id"),
+    return v.select(
+        F.concat(F.when(F.col("vec_id") % 7 == 6, "moved-").otherwise(""), F.col("vec_id").cast("string")).alias("thread_id"),
         F.when(F.col("label") == 0, F.lit(-1)).otherwise(F.col("label")).cast("int").alias("topic_id"),
     )
 

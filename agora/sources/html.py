@@ -32,26 +32,38 @@ class _TextCollector(HTMLParser):
         self.skip = skip
         self.depth = 0
         self.parts: list[str] = []
+        self.held: list[str] = []
+
+    def flush(self):
+        """One text node ends: the parser may have handed it over in several pieces around a bare '<'."""
+        s = "".join(self.held).strip()
+        self.held = []
+        if s:
+            self.parts.append(s)
 
     def handle_starttag(self, tag, attrs):
+        self.flush()
         if tag in self.skip:
             self.depth += 1
 
     def handle_endtag(self, tag):
+        self.flush()
         if tag in self.skip and self.depth > 0:
             self.depth -= 1
 
     def handle_data(self, data):
         if self.depth == 0:
-            s = data.strip()
-            if s:
-                self.parts.append(s)
+            self.held.append(data)
+
+    def handle_comment(self, data):
+        self.flush()
 
 
 def html_to_text(x: str, skip: frozenset[str] = NON_TEXT_TAGS, unescape_first: bool = True) -> str:
     p = _TextCollector(skip)
     p.feed(_html.unescape(x) if unescape_first else x)
     p.close()
+    p.flush()
     return " ".join(p.parts)
 
 

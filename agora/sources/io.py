@@ -35,9 +35,16 @@ def image_thread_ids(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def write_embeddings(vecs: DataFrame, path: str, model: str, mode: str = "ignore") -> None:
-    """(thread_id, embedding) Parquet; the model name travels as a column-free table property."""
-    vecs.select("thread_id", F.col("embedding").cast("array<float>")).write.mode(mode) \
-        .option("parquet.metadata.model", model).parquet(path)
+    """(thread_id, embedding) Parquet, and beside it one row of metadata: model, n, dim, dtype."""
+    vecs.select("thread_id", F.col("embedding").cast("array<float>")).write.mode(mode).parquet(path)
+    stored = vecs.sparkSession.read.parquet(path)
+    stored.agg(F.lit(model).alias("model"), F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim"),
+               F.lit("float32").alias("dtype")).coalesce(1).write.mode(mode).json(f"{path.rstrip('/')}.meta")
+
+
+def read_embeddings_meta(spark: SparkSession, path: str) -> dict:
+    """What ``write_embeddings`` noted: model, n, dim, dtype."""
+    return spark.read.schema("model string, n long, dim int, dtype string").json(f"{path.rstrip('/')}.meta").first().asDict()
 
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:

@@ -19,8 +19,8 @@ from ..schemas import COMMENTS
 
 
 def cleaned_comments(comments: DataFrame, min_words: int = CLEANING.min_words, lexicon=None) -> DataFrame:
-    """Quote removal, normalisation (no HTML parse: JVM-only), length filter, compound score."""
-    body = tx.normalize_text(tx.remove_quotes(F.coalesce(F.col("body"), F.lit(""))), html=False)
+    """Quote removal, the batch's normalisation, length filter, compound score."""
+    body = tx.normalize_text(tx.remove_quotes(F.coalesce(F.col("body"), F.lit(""))))
     out = comments.withColumn("body", body).withColumn("body_len", tx.word_count("body"))
     return out.where(F.col("body_len") >= min_words).withColumn("compound", se.sentiment_compound("body", lexicon))
 

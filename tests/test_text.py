@@ -99,3 +99,20 @@ def test_python_whitespace_and_line_parity(spark):
         assert r.w == re.sub(r"\s{2,}", " ", c)
         assert r.n == len(c.split())
         assert r.t == c.strip()
+
+
+def test_text_node_around_a_bare_less_than_stays_whole():
+    from agora.sources.html import html_to_text
+    assert html_to_text("I <3 you") == "I <3 you"
+    assert html_to_text("a < b and <b>c</b> d<!-- x -->e") == "a < b and c d e"
+    assert html_to_text("x<script>y < z</script> w") == "x w"
+
+
+def test_planted_texts_change_every_text_operator(spark):
+    from agora.functions import text as tx
+    from agora.sources import fixtures as fx
+    from pyspark.sql import functions as F
+    t = fx.planted_texts(spark, "/root/testdata/sf0.001")
+    n = t.count()
+    for fn in (tx.collapse_ws, tx.remove_urls, tx.remove_emojis, tx.remove_quotes, tx.blank_markers, tx.normalize_text):
+        assert t.where(~fn(F.col("text")).eqNullSafe(F.col("text"))).count() > 0.05 * n, fn.__name__
