@@ -1,8 +1,9 @@
 """Batch search (X2, X4, J7, J8, K3, K8): queries -> top-K threads -> near-dup
 removal -> matched threads and comments -> context, summary and thread cards.
 
-The matched-id table is bounded by (#queries x K) rows, so it is broadcast
-into the thread and comment scans.
+The matched-id table has at most #queries x K rows. It is written once; the
+thread and comment scans take it by broadcast where its counted rows are within
+the bound, by a shuffle join beyond it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import sentiment as se
 from ..functions import text as tx
 from ..params import SEARCH
-from ..session import ensure_checkpoint_dir
+from ..session import broadcast_if_small, materialise
 from . import cards as cd
 from .vectors import cosine_topk, greedy_dedup
 
@@ -23,16 +24,15 @@ SERVING_URL_ORDER = ("thread_url", "external_url", "permalink")
 def matched_threads(queries: DataFrame, vectors: DataFrame, k: int = SEARCH.top_k_threads,
                     threshold: float = SEARCH.dedup_threshold) -> DataFrame:
     """V4 + V5: (query_id, thread_id, score, rank) kept after near-duplicate removal."""
-    top = cosine_topk(queries, vectors, k)
-    cands = top.join(vectors.select("thread_id", "embedding"), "thread_id")
-    return greedy_dedup(cands, threshold)
+    top = cosine_topk(queries, vectors, k, with_vectors=True)
+    return materialise(greedy_dedup(top, threshold), "matched")
 
 
 def query_context(queries: DataFrame, matched: DataFrame, threads: DataFrame, comments: DataFrame,
                   k_comments: int = SEARCH.top_k_comments, cap: int = SEARCH.query_context_chars) -> DataFrame:
     """(query_id, context).  Threads in thread_id order; per thread its top
     comments by score; blank comment snippets skipped; capped at ``cap``."""
-    ids = F.broadcast(matched.select("query_id", "thread_id"))
+    ids = broadcast_if_small(matched.select("query_id", "thread_id"))
     mt = threads.join(ids, "thread_id")
     mc = comments.join(ids, "thread_id")
     top = _top_comments(mc, k_comments)
@@ -57,10 +57,10 @@ def _top_comments(mc: DataFrame, k: int) -> DataFrame:
 
 def thread_cards(matched: DataFrame, threads: DataFrame, comments: DataFrame, lexicon=None) -> DataFrame:
     """X4 cards: one row per (query, matched thread) with stats, nested dist/timeline."""
-    ids = F.broadcast(matched.select("query_id", "thread_id", F.col("score").alias("_sim")))
+    ids = broadcast_if_small(matched.select("query_id", "thread_id", F.col("score").alias("_sim")))
     t = tx.resolve_url(threads, list(SERVING_URL_ORDER), out="_url")
     mt = t.join(ids, "thread_id")
-    mc = cd.scored_comments(comments.join(F.broadcast(matched.select("query_id", "thread_id")), "thread_id"), lexicon)
+    mc = cd.scored_comments(comments.join(ids.drop("_sim"), "thread_id"), lexicon)
     stats = mc.groupBy("query_id", "thread_id").agg(*se.dist_aggs(), se.avg_agg())
     daily = mc.where(F.col("created_utc").isNotNull()).groupBy(
         "query_id", "thread_id", F.date_format("created_utc", "yyyy-MM-dd").alias("date")).agg(

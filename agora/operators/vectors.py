@@ -1,12 +1,12 @@
 """Vector operators (J5, V3, V4, V5, query centroids).
 
-Cosine top-K (V4) is a distributed scan: the query batch (size-checked) is a
-broadcast variable; every vector partition computes its scores with one
-NumPy mat-mul per Arrow batch and emits only its local top-k per query
-(ties broken by id, so local and global orders agree); a ``row_number``
-window with a partial ``WindowGroupLimit`` then keeps the global top-k.
-Query batches above the broadcast bound are split into chunks whose results
-are unioned.
+Cosine top-K (V4) is a distributed scan: a query batch within
+``MAX_QUERY_BYTES`` is a broadcast variable; every vector partition scores in
+bounded blocks of NumPy mat-muls and emits its local top-k per query with the
+vectors (ties broken by id, so local and global orders agree); a
+``row_number`` window with a partial ``WindowGroupLimit`` then keeps the
+global top-k.  Larger batches never reach the driver: they are dealt into
+batches that meet shards of the vectors in co-groups.
 """
 
 from __future__ import annotations
@@ -17,9 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import SEARCH
+from ..session import materialise
 from .ranking import top_k_per_group
 
-MAX_QUERY_BYTES = 64 << 20
+MAX_QUERY_BYTES = 16 << 20
+SCORE_BYTES = 32 << 20
+SHARD_ROWS = 16_384
 
 
 def _c(c) -> Column:
@@ -75,89 +78,82 @@ def centroids(vectors: DataFrame, key: str, id_prefix: str = "") -> DataFrame:
     return vec.select(label.alias("query_id"), label.alias("query_text"), l2_normalize("embedding").alias("embedding"))
 
 
-def _local_topk(query_ids, q, k, id_col):
-    """mapInPandas body: per partition, the k best (score desc, id asc) rows per query."""
-
-    def run(batches):
-        best: list[pd.DataFrame] = []
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            s = x @ q.T  # (n, nq)
-            ids = pdf[id_col].to_numpy()
-            for j, qid in enumerate(query_ids):
-                col = s[:, j]
-                if len(col) > k:
-                    kth = np.partition(col, len(col) - k)[len(col) - k]
-                    keep = np.nonzero(col >= kth)[0]
-                else:
-                    keep = np.arange(len(col))
-                best.append(pd.DataFrame({"query_id": qid, id_col: ids[keep], "score": col[keep]}))
-            if sum(len(b) for b in best) > 64 * k * len(query_ids):
-                best = [_trim(pd.concat(best), k, id_col)]
-        if best:
-            yield _trim(pd.concat(best), k, id_col)
-
-    return run
-
-
-def _trim(df: pd.DataFrame, k: int, id_col: str) -> pd.DataFrame:
-    df = df.sort_values(["query_id", "score", id_col], ascending=[True, False, True], kind="mergesort")
-    return df.groupby("query_id", sort=False).head(k)
-
-
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = SEARCH.top_k_threads,
-                id_col: str = "thread_id", normalize_queries: bool = True) -> DataFrame:
+def _merge(best: tuple, ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> tuple:
+    """``best`` (query, row, score, ids, vectors of the rows) after more rows: the k best (score desc, id asc) of each
+    query. Scores are made in blocks of ``SCORE_BYTES``; only vectors that some query still holds are kept."""
+    qi, row, score, pool, vecs = best
+    base = len(pool)
+    pool, vecs = np.concatenate([pool, ids]), np.concatenate([vecs, x])
+    code = np.unique(pool, return_inverse=True)[1]
+    step = max(k, SCORE_BYTES // (8 * len(q)))
+    for a in range(0, len(ids), step):
+        block = x[a:a + step] @ q.T
+        at = max(len(block) - k, 0)
+        r, c = np.nonzero(block >= np.partition(block, at, axis=0)[at])
+        qi, row, score = np.concatenate([qi, c]), np.concatenate([row, r + a + base]), np.concatenate([score, block[r, c]])
+        order = np.lexsort((code[row], -score, qi))
+        qi, row, score = qi[order], row[order], score[order]
+        keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+        qi, row, score = qi[keep], row[keep], score[keep]
+    used, row = np.unique(row, return_inverse=True)
+    return qi, row, score, pool[used], vecs[used]
+
+
+def _topk_frames(frames, query_ids: np.ndarray, q: np.ndarray, k: int, id_col: str):
+    best = np.empty(0, int), np.empty(0, int), np.empty(0), np.empty(0, object), np.empty((0, q.shape[-1]))
+    for pdf in frames:
+        if len(pdf) and len(q):
+            best = _merge(best, pdf[id_col].to_numpy(), np.stack(pdf["embedding"].to_numpy()), q, k)
+    qi, row, score, pool, vecs = best
+    for a in range(0, len(qi), 10_000):
+        b = slice(a, a + 10_000)
+        yield pd.DataFrame({"query_id": query_ids[qi[b]], id_col: pool[row[b]], "score": score[b], "embedding": list(vecs[row[b]])})
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = SEARCH.top_k_threads, id_col: str = "thread_id",
+                normalize_queries: bool = True, with_vectors: bool = False) -> DataFrame:
     """V4: per query, the k stored vectors with the largest dot product.
 
     Queries are normalised; stored rows are assumed unit length (not
-    re-normalised).  Returns (query_id, id, score, rank), rank 1 = best.
+    re-normalised).  Null vectors, null components and vectors of another
+    length than the queries' take no part.  Returns (query_id, id, score,
+    rank), rank 1 = best, and with ``with_vectors`` the stored ``embedding``,
+    so that no caller joins the store again.
     """
+    spark = vectors.sparkSession
     qcol = l2_normalize("embedding") if normalize_queries else F.col("embedding")
-    qdf = queries.select(F.col("query_id").cast("string").alias("query_id"), qcol.alias("embedding")).cache()
-    try:
-        return _cosine_topk(qdf, vectors, k, id_col)
-    finally:
-        qdf.unpersist()
-
-
-def _cosine_topk(qdf: DataFrame, vectors: DataFrame, k: int, id_col: str) -> DataFrame:
-    n_q = qdf.count()
-    if n_q == 0:
-        return vectors.sparkSession.createDataFrame([], f"query_id string, {id_col} string, score double, rank int")
-    dim = len(qdf.select("embedding").first()[0])
-    per_chunk = max(1, MAX_QUERY_BYTES // (8 * max(dim, 1)))
-    chunks = []
-    # Chunk ids by hashing: no global ordering window over the query batch.
-    n_chunks0 = 2 * ((n_q + per_chunk - 1) // per_chunk) if n_q > per_chunk else 1
-    chunked = qdf.withColumn("_chunk", F.pmod(F.xxhash64("query_id"), F.lit(n_chunks0))) if n_chunks0 > 1 else None
-    n_chunks = n_chunks0
-    sc = vectors.sparkSession.sparkContext
-    for ci in range(n_chunks):
-        part = qdf if chunked is None else chunked.where(F.col("_chunk") == ci).drop("_chunk")
-        rows = part.orderBy("query_id").collect()
-        if not rows:
-            continue
-        qids = [r["query_id"] for r in rows]
-        qmat = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        bq = sc.broadcast((qids, qmat))
-        run = _local_topk_bc(bq, k, id_col)
-        local = vectors.select(F.col(id_col).cast("string").alias(id_col), "embedding").mapInPandas(
-            run, f"query_id string, {id_col} string, score double")
-        chunks.append(local)
-    local = chunks[0]
-    for c in chunks[1:]:
-        local = local.unionByName(c)
-    return top_k_per_group(local, ["query_id"], [F.col("score").desc(), F.col(id_col)], k)
-
-
-def _local_topk_bc(bq, k, id_col):
-    def run(batches):
-        qids, qmat = bq.value
-        yield from _local_topk(qids, qmat, k, id_col)(batches)
-
-    return run
+    whole = F.forall("embedding", lambda x: x.isNotNull())
+    q = materialise(queries.where(whole).select(F.col("query_id").cast("string").alias("query_id"), qcol.cast("array<double>").alias("embedding")), "queries")
+    n, dim = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    v = vectors.where(whole & (F.size("embedding") == dim)).select(
+        F.col(id_col).cast("string").alias(id_col), F.col("embedding").cast("array<double>").alias("embedding"))
+    schema = f"query_id string, {id_col} string, score double, embedding array<double>"
+    if 8 * n * dim <= MAX_QUERY_BYTES:
+        rows = q.orderBy("query_id").collect()  # within MAX_QUERY_BYTES
+        batch = spark.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=object),
+                                              np.array([r[1] for r in rows], dtype=float).reshape(n, dim)))
+        local = v.mapInPandas(lambda frames: _topk_frames(frames, *batch.value, k, id_col), schema)
+    else:
+        local = _topk_in_groups(q, v, k, id_col, schema, -(-16 * n * dim // MAX_QUERY_BYTES))
+    top = top_k_per_group(local, ["query_id"], [F.col("score").desc(), F.col(id_col)], k)
+    return top.select("query_id", id_col, "score", "rank", *(["embedding"] if with_vectors else []))
+
+
+def _topk_in_groups(q: DataFrame, v: DataFrame, k: int, id_col: str, schema: str, batches: int) -> DataFrame:
+    """Query batches beyond the broadcast bound: every (shard of vectors, batch of queries) is one co-group."""
+    shards = max(1, -(-v.count() // SHARD_ROWS))
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = v.withColumn("_s", F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int")).withColumn("_b", each(batches))
+    right = q.withColumn("_b", F.pmod(F.xxhash64("query_id", "embedding"), F.lit(batches)).cast("int")).withColumn("_s", each(shards))
+
+    def run(rows: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": [], id_col: [], "score": [], "embedding": []}, dtype=object)
+        if not len(rows) or not len(batch):
+            return empty
+        found = _topk_frames([rows], batch["query_id"].to_numpy(), np.stack(batch["embedding"].to_numpy()), k, id_col)
+        return pd.concat([*found], ignore_index=True)
+
+    return left.groupBy("_s", "_b").cogroup(right.groupBy("_s", "_b")).applyInPandas(run, schema)
 
 
 def greedy_dedup(cands: DataFrame, threshold: float = SEARCH.dedup_threshold, id_col: str = "thread_id") -> DataFrame:

@@ -396,14 +396,13 @@ def q_cosine_topk(spark, sf_dir):
 @query("greedy_dedup")
 def q_greedy_dedup(spark, sf_dir):
     vec = fx.planted_vectors(spark, sf_dir)
-    top = vx.cosine_topk(label_queries(spark, sf_dir), vec, k=20)
-    kept = vx.greedy_dedup(top.join(vec.select("thread_id", "embedding"), "thread_id"))
+    kept = vx.greedy_dedup(vx.cosine_topk(label_queries(spark, sf_dir), vec, k=20, with_vectors=True))
     return kept.select("query_id", "thread_id", r6("score").alias("score"), "rank")
 
 
 def _search_parts(spark, sf_dir):
     q = label_queries(spark, sf_dir)
-    matched = sr.matched_threads(q, fx.planted_vectors(spark, sf_dir))  # checkpointed (bounded)
+    matched = sr.matched_threads(q, fx.planted_vectors(spark, sf_dir))  # written once
     return q, matched, trending_threads(spark, sf_dir), fx.comments(spark, sf_dir)
 
 

@@ -10,8 +10,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A table of keys beyond this many rows is joined by a shuffle instead of a broadcast.
+MAX_BROADCAST_ROWS = 1_000_000
 
 LOCAL_CONF = {
     "spark.ui.enabled": "false",
@@ -58,3 +63,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="agora-ckpt-", dir=os.environ.get("AGORA_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once under the shared checkpoint folder and read it back, for results that several branches read."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Broadcast hint on a materialised table of keys whose row count is within the bound; else the table as it is."""
+    return F.broadcast(df) if df.count() <= (MAX_BROADCAST_ROWS if max_rows is None else max_rows) else df

@@ -80,3 +80,24 @@ def test_identical_points_cluster(spark):
     lab = {r.thread_id: r.topic_id for r in cu.topic_clusters(df, reduce=False, block_size=16).collect()}
     assert {lab[f"a{i:02d}"] for i in range(20)} == {0} and {lab[f"b{i:02d}"] for i in range(20)} == {1}
     assert lab["z"] == -1
+
+
+def test_cosine_topk_defined_cases(spark, monkeypatch):
+    rows = [("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [1.0, 0.0]), ("n", None), ("p", [None, 1.0]), ("l", [1.0, 0.0, 0.0]), ("z", [0.0, 1.0])]
+    vec = spark.createDataFrame(rows, "thread_id string, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([("q", [2.0, 0.0]), ("r", [0.0, 5.0])], "query_id string, embedding array<double>")
+    want = [("q", "a", 1, [1.0, 0.0]), ("q", "b", 2, [1.0, 0.0]), ("r", "a", 2, [1.0, 0.0]), ("r", "z", 1, [0.0, 1.0])]
+    for size in (16 << 20, 16):
+        monkeypatch.setattr(vx, "MAX_QUERY_BYTES", size)
+        monkeypatch.setattr(vx, "SHARD_ROWS", 2)
+        got = vx.cosine_topk(q, vec, k=2, with_vectors=True)
+        assert sorted(map(tuple, got.select("query_id", "thread_id", "rank", "embedding").collect())) == want
+    assert vx.cosine_topk(q.limit(0), vec, k=2).count() == 0 and vx.cosine_topk(q, vec.limit(0), k=2).count() == 0
+
+
+def test_search_keys_join_alike_beyond_the_broadcast_bound(spark, monkeypatch):
+    from agora import session
+    from agora.plans.catalog import QUERIES as queries
+    a = sorted(map(str, queries["thread_cards"](spark, SF001).collect()))
+    monkeypatch.setattr(session, "MAX_BROADCAST_ROWS", 0)
+    assert a and sorted(map(str, queries["thread_cards"](spark, SF001).collect())) == a
