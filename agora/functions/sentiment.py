@@ -2,8 +2,8 @@
 
 The lexicon is data (token -> valence).  A lexicon of checked size becomes
 one map literal shipped with the plan, so scoring is a per-row JVM expression
-(no shuffle, no Python).  Beyond the size bound ``compound_by_join`` scores
-through an explode + join + grouped sum with the same rules.
+(no shuffle, no Python).  Beyond the size bound ``with_compound`` takes
+``compound_by_join``: explode + join, with the same rules.
 
 Rules, after the published heuristics of Hutto & Gilbert (2014); numeric
 parity with any particular library is not claimed:
@@ -193,25 +193,37 @@ def sentiment_compound(c, lexicon: DataFrame | dict | None = None) -> Column:
 
 
 def compound_by_join(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
-    """E1 for lexicons too large for a map literal: explode, join, grouped sum.
+    """E1 for lexicons too large for a map literal: explode, join, the hits of a text as a map from position to valence.
 
-    Same tokens and rules; adds ``compound`` to ``df``.  Only lexicon hits
-    survive the join, so the grouped sum shuffles one partial row per comment
-    with a hit.
+    Same tokens and rules; adds ``compound`` to ``df``, whose ``id_col`` is unique. Only positions and tokens are
+    exploded; only lexicon hits survive the join.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    arrays = df.select(id_col, text.alias("_text"), raw_tokens(text).alias("_raw")).select(
-        id_col, "_text", "_raw",
-        _let(F.col("_raw"), lambda raw: _row_arrays(raw, lambda low, neg, boost, but, mixed: F.struct(
-            low.alias("low"), neg.alias("neg"), boost.alias("boost"), but.alias("but"), mixed.alias("mixed")))).alias("_a"))
-    exploded = arrays.select(id_col, "_raw", "_a", F.posexplode("_a.low").alias("_i", "token"))
-    hits = exploded.join(lexicon.select("token", "valence"), "token").select(
-        id_col, _adjust(F.col("valence"), F.col("_i"), F.col("_raw"), F.col("_a.neg"), F.col("_a.boost"),
-                        F.col("_a.but"), F.col("_a.mixed")).alias("v"))
-    sums = hits.groupBy(id_col).agg(F.sum("v").alias("_s"))
-    out = df.join(sums, id_col, "left")
-    return out.withColumn("compound", _finish(F.coalesce(F.col("_s"), F.lit(0.0)),
-                                              F.coalesce(F.col(text_col), F.lit("")))).drop("_s")
+    words = df.select(id_col, F.posexplode(tokens(text_col)).alias("_i", "token"))
+    values = lexicon.groupBy("token").agg(F.max("valence").cast("double").alias("valence"))
+    hits = words.join(values, "token").groupBy(id_col).agg(
+        F.map_from_entries(F.collect_list(F.struct("_i", "valence"))).alias("_hits"))
+
+    def body(low, neg, boost, but, mixed):
+        value = lambda t, i: F.element_at(F.col("_hits"), i)
+        return F.aggregate(F.transform(low, lambda t, i: F.when(value(t, i).isNotNull(), _adjust(
+            value(t, i), i, F.col("_raw"), neg, boost, but, mixed)).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+
+    out = df.join(hits, id_col, "left").withColumn("_raw", raw_tokens(text_col))
+    total = F.when(F.col("_hits").isNotNull(), _row_arrays(F.col("_raw"), body)).otherwise(F.lit(0.0))
+    return out.withColumn("compound", _finish(total, F.coalesce(F.col(text_col), F.lit("")))).drop("_hits", "_raw")
+
+
+def with_compound(df: DataFrame, text_col: str, lexicon: DataFrame | dict | None = None,
+                  max_map: int = MAX_MAP_LEXICON) -> DataFrame:
+    """E1 as a column ``compound``: by a map literal, or by joins where the lexicon table has over ``max_map`` rows.
+
+    The score depends on the text alone, so the joins run over distinct texts (by SHA-256), whatever ids ``df`` has.
+    """
+    if not isinstance(lexicon, DataFrame) or lexicon.count() <= max_map:
+        return df.withColumn("compound", sentiment_compound(text_col, lexicon))
+    keyed = df.withColumn("_text", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    texts = keyed.select("_text", F.coalesce(F.col(text_col), F.lit("")).alias("_whole")).dropDuplicates(["_text"])
+    return keyed.join(compound_by_join(texts, "_text", "_whole", lexicon).select("_text", "compound"), "_text").drop("_text")
 
 
 def sentiment_bucket(c) -> Column:

@@ -1,8 +1,9 @@
 """Trailing-window activity and the per-thread document builder.
 
 The window end is a data-dependent scalar (``max`` over dated comments of
-known threads).  It is a scalar subquery: one partial/final aggregate whose
-single value is shipped to every task, and the main plan stays one lazy plan.
+known threads).  One partial/final aggregate finds it, and its single value
+enters the main plan as a literal, so the window predicate can reach the scan
+of the comments and row-group statistics can skip old ones.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ def known_thread_comments(comments: DataFrame, threads: DataFrame) -> DataFrame:
 
 
 def window_end(comments: DataFrame, threads: DataFrame) -> Column:
-    """A1: latest comment time over dated comments of known threads (scalar Column)."""
+    """A1: latest comment time over dated comments of known threads (a literal; null without such comments)."""
     known = known_thread_comments(comments, threads).where(F.col("created_utc").isNotNull())
-    return known.agg(F.max("created_utc")).scalar()
+    latest = known.agg(F.max("created_utc").cast("string")).first()[0]
+    return F.lit(latest).cast(comments.schema["created_utc"].dataType)
 
 
 def windowed_comments(comments: DataFrame, threads: DataFrame, days: int = 14,
@@ -62,13 +64,14 @@ def top_comments_text(windowed: DataFrame, as_of: Column, k: int = 5, snippet_ch
 
 
 def build_docs(threads: DataFrame, comments: DataFrame, days: int = 14, k: int = 5,
-               as_of: Column | None = None, url_order=("external_url", "url", "permalink")) -> DataFrame:
+               as_of: Column | None = None, url_order=("external_url", "url", "permalink"),
+               end: Column | None = None) -> DataFrame:
     """Active-thread documents for the trailing window.
 
     ``threads`` must carry ``title_and_selftext``.  ``as_of`` defaults to the
-    window end (deterministic, unlike a wall clock).
+    window end (deterministic, unlike a wall clock); a known window end can be passed as ``end``.
     """
-    end = window_end(comments, threads)
+    end = window_end(comments, threads) if end is None else end
     as_of = end if as_of is None else as_of
     win = windowed_comments(comments, threads, days, end)
     active = resolve_url(active_threads(threads, win), list(url_order))

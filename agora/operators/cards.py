@@ -67,7 +67,7 @@ def summarise_topics(contexts: DataFrame, summariser: Summariser | None = None)
 
 
 def scored_comments(comments: DataFrame, lexicon=None) -> DataFrame:
-    return comments.withColumn("compound", se.sentiment_compound("body", lexicon))
+    return se.with_compound(comments, "body", lexicon)
 
 
 def daily_counts(comments: DataFrame, key: str) -> DataFrame:

@@ -359,7 +359,15 @@ def q_sentiment_over_time(spark, sf_dir):
 
 @query("home_feed")
 def q_home_feed(spark, sf_dir):
-    return ru.home_feed(trending_given_topics(spark, sf_dir).cards)
+    """X8 with the nested arrays written as text: one line for each card in order, and date=count points."""
+    f = ru.home_feed(trending_given_topics(spark, sf_dir).cards)
+    card = lambda t: F.concat_ws(
+        "|", t["topic_id"].cast("string"), t["headline"], t["summary"], F.array_join(F.transform(t["threads"], lambda x: x["thread_id"]), ","),
+        *[t["sentiment_dist"][k].cast("string") for k in ("positive", "neutral", "negative")], t["total_comments"].cast("string"),
+        t["last_updated"], F.size(t["comment_timeline"]).cast("string"))
+    return f.select(
+        F.array_join(F.transform("topics", card), "\n").alias("topics"),
+        F.array_join(F.transform("overall_timeline", lambda p: F.concat(p["date"], F.lit("="), p["count"].cast("string"))), ",").alias("overall_timeline"))
 
 
 # --------------------------------------------------------------- vectors and search
@@ -449,8 +457,15 @@ def q_sentiment_share(spark, sf_dir):
 
 @query("search")
 def q_search(spark, sf_dir):
-    q, _, threads, comments = _search_parts(spark, sf_dir)
-    return sr.search(q, fx.planted_vectors(spark, sf_dir), threads, comments)
+    """X4, one row for each card in order (one row without a card where nothing matched)."""
+    found = sr.search(label_queries(spark, sf_dir), fx.planted_vectors(spark, sf_dir), trending_threads(spark, sf_dir), fx.comments(spark, sf_dir))
+    c = found.select("query_id", "query_text", "summary", F.posexplode_outer("threads").alias("position", "card"))
+    return c.select(
+        "query_id", "query_text", "summary", "position",
+        *[F.col(f"card.{k}").alias(k) for k in ("thread_id", "title", "url", "score", "num_comments", "similarity", "sentiment_avg")],
+        *[F.col(f"card.sentiment_dist.{k}").alias(k) for k in ("positive", "neutral", "negative")],
+        F.size("card.comment_timeline").cast("long").alias("n_days"),
+        F.aggregate("card.comment_timeline", F.lit(0).cast("long"), lambda a, p: a + p["count"]).alias("timeline_count"))
 
 
 # --------------------------------------------------------------- clustering, embedding, batch

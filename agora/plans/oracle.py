@@ -418,6 +418,11 @@ SELECT name, value FROM (
   SELECT 'Positive' AS name, CAST(coalesce(sum(positive), 0) AS BIGINT) AS value FROM tstats UNION ALL
   SELECT 'Neutral', CAST(coalesce(sum(neutral), 0) AS BIGINT) FROM tstats UNION ALL
   SELECT 'Negative', CAST(coalesce(sum(negative), 0) AS BIGINT) FROM tstats) WHERE value > 0""")
+oracle("home_feed", ["cards", "otl"], """
+SELECT (SELECT string_agg(concat_ws('|', CAST(topic_id AS VARCHAR), headline, summary, thread_ids, CAST(positive AS VARCHAR),
+    CAST(neutral AS VARCHAR), CAST(negative AS VARCHAR), CAST(total_comments AS VARCHAR), last_updated, CAST(n_days AS VARCHAR)),
+    chr(10) ORDER BY topic_trend_score DESC, topic_id) FROM cards) AS topics,
+  (SELECT string_agg(date || '=' || count, ',' ORDER BY date) FROM otl) AS overall_timeline""")
 oracle("recent_activity", ["otl"], """
 SELECT substr(date, 6, 5) AS date, count FROM (SELECT * FROM otl ORDER BY date DESC LIMIT 14)""")
 oracle("trend_bars", ["cards"], """
@@ -510,10 +515,18 @@ _SEARCH_CTES = _greedy(5) + [
 ]
 _SEARCH_USES = ["qcent", "fx_vec3", "fx_threads", "csent"]
 oracle("query_context", _SEARCH_USES, "SELECT query_id, context FROM qctx", _SEARCH_CTES)
-oracle("query_summary", _SEARCH_USES, f"""
+_SUMMARY = f"""
 SELECT query_id, '[Placeholder summary] Based on the matched threads: ' || substr(array_to_string(list_slice(
   list_transform(list_filter(string_split(context, chr(10)), lambda l: {d_strip('l')} <> '' AND NOT starts_with(l, 'USER QUERY')),
-                 lambda l: {d_strip('l')}), 1, 3), ' '), 1, 200) || '...' AS summary FROM qctx""", _SEARCH_CTES)
+                 lambda l: {d_strip('l')}), 1, 3), ' '), 1, 200) || '...' AS summary FROM qctx"""
+oracle("query_summary", _SEARCH_USES, _SUMMARY, _SEARCH_CTES)
+oracle("search", _SEARCH_USES, f"""
+SELECT q.query_id, q.query_text, s.summary,
+  CASE WHEN c.thread_id IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY c.similarity DESC, k.rank) - 1 AS INTEGER) END AS position,
+  c.thread_id, c.title, c.url, c.score, c.num_comments, c.similarity, c.sentiment_avg, c.positive, c.neutral, c.negative,
+  c.n_days, c.timeline_count
+FROM qcent q LEFT JOIN ({_SUMMARY.strip()}) s ON s.query_id = q.query_id LEFT JOIN tcards c ON c.query_id = q.query_id
+LEFT JOIN kept k ON k.query_id = c.query_id AND k.thread_id = c.thread_id""", _SEARCH_CTES)
 oracle("thread_cards", _SEARCH_USES, "SELECT * FROM tcards", _SEARCH_CTES)
 oracle("similarity_pct", _SEARCH_USES,
        "SELECT query_id, thread_id, CAST(floor(similarity * 100 + 0.5) AS BIGINT) AS similarity_pct FROM tcards",

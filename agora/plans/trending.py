@@ -32,11 +32,11 @@ class TrendingResult:
 
 
 def scored_docs(threads: DataFrame, comments: DataFrame, topics: DataFrame, days: int = TRENDING.days,
-                as_of: Column | None = None) -> tuple[DataFrame, DataFrame]:
+                as_of: Column | None = None, end: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """X1 + J4 + F4 + M2: documents of the active threads with topic and trend score."""
-    end = act.window_end(comments, threads)
+    end = act.window_end(comments, threads) if end is None else end
     as_of = end if as_of is None else as_of
-    docs = act.build_docs(threads, comments, days, TRENDING.comments_per_thread, as_of)
+    docs = act.build_docs(threads, comments, days, TRENDING.comments_per_thread, as_of, end=end)
     return docs, tr.score_topic_threads(docs, topics, as_of)
 
 
@@ -54,7 +54,7 @@ def top_topics_with_summaries(trends: DataFrame, scored: DataFrame, n: int = TRE
 
 def trending_from_topics(threads: DataFrame, comments: DataFrame, topics: DataFrame,
                          days: int = TRENDING.days, as_of: Column | None = None, summariser=None,
-                         lexicon=None, materialize: bool = True) -> TrendingResult:
+                         lexicon=None, materialize: bool = True, end: Column | None = None) -> TrendingResult:
     """Trends, top topics and cards from given topic labels.
 
     ``materialize`` writes the scored active-thread documents once with a
@@ -62,7 +62,7 @@ def trending_from_topics(threads: DataFrame, comments: DataFrame, topics: DataFr
     listed threads all read them, so the window, joins and comment ranking run
     once, and a lost executor recomputes nothing upstream of the checkpoint.
     """
-    docs, scored = scored_docs(threads, comments, topics, days, as_of)
+    docs, scored = scored_docs(threads, comments, topics, days, as_of, end)
     if materialize:
         ensure_checkpoint_dir(scored.sparkSession)
         scored = scored.checkpoint()
@@ -84,4 +84,4 @@ def trending_topics(threads: DataFrame, comments: DataFrame, store: DataFrame, d
     active = act.active_threads(threads, win)
     vecs = active_embeddings(active, store)
     topics = topic_clusters(vecs, **cluster_kw)
-    return trending_from_topics(threads, comments, topics, days, as_of, summariser, lexicon)
+    return trending_from_topics(threads, comments, topics, days, as_of, summariser, lexicon, end=end)

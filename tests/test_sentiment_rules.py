@@ -38,3 +38,14 @@ def test_join_path_agrees(spark):
     lex = spark.createDataFrame(list(se.DEFAULT_LEXICON.items()), "token string, valence double")
     joined = {r.id: r.compound for r in se.compound_by_join(df, "id", "body", lex).collect()}
     assert all(abs(direct[k] - joined[k]) < 1e-12 for k in direct)
+
+
+def test_large_lexicon_scores_like_the_map(spark):
+    """Beyond the bound of the map literal the same texts get the same scores, whatever ids the rows have."""
+    rows = [(1, "Not a GOOD idea but really great!"), (1, "Not a GOOD idea but really great!"), (2, None), (3, "plain"),
+            (None, "good good bad??"), (4, "")]
+    df = spark.createDataFrame(rows, "comment_id int, body string")
+    lex = spark.createDataFrame(list(se.DEFAULT_LEXICON.items()), "token string, valence double")
+    small = sorted(map(str, se.with_compound(df, "body", lex).collect()))
+    assert sorted(map(str, se.with_compound(df, "body", lex, max_map=1).collect())) == small
+    assert len(small) == len(rows)
