@@ -3,7 +3,7 @@
 The text gets a whitespace marker in front, and every space is the marker. Among all ways to cut it into pieces the
 one with the greatest sum of log scores is taken; a character without a piece of its own costs the least score less 10
 and falls back to its UTF-8 bytes. No piece has a marker after another character, so the text falls into units (markers,
-then other characters) that are solved apart; equal units of a chunk of texts are solved once, many at a time over
+then other characters) that are solved apart; equal units of a run of about ``RUN`` bytes are solved once, many at a time over
 arrays, and units of over ``LONG`` bytes one by one. Decoding joins the pieces, turns markers to spaces, puts byte
 pieces together and drops the marker in front.
 
@@ -32,6 +32,7 @@ from agora.llm.common import BASES, BYTE, Spans
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LONG = 48
+RUN = 1 << 20
 MARK = "▁".encode()
 CHAR = np.ones(256, dtype=np.int64)
 CHAR[0xC0:0xE0], CHAR[0xE0:0xF0], CHAR[0xF0:] = 2, 3, 4
@@ -223,24 +224,12 @@ def _many(m: Model, grid: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.
     return ids[np.lexsort((pos, who))], np.bincount(who, minlength=n)
 
 
-def encode_texts(m: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts in order, and where each text's begin (one more at the end)."""
-    raw = [b" " + t.replace(MARK, b" ") if t else b"" for t in texts]
-    offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-    buf = np.frombuffer(b"".join(raw), np.uint8)
-    if not len(buf):
-        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-    space = buf == 32
-    first = space.copy()
-    first[1:] &= ~space[:-1]
-    first[offs[:-1][np.diff(offs) > 0]] = True
-    start = np.flatnonzero(first)
-    end = np.append(start[1:], len(buf))
-    values = BYTE[buf]
-    h = Spans(values).of(start, end)
+def _units(m: Model, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all units in order, and how many each has; equal units are solved once."""
+    h = Spans(BYTE[buf]).of(start, end)
     keys, at, inv = np.unique(h, return_index=True, return_inverse=True)
     lens = (end - start)[at]
-    ids, counts = [None] * len(keys), np.zeros(len(keys), np.int64)
+    counts = np.zeros(len(keys), np.int64)
     order = np.argsort(lens, kind="stable")
     short = order[:np.searchsorted(lens[order], LONG, "right")]
     flat, place, total = [], np.zeros(len(keys), np.int64), 0
@@ -260,9 +249,33 @@ def encode_texts(m: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         flat.append(np.array(x, np.int32))
     flat = np.concatenate(flat)
     c = counts[inv]
-    upto = np.concatenate([[0], np.cumsum(c)])
-    out = flat[np.repeat(place[inv] - upto[:-1], c) + np.arange(upto[-1])]
-    return out, upto[np.searchsorted(start, offs)]
+    upto = np.cumsum(c)
+    return flat[np.repeat(place[inv] - upto + c, c) + np.arange(upto[-1])].astype(np.int32), c
+
+
+def encode_texts(m: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in order, and where each text's begin (one more at the end).
+
+    Units are solved apart, so also a long text is worked off in runs of units of about ``RUN`` bytes."""
+    raw = [b" " + t.replace(MARK, b" ") if t else b"" for t in texts]
+    offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    buf = np.frombuffer(b"".join(raw), np.uint8)
+    if not len(buf):
+        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+    first = buf == 32
+    first[1:] &= buf[:-1] != 32
+    first[offs[:-1][np.diff(offs) > 0]] = True
+    start = np.flatnonzero(first)
+    end = np.append(start[1:], len(buf))
+    ids, counts, i = [], [], 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + RUN)))
+        x, c = _units(m, buf[start[i]:end[j - 1]], start[i:j] - start[i], end[i:j] - start[i])
+        ids.append(x)
+        counts.append(c)
+        i = j
+    upto = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    return np.concatenate(ids), upto[np.searchsorted(start, offs)]
 
 
 def decode_ids(m: Model, ids: np.ndarray, at: np.ndarray) -> list[str]:
@@ -318,7 +331,7 @@ def decode(rows: DataFrame, path: str = VOCABULARY, ids: str = "ids", out: str =
             at = np.concatenate([[0], np.cumsum(counts)])
             i = 0
             while i < len(col):
-                j = min(len(col), max(i + 1, int(np.searchsorted(at, at[i] + (1 << 20), "right")) - 1))
+                j = min(len(col), max(i + 1, int(np.searchsorted(at, at[i] + (RUN >> 2), "right")) - 1))
                 b = batch.slice(i, j - i)
                 texts = decode_ids(model.value, flat[at[i]:at[j]], at[i:j + 1] - at[i])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])

@@ -298,3 +298,15 @@ def test_pipeline(spark, tmp_path):
     for i, t in rows(docs):
         want[i, tuple(sentencepiece.encode_texts(m, [(t or "").encode()])[0].tolist())] += 1
     assert Counter((r.doc_id, tuple(r.ids)) for r in out.collect()) == want and want
+
+
+def test_sentencepiece_runs_do_not_change_ids(monkeypatch):
+    import numpy as np
+    from agora.llm import sentencepiece as sp
+    from tests.llm.conftest import odd_rows
+    m = sp.make_model(sp.read_pieces())
+    texts = [(r[1] or "").encode() for r in odd_rows()]
+    whole, at = sp.encode_texts(m, texts)
+    monkeypatch.setattr(sp, "RUN", 50)
+    ids, at2 = sp.encode_texts(m, texts)
+    assert np.array_equal(whole, ids) and np.array_equal(at, at2)
