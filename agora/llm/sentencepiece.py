@@ -309,7 +309,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, scores: str = "zipf", text:
 
     def run(batches):
         for batch in batches:
-            for i, part in _parts(batch.column(k).cast(pa.binary()), 4 << 20):
+            for i, part in _parts(batch.column(k).cast(pa.binary()), RUN):
                 ids, at = encode_texts(model.value, part)
                 rows = batch.slice(i, len(part))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], names=[*rows.schema.names, "ids"])
@@ -342,13 +342,26 @@ def decode(rows: DataFrame, path: str = VOCABULARY, ids: str = "ids", out: str =
 
 def round_trip(docs: DataFrame, path: str = VOCABULARY, scores: str = "zipf") -> DataFrame:
     """doc_id, n_tokens, n_byte_tokens, ids_sha256 (of the ids as decimal text, one space between), decoded_sha256 and
-    round_trip: whether the decoded text is the text (null: empty)."""
-    coded = decode(encode(docs.select("doc_id", "text"), path, scores), path)
-    low, high = min(b := [i for i, p in enumerate(read_pieces(path, "file")) if p[2] == "byte"]), max(b)
-    return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.size(F.filter("ids", lambda x: x.between(low, high))).cast("long").alias("n_byte_tokens"),
-        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    round_trip: whether the decoded text is the text (null: empty). Encoding and decoding run in one Python worker, so
+    neither ids nor texts go back to Spark."""
+    pieces = read_pieces(path, scores)
+    model = docs.sparkSession.sparkContext.broadcast(make_model(pieces))
+    byte_ids = np.array([kind == "byte" for _, _, kind in pieces])
+
+    def run(batches):
+        for batch in batches:
+            for i, part in _parts(batch.column(1).cast(pa.binary()), RUN):
+                ids, at = encode_texts(model.value, part)
+                texts = [t.encode() for t in decode_ids(model.value, ids, at)]
+                n_bytes = np.diff(np.concatenate([[0], np.cumsum(byte_ids[ids])])[at])
+                shas = [hashlib.sha256(" ".join(map(str, ids[x:y].tolist())).encode()).hexdigest() for x, y in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, len(part)), pa.array(np.diff(at), pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(shas, pa.string()),
+                     pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([t == x for t, x in zip(texts, part)], pa.bool_())],
+                    names=["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+
+    return docs.select("doc_id", "text").mapInArrow(
+        run, "doc_id long, n_tokens long, n_byte_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
