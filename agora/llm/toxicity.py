@@ -7,7 +7,7 @@ function of the text's length; the score is that density against the cutoff that
 
 The lexicon is learned from labelled rows (at most about ``FIT_ROWS`` of them, chosen by a hash of doc_id, so the
 sample, the candidate terms and the exceptions are bounded): a term's weight is its log odds among toxic documents.
-Exceptions are words that hold a term, but are found in clean documents only, and the caller's phrases. Neither
+Exceptions are words that begin with a term, but are found in clean documents only, and the caller's phrases. Neither
 doc_id, lang, source nor labels enter a score.
 
 Defined results: null and empty texts score 0; without labelled rows of both kinds the lexicon is empty and every score
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -62,20 +62,24 @@ def _terms(words: set[str]) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in range(4, 8) if len(w) > k}
 
 
-def _count(only: frozenset | None):
+def _holders(words: set[str], open_: frozenset) -> set[str]:
+    """The whole words that begin with one of the open terms."""
+    return {f" {w} " for w in words if any(f" {w[:k]}" in open_ for k in range(4, 8))}
+
+
+def _count(pick: Callable[[set[str]], set[str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = Counter()
             for text in batch.column(0):
-                terms = _terms(set(fold(text.as_py() or "").split()))
-                seen.update(terms if only is None else terms & only)
+                seen.update(pick(set(fold(text.as_py() or "").split())))
             seen = {t: n for t, n in seen.items()}
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
     return run
 
 
-def _counts(texts: DataFrame, only: frozenset | None = None) -> DataFrame:
-    return texts.select("text").mapInArrow(_count(only), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+def _counts(texts: DataFrame, pick: Callable[[set[str]], set[str]] = _terms) -> DataFrame:
+    return texts.select("text").mapInArrow(_count(pick), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 class Lexicon:
@@ -134,7 +138,8 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (),
             return Lexicon({})
         least = max(LEAST, n1 // 500)
         first = {r.term: r.n for r in _counts(toxic).filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()}
-        other = {r.term: r.n for r in _counts(clean, frozenset(first)).collect()}
+        known = frozenset(first)
+        other = {r.term: r.n for r in _counts(clean, lambda words: _terms(words) & known).collect()}
         weight = {}
         for t in sorted(first, key=lambda t: (len(t.strip()), t)):
             a, b = first[t], other.get(t, 0)
@@ -145,8 +150,11 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (),
                     weight[t] = w
         weight = dict(sorted(weight.items(), key=lambda x: (-first[x[0]], x[0]))[:MAX_TERMS])
         spared = [fold(e) for e in exceptions]
-        open_ = tuple(t for t in weight if not t.endswith(" "))
-        spared += [t for t, k in other.items() if t.endswith(" ") and t not in weight and first.get(t, 0) == 0 and k >= LEAST and any(t.startswith(o) for o in open_)]
+        open_ = frozenset(t for t in weight if not t.endswith(" "))
+        if open_:
+            holders = lambda words: _holders(words, open_)
+            harmless = _counts(clean, holders).filter(F.col("n") >= LEAST).join(_counts(toxic, holders), "term", "left_anti")
+            spared += sorted(r.term for r in harmless.collect())
         lexicon = Lexicon(weight, spared)
         rows = sample.select("text", F.col("toxic").cast("int")).mapInArrow(_densities(lexicon), "d double, toxic int").collect()  # about fit_rows pairs
         d, y = np.array([r.d for r in rows]), np.array([r.toxic for r in rows])

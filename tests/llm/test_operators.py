@@ -274,6 +274,19 @@ def test_toxicity_lexicon():
     assert lex.score("idiot " + "word " * 5000) < lex.score("idiot")
 
 
+def test_toxicity_learns_exceptions(spark):
+    filler = lambda i: " ".join(f"w{chr(97 + (i * k) % 26)}q" for k in range(1, 8))
+    data = [(i, f"{filler(i)} scum{chr(97 + i % 26)}{chr(97 + i // 26)}", 1) for i in range(90)]
+    data += [(100 + i, f"{filler(i)} {'scumble paint' if i < 5 else 'paint'}", 0) for i in range(100)]
+    data += [(300 + i, f"{filler(i)} scummed", i % 2) for i in range(2)]  # found in toxic rows too: no exception
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    lex = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert " scum" in lex.terms and lex.exceptions == [" scumble "]
+    assert lex.score("a scumble dries") == 0.0 and lex.score("a scumzz dries") >= 0.5
+    scored = {r.doc_id: r.score for r in toxicity.score(df, lex).collect()}
+    assert all(scored[i] == 0.0 for i in range(100, 105)) and all(scored[i] >= 0.5 for i in range(90))
+
+
 def test_toxicity_held_out(spark, empty):
     from tests.conftest import SF01
     docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
