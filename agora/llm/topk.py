@@ -1,7 +1,7 @@
 """Exact top-k inner products by block-at-a-time pruning.
 
-Vectors are turned to integers and dealt into shards of consecutive ids; a shard is cut into document-range blocks.
-Each block keeps the maximum and minimum of every term. For a query, a block's bound is the sum over the terms of the
+Vectors are turned to integers and dealt into shards by a hash of id and vector, so shards are even whatever the ids
+are; a shard is sorted by id and cut into document-range blocks. Each block keeps the maximum and minimum of every term. For a query, a block's bound is the sum over the terms of the
 query's weight times whichever of the two is greater. Queries take the blocks of a shard in falling order of bounds and
 score them through the block's rows until the next bound lies below their kth score; then a shard gives at most k rows
 for each query, and a last ranking merges shards. Query batches (of ``BATCH``) meet every shard, so a task holds one
@@ -77,11 +77,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
     clean = vectors.filter(F.col("vec_id").isNotNull() & F.col(vec).isNotNull() & F.forall(vec, fine) & (F.size(vec) > 0))
     ints = cut(clean.select("vec_id", F.transform(vec, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v")).distinct(), "ints")
     queries = cut(ints.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")), "queries")
-    n, low, high = ints.agg(F.count(F.lit(1)), F.min("vec_id"), F.max("vec_id")).first()
-    shards, batches = max(1, -(-n // SHARD)), max(1, -(-queries.count() // BATCH))
-    span = max(1, -(-((high or 0) - (low or 0) + 1) // shards))
+    shards, batches = max(1, -(-ints.count() // SHARD)), max(1, -(-queries.count() // BATCH))
     dim = F.size("v").alias("dim")
-    left = ints.select("vec_id", "v", dim, F.floor((F.col("vec_id") - (low or 0)) / span).cast("int").alias("shard"),
+    left = ints.select("vec_id", "v", dim, F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"),
                        F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"))
     right = queries.select("query_id", "v", dim, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
                            F.pmod(F.xxhash64("query_id"), F.lit(batches)).cast("int").alias("batch"))

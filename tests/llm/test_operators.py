@@ -204,6 +204,30 @@ def test_topk(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_shards_are_even_for_sparse_ids(spark, monkeypatch):
+    size, score = 64, topk._score
+
+    def bounded(k):
+        inner = score(k)
+
+        def run(key, left, right):
+            assert len(left) <= 2 * size, f"{len(left)} vectors in one task"
+            return inner(key, left, right)
+        return run
+    monkeypatch.setattr(topk, "SHARD", size)
+    monkeypatch.setattr(topk, "_score", bounded)
+    v = np.random.default_rng(6).integers(-9, 9, (603, 4))
+    ids = [*range(300), *range(10 ** 9, 10 ** 9 + 300), 10 ** 15 + 1, 7, 7]  # blocks far apart, one very large id, an id with three vectors
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in zip(ids, v)], "vec_id long, embedding array<double>")
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in topk.top_k(df, scale=1.0).collect()}
+    want = {}
+    for q in (i for i in ids if i % 50 == 0):
+        s = v @ v[ids.index(q)]
+        best = sorted((-int(s[j]), ids[j]) for j in range(len(ids)) if ids[j] != q)[:5]
+        want.update({(q, k): (i, -x) for k, (x, i) in enumerate(best, 1)})
+    assert got == want
+
+
 def test_block_pruning_skips_blocks():
     rows_ = np.zeros((20 * topk.BLOCK, 4), np.int64)
     rows_[:, 0] = np.repeat(np.arange(20), topk.BLOCK)
