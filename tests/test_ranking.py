@@ -36,3 +36,17 @@ def test_repartitioning_does_not_change_top_k(spark):
     a = sorted(rk.top_comments_by_score(df, 3).collect())
     b = sorted(rk.top_comments_by_score(df.repartition(7, F.col("comment_id")), 3).collect())
     assert a == b
+
+
+def test_planted_duplicates_cover_renamed_threads(spark, monkeypatch):
+    from agora.plans import catalog
+    from tests.conftest import SF001
+    whole = catalog.QUERIES["dedupe_threads"](spark, SF001).collect()
+    monkeypatch.setattr(catalog.rk, "dedupe_threads", lambda t: t)
+    planted = {}
+    for r in catalog.QUERIES["dedupe_threads"](spark, SF001).collect():
+        planted.setdefault(r.thread_id, []).append(r.score)
+    assert any(k.startswith("moved-") and len(v) == 2 for k, v in planted.items())
+    assert all(len(v) == 1 + (int(k.removeprefix("moved-")) % 5 == 0) for k, v in planted.items())
+    best = {k: max((x for x in v if x is not None), default=None) for k, v in planted.items()}
+    assert len(whole) == len(best) and {r.thread_id: r.score for r in whole} == best
