@@ -137,7 +137,8 @@ def _verify(width: int, percent: int):
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, tables: int = TABLES) -> DataFrame:
-    """doc_id, tk, n_shingles, component_id and kept, one row for each input row."""
+    """doc_id, tk, n_shingles, component_id, label and kept, one row for each input row. label tells components apart, also
+    two with the same least doc_id; it is null for a row without a set."""
     sigs = cut(docs.select("doc_id", text_key().alias("tk"), "text").mapInArrow(
         _signatures(width, tables), "doc_id long, tk long, n_shingles long, c binary, sig array<long>, n_bytes long"), "sigs")
     full = sigs.filter("c is not null")
@@ -154,24 +155,30 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, tables:
     links = components(groups.applyInPandas(_verify(width, percent), "a binary, b binary"), "links")
     named = classes.select("c", "least").join(links, F.col("c") == F.col("v"), "left").select(
         "c", "least", F.coalesce("label", "c").alias("label"))
-    named = named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("c", "component_id")
-    ids = full.join(named.select("c", F.col("component_id").alias("found")), "c")
-    out = ids.select("doc_id", "tk", "n_shingles", F.col("found").alias("component_id")).unionByName(
-        sigs.filter("c is null").select("doc_id", "tk", "n_shingles", F.col("doc_id").alias("component_id")))
+    named = named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("c", "component_id", "label")
+    ids = full.join(named.select("c", F.col("component_id").alias("found"), "label"), "c")
+    out = ids.select("doc_id", "tk", "n_shingles", F.col("found").alias("component_id"), "label").unionByName(
+        sigs.filter("c is null").select("doc_id", "tk", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("label")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
-    """One document of each group, its smallest doc_id, stays; documents without words all stay."""
+    """One document of each component, its smallest doc_id, stays: of several rows with that doc_id the one of the least
+    tk. Documents without words and components without any doc_id stay whole."""
     p = own_prefix(docs)
-    marks = cut(near_components(docs, **how), "marks")
-    kept = marks.filter("kept").select(F.col("doc_id").alias(f"{p}id"), F.col("tk").alias(f"{p}tk"), (F.col("n_shingles") > 0).alias(f"{p}one")).distinct()
+    marks = cut(near_components(docs, **how).filter("kept"), "marks")
+    named = F.col("label").isNotNull() & F.col("doc_id").isNotNull()
+    one = marks.filter(named).groupBy("label", "doc_id").agg(F.min("tk").alias("tk"), (F.count(F.lit(1)) > 1).alias("again"))
+    kept = one.drop("label").unionByName(marks.filter(~named).select("doc_id", "tk", F.lit(False).alias("again")).distinct())
+    kept = kept.withColumnsRenamed({"doc_id": f"{p}id", "tk": f"{p}tk", "again": f"{p}again"})
     rows = docs.withColumn(f"{p}k", text_key()).join(kept, F.col("doc_id").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}k") == F.col(f"{p}tk")))
-    again = marks.filter("kept and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-    if not again:  # rows that repeat a doc_id within a group
-        rows = rows.filter(f"{p}one").dropDuplicates(["doc_id"]).unionByName(rows.filter(f"not {p}one"))
+    if not one.filter("again").isEmpty():  # rows that repeat doc_id and text: the first by the other columns
+        order = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and c != "text"]
+        nth = F.row_number().over(Window.partitionBy(f"{p}id", f"{p}tk").orderBy(*order))
+        first = rows.filter(f"{p}again").withColumn(f"{p}nth", nth).filter(f"{p}nth = 1").drop(f"{p}nth")
+        rows = first.unionByName(rows.filter(f"not {p}again"))
     return rows.select(*docs.columns)
 
 
 def op8_near_dup(spark, sf_dir: str) -> DataFrame:
-    return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=80).drop("tk")
+    return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=80).drop("tk", "label")

@@ -119,6 +119,17 @@ def test_near_duplicates(odd, empty):
     assert near_dup.near_components(empty).count() == 0
 
 
+def test_near_copies_that_share_a_doc_id(spark):
+    say = lambda name, last="end": " ".join([*(f"{name}{k}" for k in range(60)), last])
+    data = [(1, say("a"), "s"), (1, say("a", "close"), "s"), (1, say("b"), "s"), (2, say("a"), "s"), (3, say("c"), "t"), (3, say("c"), "s"),
+            (None, say("d"), "s"), (None, say("d", "close"), "s"), (None, say("e"), "s")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    least = df.filter("doc_id = 1 and text like 'a%'").orderBy(near_dup.text_key()).first().text
+    want = Counter([(1, least, "s"), (1, say("b"), "s"), (3, say("c"), "s"), *data[6:]])
+    for parts in (1, 4):
+        assert bag(near_dup.drop_near_copies(df.repartition(parts)), "doc_id", "text", "source") == want
+
+
 def test_verified_links_star_and_chain():
     base = np.arange(100, dtype=np.uint64)
     sets = [base + k * 10 for k in range(6)] + [base[:50] + 1000] + [base.copy()]  # neighbours overlap 90 / 110
