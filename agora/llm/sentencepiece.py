@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from agora.llm.common import BASES, BYTE, Spans
 
@@ -300,21 +300,32 @@ def _parts(column: pa.Array, limit: int) -> Iterator[tuple[int, list[bytes]]]:
         yield i, held
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, scores: str = "zipf", text: str = "text") -> DataFrame:
-    """``docs`` with a column ids array<int>."""
+def encode(docs: DataFrame, path: str = VOCABULARY, scores: str = "zipf", text: str = "text", back: bool = False) -> DataFrame:
+    """``docs`` with a column ids array<int>. With ``back``, decoded and round_trip stand in the place of the text: the
+    text of the ids, and whether it is the text (null: empty); both directions run in one Python worker."""
     model = docs.sparkSession.sparkContext.broadcast(make_model(read_pieces(path, scores)))
-    if "ids" in docs.columns:
-        raise ValueError("a column ids exists already")
+    new = [StructField("ids", ArrayType(IntegerType()))]
+    if back:
+        new += [StructField("decoded", StringType()), StructField("round_trip", BooleanType())]
+    for f in new:
+        if f.name in docs.columns:
+            raise ValueError(f"a column {f.name} exists already")
     k = docs.columns.index(text)
+    stay = [c for c in range(len(docs.columns)) if c != k or not back]
+    fields = [*(docs.schema.fields[c] for c in stay), *new]
 
     def run(batches):
         for batch in batches:
             for i, part in _parts(batch.column(k).cast(pa.binary()), RUN):
                 ids, at = encode_texts(model.value, part)
                 rows = batch.slice(i, len(part))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], names=[*rows.schema.names, "ids"])
+                out = [*(rows.column(c) for c in stay), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))]
+                if back:
+                    texts = decode_ids(model.value, ids, at)
+                    out += [pa.array(texts, pa.string()), pa.array([t.encode() == x for t, x in zip(texts, part)], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
+    return docs.mapInArrow(run, StructType(fields))
 
 
 def decode(rows: DataFrame, path: str = VOCABULARY, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -29,7 +29,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece.encode(docs.select("doc_id", "source", "lang", "text")).drop("text")
+    return sentencepiece.encode(docs.select("doc_id", "source", "lang", "text"), back=True)
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
