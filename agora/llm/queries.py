@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from agora.llm import chat, lines, mixing, near_dup, quality, sentencepiece, substring, suffix_array, topk, toxicity
+from agora.llm import alignment, chat, lines, mixing, near_dup, packing, quality, sentencepiece, spelling, substring, suffix_array, topk, toxicity
 
 QUERIES = {
     "op3_suffix_array": suffix_array.op3_suffix_array,
@@ -15,6 +15,9 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
     "op8_near_dup": near_dup.op8_near_dup,
     "op9_line_dedup": lines.op9_line_dedup,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_packing": packing.op12_packing,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLE = {
@@ -23,4 +26,5 @@ ORACLE = {
     "op7_chat_format": chat.OP7_SQL,
     "op1_quality": quality.OP1_SQL,
     "op9_line_dedup": lines.OP9_SQL,
+    "op11_spelling": spelling.OP11_SQL,
 }
