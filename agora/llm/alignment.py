@@ -35,25 +35,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.llm.common import cut, text_chunks
-from agora.llm.units import UnitEncoder, distinct, spread
+from agora.llm.units import byte_level, distinct, ragged, raw, spread
 
 CHUNK, PROBE = 4 << 20, 16
-
-
-def byte_level() -> dict[str, int]:
-    """The characters that stand for bytes in byte-level vocabularies: visible Latin-1 for itself, the others from U+0100 on."""
-    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(seen)]
-    return {**{chr(b): b for b in seen}, **{chr(256 + k): b for k, b in enumerate(rest)}}
+#: Longer units are encoded by themselves.
+LONG = 4096
 
 
 class Side:
-    """One tokenizer: unit encoder, the bytes of each id and their number."""
+    """One tokenizer: (ids, their number) of units, the bytes of each id and how many they are."""
 
     def __init__(self, encode, tokens: list[bytes]):
-        self.units, self.tokens = UnitEncoder(encode), tokens
+        self.encode, self.tokens = encode, tokens
         self.lens = np.array([len(t) for t in tokens], np.int64)
 
+    def with_encoder(self, make) -> Side:
+        self.encode = make(self)
+        return self
+
+
+class ByteLevelIds:
+    """Ids of units (each begins with a space) of a byte-level vocabulary. Its tokens are lossless, so many units are
+    encoded as one text and parted by their bytes: by the faster rank encoder where the file's merges are its ranks and
+    all code points are below U+0100 (whose classes every library knows alike), else by the file's own library."""
+
+    def __init__(self, t, tokens: list[bytes], lens: np.ndarray, merges: list, vocabulary: dict[str, int]):
+        self.t, self.lens, self.ranks = t, lens, None
+        if all(vocabulary["".join(m if isinstance(m, list) else m.split(" "))] == 256 + k for k, m in enumerate(merges)):
+            import tiktoken
+            ranked = {tokens[i]: i for i in vocabulary.values()}
+            self.ranks = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranked, special_tokens={})
+
+    def slow(self, text: str) -> list[int]:
+        return self.t.encode(text, add_special_tokens=False).ids
+
+    def joined(self, encode, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(encode(data.tobytes().decode()), np.uint32)
+        return ids, np.diff(np.searchsorted(np.cumsum(self.lens[ids]), ends, "right"), prepend=0)
+
+    def __call__(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, offs = raw(units)
+        n = np.diff(offs)
+        if not len(n):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        last = data[offs[1:] - 1]
+        wide = np.diff(np.concatenate([[0], np.cumsum(data >= 0xC4)])[offs]) > 0
+        # white space at the end of a unit is split otherwise where something follows
+        kind = np.where((last <= 0x20) | (last >= 0x7F) | (n > LONG), 2, np.where(wide | (self.ranks is None), 1, 0))
+        flat, count, order = [], [], []
+        for k, encode in ((0, self.ranks and self.ranks.encode_ordinary), (1, self.slow)):
+            mine = np.flatnonzero(kind == k)
+            if len(mine):
+                ids, c = self.joined(encode, data[np.repeat(kind == k, n)], np.cumsum(n[mine]))
+                flat.append(ids)
+                count.append(c)
+                order.append(mine)
+        mine = np.flatnonzero(kind == 2)
+        ids, c = ragged([self.slow(units[k].as_py().decode()) for k in mine.tolist()])
+        flat, count, order = np.concatenate([*flat, ids]), np.concatenate([*count, c]), np.concatenate([*order, mine])
+        place = np.empty(len(n), np.int64)
+        place[order] = np.arange(len(n))
+        return spread(flat, count, place)[0], count[place]
+
 
 @cache
 def side_a(path: str) -> Side:
@@ -62,11 +105,12 @@ def side_a(path: str) -> Side:
     t, back = Tokenizer.from_file(path), byte_level()
     t.encode_special_tokens = True
     with open(path) as f:
-        special = {x["id"] for x in json.load(f)["added_tokens"]}
+        file = json.load(f)
+    special = {x["id"] for x in file["added_tokens"]}
     tokens = [b""] * t.get_vocab_size()
     for piece, i in t.get_vocab().items():
         tokens[i] = piece.encode() if i in special else bytes(back[c] for c in piece)
-    return Side(lambda units: [e.ids for e in t.encode_batch([u.decode() for u in units], add_special_tokens=False)], tokens)
+    return Side(None, tokens).with_encoder(lambda s: ByteLevelIds(t, tokens, s.lens, file["model"]["merges"], file["model"]["vocab"]))
 
 
 @cache
@@ -77,7 +121,7 @@ def side_b(path: str) -> Side:
     if any("▁" in x.lstrip("▁") for x in pieces):
         raise ValueError("pieces that go on after a space: units cannot be encoded by themselves")
     tokens = [bytes([int(x[3:5], 16)]) if p.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
-    return Side(lambda units: p.encode([u[1:].decode() for u in units], num_threads=1), tokens)
+    return Side(lambda units: ragged(p.encode([u[1:].decode() for u in units.to_pylist()], num_threads=1)), tokens)
 
 
 def align(ea: np.ndarray, eb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,15 +179,15 @@ class Chunk:
         starts = unit_starts(buf, offs)
         units, which = distinct(buf, starts)
         first = np.searchsorted(starts, offs)
-        unit_lens = np.fromiter(map(len, units), np.int64, len(units))
-        whole, good = b"".join(units), np.ones(len(units), bool)
+        data, unit_offs = raw(units)
+        whole, good = data.tobytes(), np.ones(len(units), bool)
         sides = []
         for s in (a, b):
-            ids, count = s.units.of(units)
+            ids, count = s.encode(units)
             ends = np.concatenate([[0], np.cumsum(s.lens[ids])])[np.concatenate([[0], np.cumsum(count)])]
             joined = b"".join(map(s.tokens.__getitem__, ids.tolist()))
-            if joined != whole or (np.diff(ends) != unit_lens).any():
-                good &= np.fromiter((joined[x:y] == u for x, y, u in zip(ends[:-1].tolist(), ends[1:].tolist(), units)), bool, len(units))
+            if joined != whole or (ends != unit_offs).any():
+                good &= np.fromiter((joined[x:y] == u for x, y, u in zip(ends[:-1].tolist(), ends[1:].tolist(), units.to_pylist())), bool, len(units))
             ids, at = spread(ids, count, which)
             sides.append([s, ids, at[first]])
         bad = np.concatenate([[0], np.cumsum(~good[which])])[first]

@@ -37,21 +37,71 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.llm.common import SPACE, cut, text_chunks, text_key, word_spans
-from agora.llm.units import UnitEncoder
+from agora.llm.units import byte_level, distinct, ragged, spread
 from agora.session import broadcast_if_small
 
 SHARD_BYTES, RUN, ROUNDS, SUPER = 16 << 20, 1 << 15, 512, 1024
+#: Shards are at least so many, so that small tables are spread too.
+SHARDS = 2048
 #: Rounds of sources that have no weight begin here.
 LAST = 1 << 60
 
 
+#: What a byte is to the vocabulary's pre-tokenizing rule: 1 letter, 2 digit, 3 other visible sign, 0 left to the library.
+KIND = np.zeros(256, np.uint8)
+KIND[0x21:0x7F] = 3
+KIND[[ord("'"), ord("<")]] = 0
+KIND[ord("0"):ord("9") + 1] = 2
+KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = 1
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte; letters of U+00C0 to U+00FF (C3 and a second byte, but for the signs U+00D7, U+00F7) too."""
+    out = KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    out[lead] = out[lead + 1] = 1
+    return out
+
+
+class WordIds:
+    """Ids of words (runs without white space, which the vocabulary's rules drop and never merge across). Words of plain
+    letters, digits and signs are lower-cased and cut into the rule's pieces here, so that each distinct piece meets the
+    merges once; words with anything else (apostrophes, other scripts, special tokens) go to the library as they are."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        self.t = Tokenizer.from_file(path)
+        self.spelled = {b: c for c, b in byte_level().items()}
+
+    def plain(self, piece: str) -> list[int]:
+        return [x.id for x in self.t.model.tokenize(piece.translate(self.spelled))]
+
+    def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words that ``offs`` cuts from ``data``, and where each word's ids begin (one more at the end)."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+        kind = kinds(data)
+        strange = np.diff(np.concatenate([[0], np.cumsum(kind == 0)])[offs]) > 0
+        strange_bytes = np.repeat(strange, np.diff(offs))
+        begin = ~strange_bytes & (kind == 2)
+        begin[1:] |= ~strange_bytes[1:] & (kind[1:] != kind[:-1])
+        begin[offs[:-1]] = True
+        upper = ~strange_bytes & (((data >= 0x41) & (data <= 0x5A)) | ((data >= 0x80) & (data <= 0x9E)))
+        data = np.where(upper, data + np.uint8(0x20), data)
+        at = np.append(np.flatnonzero(begin), len(data))
+        pieces, which = distinct(data, at)
+        odd = np.zeros(len(pieces), bool)
+        odd[which[strange_bytes[at[:-1]]]] = True
+        lists = [self.t.encode(p.decode(), add_special_tokens=False).ids if o else self.plain(p.decode("latin-1")) for p, o in zip(pieces.to_pylist(), odd.tolist())]
+        ids, ends = spread(*ragged(lists), which)
+        return ids, ends[np.searchsorted(at, offs)]
+
+
 @cache
-def word_encoder(path: str) -> UnitEncoder:
-    """Ids of words: the vocabulary's rules drop white space and never merge across it."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-    t = Tokenizer.from_file(path)
-    return UnitEncoder(lambda words: [e.ids for e in t.encode_batch([w.decode() for w in words], add_special_tokens=False)])
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def prefix_sums(df: DataFrame, keys: list[str], at: str, n: str, out: str) -> DataFrame:
@@ -70,18 +120,18 @@ def encoded_runs(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """shard, queue (the source), doc_id, doc_tokens, start, n, ids (little-endian uint16 or uint32), local: the tokens
     of the queue before the run within the shard; written once."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
+    shards = max(SHARDS, -(-total // SHARD_BYTES))
     rows = docs.select(F.pmod(F.xxhash64("doc_id", text_key()), F.lit(shards)).cast("int").alias("shard"),
                        F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("queue"),
                        F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
     rows = rows.repartition("shard").sortWithinPartitions("shard", "queue", "doc_id", "key")
 
     def run(batches):
-        encoder = word_encoder(path)
+        encoder = word_ids(path)
         last, upto = None, 0
         for batch in batches:
             places = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            for i, j, buf, offs in text_chunks(batch, limit=4 << 20):
+            for i, j, buf, offs in text_chunks(batch, limit=8 << 20):
                 starts, ends, first = word_spans(buf, offs)
                 ids, at = encoder(buf[~SPACE[buf]], np.concatenate([[0], np.cumsum(ends - starts)]))
                 at = at[first]

@@ -110,7 +110,7 @@ def word_counts(docs: DataFrame, letters: int = 6, every: int = 199) -> DataFram
                 counted[own[~hit]] = True
                 words, which = distinct(data[np.repeat(counted, size)], np.concatenate([[0], np.cumsum(size[counted])]))
                 n = np.bincount(which, minlength=len(words)).tolist()
-                words = [w.decode() for w in words]
+                words = [w.decode() for w in words.to_pylist()]
                 for k, x in zip(own[hit].tolist(), h[hit].tolist()):
                     w = data[at[k]:at[k + 1]].tobytes().decode()
                     if len(w) > letters:

@@ -3,9 +3,6 @@ unit of a batch is encoded once. The ids of a text are its units' ids, one after
 
 from __future__ import annotations
 
-from array import array
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 
@@ -18,33 +15,26 @@ def spread(flat: np.ndarray, lens: np.ndarray, which: np.ndarray) -> tuple[np.nd
     return flat[np.arange(at[-1]) - np.repeat(at[:-1] - begin[which], take)], at
 
 
-def distinct(data: np.ndarray, offs: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+def distinct(data: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The distinct strings among those that ``offs`` cuts from ``data``, and for each string which one it is."""
     column = pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(np.ascontiguousarray(offs, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
     coded = column.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-
-
-class UnitEncoder:
-    """Ids of units. What was encoded is kept for later batches, up to ``limit`` bytes; then it begins anew."""
-
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 48 << 20):
-        self.encode, self.limit = encode, limit
-        self.known: dict[bytes, bytes] = {}
-        self.held = 0
-
-    def of(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of ``units`` and the number of each unit."""
-        if self.held > self.limit:
-            self.known, self.held = {}, 0
-        new = [u for u in units if u not in self.known]
-        for u, ids in zip(new, self.encode(new) if new else []):
-            self.known[u] = b = array("I", ids).tobytes()
-            self.held += len(u) + len(b) + 120
-        parts = [self.known[u] for u in units]
-        return np.frombuffer(b"".join(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
-
-    def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units and where each unit's ids begin (one more at the end)."""
-        units, which = distinct(data, offs)
-        return spread(*self.of(units), which)
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+
+
+def raw(units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets (from 0) of a binary array."""
+    offs = np.frombuffer(units.buffers()[1], np.int64)[units.offset:units.offset + len(units) + 1] if len(units) else np.zeros(1, np.int64)
+    data = units.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8))[offs[0]:offs[-1]], offs - offs[0]
+
+
+def ragged(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return (np.array([i for x in lists for i in x], np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
+
+
+def byte_level() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies: visible Latin-1 for itself, the others from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(seen)]
+    return {**{chr(b): b for b in seen}, **{chr(256 + k): b for k, b in enumerate(rest)}}

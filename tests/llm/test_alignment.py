@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from agora.llm import alignment, units
+from agora.llm import alignment
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -102,15 +102,15 @@ def test_diagonal_runs():
     assert len(ga) == len(gb) == 0
 
 
-def test_unit_encoder_forgets():
-    seen = []
-
-    def encode(words):
-        seen.extend(words)
-        return [[len(w), *w] for w in words]
-    e = units.UnitEncoder(encode, limit=1)
-    data = np.frombuffer(b"aabaac", np.uint8)
-    for _ in range(2):
-        ids, at = e(data, np.array([0, 1, 3, 4, 6, 6]))
-        assert [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:])] == [[1, 97], [2, 97, 98], [1, 97], [2, 97, 99], [0]]
-    assert len(seen) == 8
+@pytest.mark.parametrize("ranked", [True, False])
+def test_units_have_the_ids_they_have_alone(ranked):
+    import pyarrow as pa
+    side = alignment.side_a(A)
+    t = Tokenizer.from_file(A)
+    t.encode_special_tokens = True
+    e = side.encode if ranked else alignment.ByteLevelIds(t, side.tokens, side.lens, ["a b"], {"ab": 0})
+    words = [" " + w for w in ["a", "don't", "x" * 5000, "éé", "semi;", "\x01", "a\x01b", "\x02.", "<|endoftext|>", "12", "漢字.", "'", "it's", "\u00a0", "e\u0301", "\u00a0x", "日本"]] + ["  two", " \n", "  "]
+    flat, n = e(pa.array([w.encode() for w in words * 3], pa.large_binary()))
+    ends = np.cumsum(n)
+    assert [flat[x - k:x].tolist() for x, k in zip(ends, n)] == [t.encode(w, add_special_tokens=False).ids for w in words * 3]
+    assert len(e(pa.array([], pa.large_binary()))[0]) == 0

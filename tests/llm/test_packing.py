@@ -6,6 +6,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +114,7 @@ def test_equals_plain_round_robin(spark, monkeypatch, weights):
     monkeypatch.setattr(packing, "ROUNDS", 2)  # many partitions, so deficits are carried over them
     monkeypatch.setattr(packing, "SUPER", 2)
     monkeypatch.setattr(packing, "SHARD_BYTES", 500)
+    monkeypatch.setattr(packing, "SHARDS", 1)
     r = random.Random(4)
     rows = [(i, " ".join(r.choice(["one", "two", "three", "four"]) for _ in range(r.randint(0, 90))), r.choice("aaabc")) for i in range(70)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -147,3 +149,11 @@ def test_long_document_in_runs(spark):
     text = "word " * (2 * packing.RUN + 5)
     pieces = packing.pack(spark.createDataFrame([(1, text, "s"), (2, "x", "t")], "doc_id long, text string, source string"), PATH).collect()
     check([(1, text), (2, "x")], pieces, 2048)
+
+
+def test_words_have_the_ids_of_the_library():
+    words = ["plain", "MiXed", "don't", "'s", "a1b22", "ÀÉßÿ×÷", "x.y,,z!!", "<|endoftext|>", "a<|startoftext|>b", "漢字kana", "İstanbul", "e\u0301", "nb\u00a0sp", "\x01", "\x1c", "ΣΑΣ", "#!", "9", "é", "Ã", "ª²",
+             "\u212b", "x" * 300, "(A1)", "\x7f", "~`"]
+    raw = [w.encode() for w in words * 2]
+    ids, at = packing.WordIds(PATH)(np.frombuffer(b"".join(raw), "u1"), np.concatenate([[0], np.cumsum([len(w) for w in raw])]))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [TOKENIZER.encode(w, add_special_tokens=False).ids for w in words * 2]
