@@ -9,6 +9,7 @@ matching Python 3 ``re`` on str.  Spark's ``trim`` removes spaces only, so
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,9 @@ URL_PATTERN = r"(?U)(?:https|http)?://[^\s\x1C-\x1F]+\b"
 # Python line breaks (str.splitlines) = \n \r \r\n \v \f U+001C-U+001E U+0085 U+2028 U+2029.
 PY_WS_CLASS = r"(?U)[\s\x1C-\x1F]"
 # Quote lines: first non-blank character is '>'.
-QUOTE_LINE = r"(?U)^[\s\x1C-\x1F]*>"
+#: Line breaks besides '\n', and any break as one match.
+ODD_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+ANY_BREAK = r"\r\n|[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 # Default flair when missing.
 NO_FLAIR = "[No Flair]"
 # Characters Python's str.strip() removes (str.isspace()).
@@ -64,7 +67,7 @@ def remove_urls(c) -> Column:
     """Drop URLs; a scheme-less '://x' also goes, trailing punctuation stays.
 
     The regex only runs on values containing '://' (a plain substring test)."""
-    return _let(_c(c), lambda v: F.when(F.instr(v, "://") > 0, F.regexp_replace(v, URL_PATTERN, "")).otherwise(v))
+    return _let(_c(c), lambda v: F.when(F.contains(v, F.lit("://")), F.regexp_replace(v, URL_PATTERN, "")).otherwise(v))
 
 
 def remove_emojis(c) -> Column:
@@ -79,27 +82,32 @@ def remove_emojis(c) -> Column:
 def remove_quotes(c) -> Column:
     """T5: drop lines whose stripped form starts with '>'; lines re-joined with '\\n'.
 
-    Line breaks are Python ``splitlines`` breaks (Java ``\\R`` plus U+001C-U+001E);
-    a single trailing break does not produce an empty last line.
+    Line breaks are Python ``splitlines`` breaks, first made '\\n' where a text holds any other; a single trailing
+    break does not produce an empty last line.  Only texts with a '>' are split into lines.
     """
-    c = _c(c)
-    # Python also breaks lines at U+001C-U+001E; Java's \R does not.  Rare, so only
-    # values holding one pay a replace (to U+000B, a single break in both).
-    seps = (F.instr(c, "\x1c") > 0) | (F.instr(c, "\x1d") > 0) | (F.instr(c, "\x1e") > 0)
-    x = F.when(seps, F.regexp_replace(c, "[\\x1C-\\x1E]", "\x0b")).otherwise(c)
-    body = F.regexp_replace(x, r"\R\z", "")
-    return F.array_join(F.filter(F.split(body, r"\R", -1), lambda ln: ~ln.rlike(QUOTE_LINE)), "\n")
+    def with_breaks(x):
+        body = F.when(x.endswith("\n"), F.left(x, F.length(x) - 1)).otherwise(x)
+        return _let(body, lambda v: F.when(F.contains(v, F.lit(">")), F.array_join(F.filter(
+            F.split(v, "\n", -1), lambda ln: ~F.ltrim(ln, F.lit(PY_WHITESPACE)).startswith(">")), "\n")).otherwise(v))
+
+    def odd(v):  # substring tests are far cheaper than one pass of a character class
+        return reduce(lambda a, b: a | b, [F.contains(v, F.lit(x)) for x in ODD_BREAKS])
+
+    return _let(_c(c), lambda v: _let(F.when(odd(v), F.regexp_replace(v, ANY_BREAK, "\n")).otherwise(v), with_breaks))
 
 
 def blank_markers(c) -> Column:
     """T6: '[deleted]', '[removed]', 'nan', 'none' (any case, untrimmed) and null -> ''."""
-    return _let(_c(c), lambda v: F.when(v.isNull() | F.lower(v).isin(*BLANK_MARKERS), F.lit("")).otherwise(v))
+    longest = max(map(len, BLANK_MARKERS))  # no longer text is lower-cased
+    return _let(_c(c), lambda v: F.when(v.isNull() | ((F.octet_length(v) <= 3 * longest) & F.lower(v).isin(*BLANK_MARKERS)), F.lit("")).otherwise(v))
 
 
 def flatten_newlines(c) -> Column:
     """'\\r\\n', '\\n', '\\r' -> ' ' (each)."""
-    return _let(_c(c), lambda v: F.translate(
-        F.when(F.instr(v, "\r\n") > 0, F.regexp_replace(v, "\r\n", " ")).otherwise(v), "\n\r", "  "))
+    x = _c(c)
+    for br in ("\r\n", "\n", "\r"):
+        x = F.replace(x, F.lit(br), F.lit(" "))
+    return x
 
 
 def normalize_text(c, html: bool = True) -> Column:
@@ -121,7 +129,7 @@ def html_text(x: Column, html: bool = True) -> Column:
         return x
     from ..sources.html import html_text_barrier_udf
     # Python UDFs cannot sit inside a lambda, so this step is not let-bound.
-    needs = (F.instr(x, "<") > 0) | (F.instr(x, "&") > 0)
+    needs = F.contains(x, F.lit("<")) | F.contains(x, F.lit("&"))
     return F.coalesce(html_text_barrier_udf(F.when(needs, x)), x)
 
 

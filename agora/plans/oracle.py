@@ -241,7 +241,7 @@ SELECT thread_id, score, created_utc, external_url FROM (
       external_url ASC NULLS LAST, title ASC NULLS LAST, selftext ASC NULLS LAST) AS rn
   FROM (SELECT * FROM fx_threads UNION ALL
         SELECT thread_id, title, selftext, link_flair_text, created_utc, score - 1, num_comments, external_url
-        FROM fx_threads WHERE CAST(thread_id AS INTEGER) % 5 = 0))
+        FROM fx_threads WHERE CAST(replace(thread_id, 'moved-', '') AS BIGINT) % 5 = 0))
 WHERE rn = 1""")
 oracle("top_comments_by_priority", ["win", "bounds"], f"""
 SELECT thread_id, comment_id, rank FROM (
