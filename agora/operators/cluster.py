@@ -4,42 +4,30 @@ V6: MLlib PCA on the vectors (linear; stands in for a non-linear manifold
 embedding, so distances differ from it).
 
 V7: density clustering on the mutual-reachability graph (Campello, Moulavi,
-Sander 2013), built from Spark stages:
+Sander 2013), exact and built from Spark stages:
+
+1. core distance = distance to the (min_samples - 1)-th other point (the point
+   itself counts as one sample), with block pairs pruned by pivot balls
+   (``balls``);
+2. minimum spanning forests of the block pairs that can hold a tree edge, and
+   one minimum spanning tree of their union by Boruvka rounds (``tree``);
+3. the condensed tree from the tree's true weights and the choice of clusters
+   by excess of mass (``tree``); the root is never a cluster.
 
-1. points are hashed into B blocks of ~``block_size``; every point is
-   replicated to the B block pairs it belongs to (``explode``), and each block
-   pair is one ``applyInPandas`` group.  A pair (i, j), i < j, handles only the
-   cross-block distances and (i, i) only the intra-block ones, so every pair of
-   points is seen exactly once and no pair list is ever emitted;
-2. core distance = distance to the (min_samples - 1)-th other point (the point
-   itself counts as one sample): each group emits a point's smallest
-   distances, merged per point by a grouped aggregate;
-3. each group emits the minimum spanning forest of *its* mutual-reachability
-   edges (NumPy Prim).  By the cycle property the union of these forests holds
-   the global minimum spanning tree, so it has the same components at every
-   threshold as the complete graph, with about N*(B+1) edges instead of N^2;
-4. at L thresholds (quantiles of the core distance, high to low) connected
-   components come from min-label propagation with pointer jumping, all levels
-   at once, lineage cut with ``checkpoint()`` (reliable, shared folder);
-5. components of at least ``min_cluster_size`` points form a forest with at most
-   L * N / min_cluster_size <= L * 50 nodes; the excess-of-mass choice runs on
-   that bounded forest, and members are labelled back by a join.
 Noise is -1; cluster ids 0..k-1 follow the smallest member id.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import TRENDING, cluster_sizes
-from ..session import ensure_checkpoint_dir
+from ..session import materialise
+from .balls import blocks_of, core_distances, tree_candidates
+from .tree import condensed, labelled, spanning_tree
 
 
 def reduce_dims(vecs: DataFrame, k: int = TRENDING.reduced_dims) -> DataFrame:
@@ -50,215 +38,19 @@ def reduce_dims(vecs: DataFrame, k: int = TRENDING.reduced_dims) -> DataFrame:
     return model.transform(df).select("thread_id", vector_to_array("_p").alias("embedding"))
 
 
-def _pair_groups(x: DataFrame, n_blocks: int) -> DataFrame:
-    blk = F.pmod(F.xxhash64("thread_id"), F.lit(n_blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_o")
-    rep = x.withColumn("blk", blk).select("*", other)
-    return rep.select(F.least("blk", "_o").alias("bi"), F.greatest("blk", "_o").alias("bj"), "blk", *x.columns)
-
-
-def _dist(pdf: pd.DataFrame):
-    x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-    sq = (x * x).sum(1)
-    d2 = np.maximum(sq[:, None] + sq[None, :] - 2.0 * x @ x.T, 0.0)
-    d = np.sqrt(d2)
-    blk = pdf["blk"].to_numpy()
-    bi, bj = pdf["bi"].iloc[0], pdf["bj"].iloc[0]
-    if bi == bj:
-        valid = np.ones_like(d, dtype=bool)
-    else:
-        valid = blk[:, None] != blk[None, :]
-    np.fill_diagonal(valid, False)
-    return d, valid
-
-
-def _core_udf(n_keep: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, valid = _dist(pdf)
-        d = np.where(valid, d, np.inf)
-        k = min(n_keep, max(d.shape[1] - 1, 1))
-        part = np.sort(np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d, axis=1)
-        out = [row[np.isfinite(row)].tolist() for row in part]
-        return pd.DataFrame({"thread_id": pdf["thread_id"].to_numpy(), "near": out})
-    return run
-
-
-def _msf_udf():
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, valid = _dist(pdf)
-        core = pdf["core"].to_numpy(dtype=np.float64)
-        w = np.maximum(np.maximum(d, core[:, None]), core[None, :])
-        w = np.where(valid, w, np.inf)
-        n = len(pdf)
-        ids = pdf["thread_id"].to_numpy()
-        src, dst, wt = [], [], []
-        in_tree = np.zeros(n, dtype=bool)
-        best = np.full(n, np.inf)
-        parent = np.full(n, -1)
-        for start in range(n):  # Prim per connected piece (forest)
-            if in_tree[start]:
-                continue
-            in_tree[start] = True
-            best = np.where(in_tree, np.inf, np.minimum(best, w[start]))
-            parent = np.where((~in_tree) & (w[start] <= best) & np.isfinite(w[start]), start, parent)
-            while True:
-                cand = np.where(in_tree, np.inf, best)
-                v = int(np.argmin(cand))
-                if not np.isfinite(cand[v]):
-                    break
-                in_tree[v] = True
-                src.append(ids[parent[v]])
-                dst.append(ids[v])
-                wt.append(cand[v])
-                upd = (~in_tree) & (w[v] < best)
-                best = np.where(upd, w[v], best)
-                parent = np.where(upd, v, parent)
-        return pd.DataFrame({"src": src, "dst": dst, "w": np.asarray(wt, dtype=np.float64)})
-    return run
-
-
-def core_distances(x: DataFrame, min_samples: int, n_blocks: int) -> DataFrame:
-    """(thread_id, core): distance to the (min_samples - 1)-th nearest other point."""
-    g = _pair_groups(x, n_blocks)
-    near = g.groupBy("bi", "bj").applyInPandas(_core_udf(min_samples - 1), "thread_id string, near array<double>")
-    k = min_samples - 1
-    merged = near.groupBy("thread_id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("d"))
-    return merged.select("thread_id", F.when(F.size("d") >= k, F.element_at("d", k))
-                         .otherwise(F.lit(float("inf"))).alias("core"))
-
-
-def mst_edges(x: DataFrame, core: DataFrame, n_blocks: int) -> DataFrame:
-    """(src, dst, w): union of per-block-pair minimum spanning forests of mutual reachability."""
-    g = _pair_groups(x.join(core, "thread_id"), n_blocks)
-    return g.groupBy("bi", "bj").applyInPandas(_msf_udf(), "src string, dst string, w double")
-
-
-def _components(edges: DataFrame, nodes: DataFrame, max_rounds: int, checkpoint_every: int = 3) -> DataFrame:
-    """Min-label propagation + pointer jumping over (level, node); returns (level, node, label).
-
-    Each round carries the previous label along, so change detection is one
-    aggregate over the round's result.  Rounds are persisted; every
-    ``checkpoint_every``-th round is written with a reliable ``checkpoint()``,
-    which bounds the lineage an executor loss can force to recompute.
-    """
-    spark = nodes.sparkSession
-    ensure_checkpoint_dir(spark)
-    both = edges.select("level", F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(
-        edges.select("level", F.col("dst").alias("a"), F.col("src").alias("b"))).checkpoint()
-    lab = nodes.select("level", "node", F.col("node").alias("label")).checkpoint()
-    held = None
-    for r in range(max_rounds):
-        msgs = both.join(lab.withColumnRenamed("node", "a"), ["level", "a"]).select(
-            "level", F.col("b").alias("node"), "label", F.lit(None).cast("string").alias("own"))
-        mine = lab.select("level", "node", "label", F.col("label").alias("own"))
-        new = mine.unionByName(msgs).groupBy("level", "node").agg(
-            F.min("label").alias("label"), F.max("own").alias("old"))
-        hop = new.alias("n").join(new.alias("p"), (F.col("n.level") == F.col("p.level"))
-                                  & (F.col("n.label") == F.col("p.node")), "left").select(
-            F.col("n.level").alias("level"), F.col("n.node").alias("node"),
-            F.least(F.col("n.label"), F.coalesce(F.col("p.label"), F.col("n.label"))).alias("label"),
-            F.col("n.old").alias("old"))
-        hop = hop.checkpoint() if (r + 1) % checkpoint_every == 0 else hop.persist()
-        changed = hop.agg(F.count_if(F.col("label") != F.col("old"))).first()[0]
-        if held is not None:
-            held.unpersist()
-        held = hop
-        lab = hop.select("level", "node", "label")
-        if changed == 0:
-            return lab.checkpoint()
-    raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
-
-
-def _select_eom(nodes: pd.DataFrame, eps: list[float]) -> list[tuple[int, str]]:
-    """Excess-of-mass selection on the (bounded) level forest; returns chosen (level, label)."""
-    if nodes.empty:
-        return []
-    lam = [1.0 / max(e, 1e-12) for e in eps]
-    key = {(int(r.level), r.label): r for r in nodes.itertuples()}
-    children: dict = {}
-    for k, r in key.items():
-        if r.parent is not None and (k[0] - 1, r.parent) in key:
-            children.setdefault((k[0] - 1, r.parent), []).append(k)
-    # chain collapse: a node with exactly one child continues the same cluster
-    stab: dict = {}
-    best: dict = {}
-    choice: dict = {}
-
-    def stability(k):
-        lvl, _ = k
-        prev = lam[lvl - 1] if lvl > 0 else 0.0
-        return key[k].size * (lam[lvl] - prev)
-
-    def solve(k):
-        s = stability(k)
-        kids = children.get(k, [])
-        while len(kids) == 1:  # same cluster continues one level down
-            k1 = kids[0]
-            s += stability(k1)
-            kids = children.get(k1, [])
-        sub = [solve(c) for c in kids]
-        sub_total = sum(b for b, _ in sub)
-        if kids and sub_total > s:
-            return sub_total, [x for _, sel in sub for x in sel]
-        return s, [k]
-
-    roots = [k for k, r in key.items() if k[0] == 0 or (k[0] - 1, r.parent) not in key]
-    top_level_roots = [k for k in roots if k[0] == 0]
-    chosen: list = []
-    for r in roots:
-        if len(top_level_roots) == 1 and r == top_level_roots[0]:
-            kids = children.get(r, [])
-            while len(kids) == 1:
-                kids = children.get(kids[0], [])
-            for c in kids:
-                chosen += solve(c)[1]
-        else:
-            chosen += solve(r)[1]
-    return chosen
-
-
 def topic_clusters(vecs: DataFrame, reduce: bool = True, dims: int = TRENDING.reduced_dims,
                    min_cluster_size: int | None = None, min_samples: int | None = None,
-                   levels: int = 16, block_size: int = 1000, max_rounds: int = 60) -> DataFrame:
-    """V7: (thread_id, embedding) -> (thread_id, topic_id), -1 = noise."""
-    spark = vecs.sparkSession
-    ensure_checkpoint_dir(spark)
-    src = vecs.select("thread_id", "embedding").checkpoint()  # PCA reads its input several times
-    x = reduce_dims(src, dims) if reduce else src
-    x = x.checkpoint()
+                   block_size: int = 1000) -> DataFrame:
+    """V7: (thread_id, embedding) -> (thread_id, topic_id), -1 = noise; thread_ids are unique."""
+    src = materialise(vecs.select(F.col("thread_id").cast("string").alias("thread_id"), F.col("embedding").cast("array<double>").alias("embedding")), "clusters-source")
+    x = materialise(reduce_dims(src, dims), "clusters-reduced") if reduce else src
     n = x.count()
-    mcs, ms = cluster_sizes(n)
-    mcs = min_cluster_size or mcs
-    ms = min_samples or ms
-    if n < max(mcs, 2):
-        return x.select("thread_id", F.lit(-1).alias("topic_id"))
-    n_blocks = max(1, math.ceil(n / block_size))
-    core = core_distances(x, ms, n_blocks).checkpoint()
-    qs = [i / levels for i in range(levels, 0, -1)]
-    eps = [max(float(e), 1e-12) for e in core.where(F.col("core") < float("inf")).approxQuantile("core", qs, 0.0)]
-    edges = mst_edges(x, core, n_blocks)
-    lv = spark.createDataFrame([(i, e) for i, e in enumerate(eps)], "level int, eps double")
-    lvb = F.broadcast(lv)
-    nodes = core.join(lvb, F.col("core") <= F.col("eps")).select("level", F.col("thread_id").alias("node"))
-    ledges = edges.join(lvb, F.col("w") <= F.col("eps")).select("level", "src", "dst")
-    lab = _components(ledges, nodes, max_rounds)
-    sizes = lab.groupBy("level", "label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= mcs)
-    rep = lab.join(sizes.select("level", "label"), ["level", "label"]).groupBy("level", "label").agg(
-        F.min("node").alias("member"))
-    up = lab.select((F.col("level") + 1).alias("level"), F.col("node").alias("member"), F.col("label").alias("parent"))
-    forest = sizes.join(rep, ["level", "label"]).join(up, ["level", "member"], "left").select(
-        "level", "label", "size", "parent")
-    bounded = forest.count()
-    if bounded > levels * max(1, n // mcs + 1):
-        raise RuntimeError("cluster forest larger than its bound")
-    chosen = _select_eom(forest.toPandas(), eps)
-    if not chosen:
+    sizes = cluster_sizes(n)
+    least, samples = min_cluster_size or sizes[0], min_samples or sizes[1]
+    if n < max(least, 2):
         return x.select("thread_id", F.lit(-1).alias("topic_id"))
-    sel = spark.createDataFrame([(int(lv_), lb) for lv_, lb in chosen], "level int, label string")
-    members = lab.join(F.broadcast(sel), ["level", "label"]).select(
-        F.col("node").alias("thread_id"), F.concat_ws(":", F.col("level").cast("string"), "label").alias("cid"))
-    first = members.groupBy("cid").agg(F.min("thread_id").alias("m"))
-    ranked = first.select("cid", (F.dense_rank().over(Window.orderBy("m")) - 1).alias("topic_id"))
-    labelled = members.join(F.broadcast(ranked), "cid").select("thread_id", F.col("topic_id").cast("int"))
-    return x.select("thread_id").join(labelled, "thread_id", "left").select(
-        "thread_id", F.coalesce("topic_id", F.lit(-1)).alias("topic_id"))
+    blocks, balls = blocks_of(x, block_size)
+    points, _ = core_distances(blocks, balls, samples - 1)
+    edges, _ = tree_candidates(points, balls)
+    homes, clusters = condensed(spanning_tree(edges), points, least)
+    return labelled(homes, clusters)
