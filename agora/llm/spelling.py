@@ -194,6 +194,10 @@ def _pairs_of(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"word": word[a], "n": n[a], "other": word[b], "other_n": n[b]})
 
 
+def filled(pdf: pd.DataFrame) -> list[pd.DataFrame]:
+    return [pdf] if len(pdf) else []
+
+
 def _search(batches):
     """Near pairs of rows sorted by m, last, letters, sub and role: whole groups are strung into blocks; of a group larger
     than a block the indexed rows are kept and the queries stream past."""
@@ -208,20 +212,20 @@ def _search(batches):
             if not len(borders):
                 if (rest["role"] == 1).sum() < HOT:
                     break
-                yield _pairs_of(rest.assign(group=0))
+                yield from filled(_pairs_of(rest.assign(group=0)))
                 rest = rest[rest["role"] != 1].reset_index(drop=True)
                 break
             new_m = borders[rest["m"].to_numpy()[borders] != rest["m"].iat[0]]
             upto = borders[borders >= min(BLOCK, borders[-1])][0]
             upto = min(upto, new_m[0]) if len(new_m) else upto
-            yield _pairs_of(rest.iloc[:upto].assign(group=np.cumsum(fresh)[:upto]))
+            yield from filled(_pairs_of(rest.iloc[:upto].assign(group=np.cumsum(fresh)[:upto])))
             rest = rest.iloc[upto:].reset_index(drop=True)
     while rest is not None and len(rest):
         key = rest[["m", "last", "letters", "sub"]]
         fresh = (key != key.shift()).any(axis=1).to_numpy()
         other = np.flatnonzero(rest["m"].to_numpy() != rest["m"].iat[0])
         upto = other[0] if len(other) else len(rest)
-        yield _pairs_of(rest.iloc[:upto].assign(group=np.cumsum(fresh)[:upto]))
+        yield from filled(_pairs_of(rest.iloc[:upto].assign(group=np.cumsum(fresh)[:upto])))
         rest = rest.iloc[upto:].reset_index(drop=True)
 
 
