@@ -5,14 +5,20 @@ A dense suffix array holds a suffix for every byte. Here suffixes are sampled by
 have equal anchors at equal offsets, about one for every (width - LEAD) / 2 bytes. The strings with one anchor begin in
 one run of starts; the run and what follows is the anchor's segment.
 
-1. Anchored suffixes are range-partitioned by the fingerprint of their leading bytes, and each range is sorted by
-   leading bytes, then by the whole segment. Equal neighbours are repeats as a whole. An anchor that leads several
-   different segments leaves them open; one that leads a single segment is settled.
-2. For open segments (and one copy of each repeated segment beside them) all suffixes of the segment, cut at ``width``
-   bytes, go through ranges and are sorted and compared once more.
-
-The splitters are even over fingerprints, which are spread evenly, so they need no sample and no equal keys lie across
-a boundary. Segments and strings are compared by 64-bit fingerprints (segments under one anchor by 128).
+1. An anchored suffix is a string of three 64-bit tokens: its first 8 bytes, the fingerprint of its ``LEAD`` leading
+   bytes, and that of its whole segment. A chunk of documents sends each distinct one once. Splitters are quantiles of
+   a sample of suffixes (``PER_RANGE`` for each range, at byte positions spread evenly over all texts), so ranges of
+   leading bytes are even however the texts are distributed. A range sorts its suffixes by multikey quicksort and
+   compares neighbours: equal ones are repeats as a whole; an anchor that leads several different segments leaves them
+   open, one that leads a single segment is settled.
+2. Equal suffixes share a range, but an anchor with very many segments may lie across boundaries. Each range therefore
+   reports what it saw of its first and its last anchor; these reports are added up by anchor, and the sums, joined
+   back, decide on the anchors at the edges.
+3. For open segments (and one copy of each repeated segment beside them) all suffixes of the segment, cut at ``width``
+   bytes, are compared once more, in even ranges of their fingerprints.
+
+Segments and strings are compared by 64-bit fingerprints (segments under one anchor by 128). The splitters are at most
+``MAX_RANGES`` - 1 triples (6 MiB); a larger table has larger ranges, at 100 TB about 2.8 million suffixes each.
 
 Defined results: null texts are empty; matches never cross documents; rows that repeat are documents of their own, so
 an equal long row is removed in both; shorter texts keep all; an empty table gives no rows.
@@ -25,12 +31,60 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from agora.llm import packs
-from agora.llm.common import BASES, BYTE, U64, Spans, cover, mix
+from agora.llm.common import BASES, BYTE, U64, Spans, cover, mix, text_key
 
 LEAD = 128
 PIECE, PLACE = 1 << 20, 24
+MAX_RANGES, PER_RANGE = 1 << 18, 64
+SMALL = 1 << 12
+TOKENS = ("head", "lead", "body")
+
+
+def multikey_sort(tokens: list[np.ndarray]) -> np.ndarray:
+    """The order of strings given token by token, by three-way partition around a pivot: what equals the pivot goes on
+    with the next token. Up to ``SMALL`` strings are sorted at once."""
+    order = np.arange(len(tokens[0]))
+    todo = [(0, len(order), 0)]
+    while todo:
+        lo, hi, depth = todo.pop()
+        if hi - lo < 2 or depth == len(tokens):
+            continue
+        part = order[lo:hi]
+        if hi - lo <= SMALL:
+            order[lo:hi] = part[np.lexsort([t[part] for t in reversed(tokens[depth:])])]
+            continue
+        x = tokens[depth][part]
+        few = np.sort(x[::len(x) // 33 + 1])
+        pivot = few[len(few) // 2]
+        less, more = x < pivot, x > pivot
+        order[lo:hi] = np.concatenate([part[less], part[~(less | more)], part[more]])
+        a, b = lo + int(less.sum()), hi - int(more.sum())
+        todo += [(lo, a, depth), (a, b, depth + 1), (b, hi, depth)]
+    return order
+
+
+def range_of(tokens: list[np.ndarray], splitters: np.ndarray) -> np.ndarray:
+    """How many splitters (one a row) are not above each string."""
+    lo, hi = np.zeros(len(tokens[0]), np.int64), np.full(len(tokens[0]), len(splitters), np.int64)
+    while (lo < hi).any():
+        mid = (lo + hi) // 2
+        at = splitters[np.minimum(mid, len(splitters) - 1)]
+        above, level = np.zeros(len(lo), bool), np.ones(len(lo), bool)
+        for k, t in enumerate(tokens):
+            above |= level & (at[:, k] > t)
+            level &= at[:, k] == t
+        go, live = ~above, lo < hi
+        lo, hi = np.where(live & go, mid + 1, lo), np.where(live & ~go, mid, hi)
+    return lo
+
+
+def slices(where: np.ndarray) -> list[tuple[int, int, int]]:
+    """(range, first, end) of the runs of a sorted array of ranges."""
+    first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])[:len(where)])
+    return list(zip(where[first].tolist(), first.tolist(), np.append(first[1:], len(where)).tolist()))
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -53,7 +107,7 @@ class Part:
         n = len(buf)
         self.at = np.zeros(0, np.int64)
         self.low = self.high = self.at
-        self.key = self.body = np.zeros(0, np.uint64)
+        self.head = self.lead = self.body = np.zeros(0, np.uint64)
         if n < width:
             return
         values = BYTE[buf]
@@ -68,7 +122,8 @@ class Part:
         new = np.concatenate([[True], (np.diff(a) != 0) | (np.diff(p) != 1)])
         first = np.flatnonzero(new)
         self.low, self.high = p[first], p[np.append(first[1:], len(p)) - 1]
-        self.key = lead_of[a[first]]
+        self.lead = lead_of[a[first]]
+        self.head = buf[a[first][:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
         self.spans = Spans(values, BASES[1])
         self.body = mix(self.spans.of(self.low, self.high + width) + (a[first] - self.low).astype(np.uint64))
 
@@ -90,16 +145,19 @@ class Chunk:
                 group, size = [], 0
         if group:
             self._add(group, *self._join(group), 0, lead)
-        # segments of the chunk: (part, row in part) in order, and the distinct (anchor, segment) pairs
-        keys, bodies = (np.concatenate([getattr(p, k) for _, _, _, p in self.parts] or [np.zeros(0, np.uint64)]) for k in ("key", "body"))
-        order = np.lexsort((bodies, keys))
-        k, b = keys[order], bodies[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])])[:len(k)]
-        self.key, self.body = k[new], b[new]
+        # segments of the chunk: (part, row in part) in order, and the distinct suffixes
+        tokens = [np.concatenate([getattr(p, k) for _, _, _, p in self.parts] or [np.zeros(0, np.uint64)]) for k in TOKENS]
+        order = multikey_sort(tokens)
+        tokens = [t[order] for t in tokens]
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for t in tokens:
+            new[1:] |= t[1:] != t[:-1]
+        self.tokens = [t[new] for t in tokens]
         which = np.cumsum(new) - 1
-        self.inv = np.empty(len(k), np.int64)
+        self.inv = np.empty(len(order), np.int64)
         self.inv[order] = which
-        self.times = np.bincount(which, minlength=len(self.key))
+        self.times = np.bincount(which, minlength=int(new.sum()))
 
     def _join(self, group):
         return b"".join(self.raw[i] for i in group), np.concatenate([[0], np.cumsum([len(self.raw[i]) for i in group])])
@@ -125,51 +183,124 @@ def _flagged(prints: np.ndarray) -> np.ndarray:
     return u - (times < 2).astype(np.uint64)
 
 
-def _send_segments(width: int, ranges: int):
+def _sampled(width: int, lead: int):
+    """The suffixes at sampled positions: ``at`` is the place in a snippet that holds the whole segment around it."""
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for text, at in zip(pdf["snippet"], pdf["at"]):
+                p = Part(np.frombuffer(text, np.uint8), np.asarray([0, len(text)]), width, lead)
+                i = int(np.searchsorted(p.low, at, "right")) - 1
+                if i >= 0 and p.high[i] >= at:
+                    out.append([getattr(p, k)[i] for k in TOKENS])
+            yield pd.DataFrame(np.asarray(out, np.uint64).reshape(-1, len(TOKENS)).view(np.int64), columns=list(TOKENS))
+    return run
+
+
+def sampled_splitters(docs: DataFrame, width: int, ranges: int) -> np.ndarray:
+    """Quantiles of a sample of about ``PER_RANGE`` suffixes for each range, one splitter a row."""
+    most = min(ranges, MAX_RANGES)
+    if most < 2:
+        return np.zeros((0, len(TOKENS)), np.uint64)
+    step, gap = max(1, packs.RANGE_BYTES * ranges // (most * PER_RANGE)), width - LEAD + 1
+    size = F.octet_length("text").cast("long")
+    at = F.pmod(F.xxhash64("doc_id", text_key()), F.lit(step))
+    places = docs.filter(size > at).select(F.col("text").cast("binary").alias("text"), F.explode(F.sequence(at, size - 1, F.lit(step).cast("long"))).alias("p"))
+    snippets = places.select(F.expr(f"substring(text, CAST(greatest(p - {gap}, 0) AS int) + 1, CAST(least(p, {gap}) AS int) + {gap + width})").alias("snippet"),
+                             F.least("p", F.lit(gap)).alias("at"))
+    sample = snippets.mapInPandas(_sampled(width, LEAD), ", ".join(f"{k} long" for k in TOKENS)).toPandas()
+    tokens = [sample[k].to_numpy(np.int64).view(np.uint64) for k in TOKENS]
+    if not len(sample):
+        return np.zeros((0, len(TOKENS)), np.uint64)
+    order = multikey_sort(tokens)
+    return np.column_stack(tokens)[order[np.arange(1, most) * len(order) // most]]
+
+
+def _send_segments(width: int, splitters: np.ndarray):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         c = Chunk(pdf, width)
-        a = packs.cuts(c.key, ranges)
-        rows = [(r, key[0], c.key[a[r]:a[r + 1]].tobytes(), c.body[a[r]:a[r + 1]].tobytes(), packs.bits(c.times[a[r]:a[r + 1]] > 1))
-                for r in range(ranges) if a[r + 1] > a[r]]
-        return pd.DataFrame(rows, columns=["range", "chunk", "keys", "bodies", "twice"])
+        rows = [(r, key[0], *(t[a:z].tobytes() for t in c.tokens), packs.bits(c.times[a:z] > 1)) for r, a, z in slices(range_of(c.tokens, splitters))]
+        return pd.DataFrame(rows, columns=["range", "chunk", *TOKENS, "twice"])
     return run
 
 
+FOUND = "range int, chunk int, repeated binary, open binary, n_first int, n_last int, side int, head long, lead long, kinds long, fresh long"
+
+
 def _match_segments(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Bits for each pair: repeated as a whole; to be compared string by string."""
-    keys, bodies = ([np.frombuffer(x, "<u8") for x in pdf[k]] for k in ("keys", "bodies"))
-    lens = [len(x) for x in keys]
+    """For each chunk bits for its suffixes (repeated as a whole; to be compared string by string) and how many of them
+    belong to the first and the last anchor of the range, whose open bits hold only if the anchor is open. With a null
+    chunk, the two reports on these anchors: their kinds of segments and those found once."""
+    parts = [[np.frombuffer(x, "<u8") for x in pdf[k]] for k in TOKENS]
+    lens = [len(x) for x in parts[0]]
     twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(pdf["twice"], lens)])
-    k, b, chunk = np.concatenate(keys), np.concatenate(bodies), np.repeat(pdf["chunk"].to_numpy(), lens)
-    order = np.lexsort((chunk, b, k))
-    k, b = k[order], b[order]
-    new_key = np.concatenate([[True], k[1:] != k[:-1]])
+    tokens = [*map(np.concatenate, parts)]
+    order = multikey_sort(tokens)
+    h, k, b = (t[order] for t in tokens)
+    new_key = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
     new = new_key | np.concatenate([[True], b[1:] != b[:-1]])
     pair, anchor = np.cumsum(new) - 1, np.cumsum(new_key) - 1
     times = np.bincount(pair, weights=1 + twice[order])
     repeated = (times >= 2)[pair]
     kinds, fresh = np.bincount(anchor[new]), np.bincount(anchor[new], weights=(times < 2))
     # nothing is open where all segments of an anchor are repeated as a whole
-    open_ = ((kinds > 1) & (fresh > 0))[anchor] & (~repeated | new)
-    out = np.zeros((2, len(k)), bool)
-    out[0, order], out[1, order] = repeated, open_
-    at = np.cumsum(lens)[:-1]
-    return pd.DataFrame({"range": key[0], "chunk": pdf["chunk"], "repeated": [packs.bits(x) for x in np.split(out[0], at)],
-                         "open": [packs.bits(x) for x in np.split(out[1], at)]})
+    mixed = (kinds > 1) & (fresh > 0)
+    mixed[0] = mixed[-1] = True
+    open_ = mixed[anchor] & (~repeated | new)
+    out = np.zeros((4, len(k)), bool)
+    for row, flags in zip(out, (repeated, open_, anchor == 0, anchor == anchor[-1])):
+        row[order] = flags
+    repeated, open_, first, last = (np.split(x, np.cumsum(lens)[:-1]) for x in out)
+    bits = pd.DataFrame({"range": key[0], "chunk": pdf["chunk"].to_numpy(), "repeated": [*map(packs.bits, repeated)], "open": [*map(packs.bits, open_)],
+                         "n_first": [int(x.sum()) for x in first], "n_last": [int(x.sum()) for x in last]})
+    edges = [0] if anchor[-1] == 0 else [0, -1]
+    reports = pd.DataFrame({"range": key[0], "side": edges, "head": [h[e] for e in edges], "lead": [k[e] for e in edges],
+                            "kinds": kinds[edges], "fresh": fresh[edges].astype(np.int64)})
+    reports[["head", "lead"]] = reports[["head", "lead"]].to_numpy(np.uint64).view(np.int64)
+    reports["side"] = reports["side"].abs()
+    return pd.concat([bits, reports]).reindex(columns=[x.split()[0] for x in FOUND.split(", ")])
+
+
+def decided(found: DataFrame) -> DataFrame:
+    """(range, chunk, repeated, open, n_first, n_last, first_open, last_open): reports on an anchor added up over all
+    ranges that hold it, and joined to the answers of these ranges."""
+    reports = found.filter("chunk IS NULL").select("range", "side", "head", "lead", "kinds", "fresh")
+    sums = reports.groupBy("head", "lead").agg((F.sum("kinds") > 1).alias("several"), (F.sum("fresh") > 0).alias("some"))
+    sides = reports.join(sums, ["head", "lead"]).select("range", "side", (F.col("several") & F.col("some")).alias("mixed"))
+    edge = sides.groupBy("range").agg(F.max(F.when(F.col("side") == 0, F.col("mixed"))).alias("first_open"), F.max(F.when(F.col("side") == 1, F.col("mixed"))).alias("last_open"))
+    return found.filter("chunk IS NOT NULL").select("range", "chunk", "repeated", "open", "n_first", "n_last").join(edge, "range")
+
+
+def answers(replies: pd.DataFrame, c: Chunk, splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which suffixes of the chunk are repeated, and which are open."""
+    n = len(c.tokens[0])
+    repeated, open_ = np.zeros(n, bool), np.zeros(n, bool)
+    place = {r: (a, z) for r, a, z in slices(range_of(c.tokens, splitters))}
+    for x in replies.itertuples():
+        a, z = place[x.range]
+        repeated[a:z] = np.unpackbits(np.frombuffer(x.repeated, np.uint8), count=z - a)
+        mine = np.unpackbits(np.frombuffer(x.open, np.uint8), count=z - a).astype(bool)
+        n_first, n_last = int(x.n_first), int(x.n_last)
+        if not x.first_open:
+            mine[:n_first] = False
+        # a range with one anchor reports it as its first
+        if n_last and not pd.isna(x.last_open) and not x.last_open:
+            mine[-n_last:] = False
+        open_[a:z] = mine
+    return repeated, open_
 
 
 def _open_prints(c: Chunk, chosen: np.ndarray) -> np.ndarray:
     return _flagged(np.concatenate([x for _, _, x in c.windows(chosen)] or [np.zeros(0, np.uint64)]))
 
 
-def _send_strings(width: int, ranges: int):
+def _send_strings(width: int, ranges: int, splitters: np.ndarray):
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(left):
             c = Chunk(left, width)
-            chosen = packs.gather(right, "open", c.key, ranges)
             # a repeated segment stands for its copies: its strings count twice
-            repeated = packs.gather(right, "repeated", c.key, ranges)
+            repeated, chosen = answers(right, c, splitters)
             u = _open_prints(c, chosen & ~repeated)
             more = _open_prints(c, chosen & repeated) | U64(1)
             u = np.unique(np.concatenate([u, more]))
@@ -190,14 +321,14 @@ def _match_strings(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": pdf["chunk"], "again": [(x[y] >> U64(1)).tobytes() for x, y in zip(own, again)]})
 
 
-def _remove(width: int, ranges: int):
+def _remove(width: int, splitters: np.ndarray):
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if not len(left):
             return pd.DataFrame(columns=out)
         c = Chunk(left, width)
         segments, strings = right[right["kind"] == 1], right[right["kind"] == 2]
-        repeated = packs.gather(segments, "repeated", c.key, ranges)
+        repeated, _ = answers(segments, c, splitters)
         again = np.sort(np.concatenate([np.frombuffer(x, "<u8") for x in strings["again"]] or [np.zeros(0, np.uint64)]))
         starts: list[list[np.ndarray]] = [[] for _ in c.raw]
         for chosen, whole in ((repeated, True), (~repeated, False)):
@@ -233,15 +364,15 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 400) -> DataFrame:
     if width <= LEAD:
         raise ValueError(f"width must be over {LEAD}")
     base, ranges = packs.chunked(docs)
+    splitters = sampled_splitters(docs, width, ranges)
     texts = base.groupBy("chunk")
-    found = (texts.applyInPandas(_send_segments(width, ranges), "range int, chunk int, keys binary, bodies binary, twice binary")
-             .groupBy("range").applyInPandas(_match_segments, "range int, chunk int, repeated binary, open binary"))
-    strings = (texts.cogroup(found.groupBy("chunk")).applyInPandas(_send_strings(width, ranges), "range int, chunk int, prints binary")
+    columns = ", ".join(["range int", "chunk int", *(f"{k} binary" for k in TOKENS), "twice binary"])
+    found = decided(texts.applyInPandas(_send_segments(width, splitters), columns).groupBy("range").applyInPandas(_match_segments, FOUND))
+    strings = (texts.cogroup(found.groupBy("chunk")).applyInPandas(_send_strings(width, ranges, splitters), "range int, chunk int, prints binary")
                .groupBy("range").applyInPandas(_match_strings, "chunk int, again binary"))
-    replies = found.selectExpr("chunk", "range", "1 AS kind", "repeated", "open", "CAST(NULL AS binary) AS again").unionByName(
-        strings.selectExpr("chunk", "-1 AS range", "2 AS kind", "CAST(NULL AS binary) AS repeated", "CAST(NULL AS binary) AS open", "again"))
+    replies = found.withColumns({"kind": F.lit(1), "again": F.lit(None).cast("binary")}).unionByName(strings.withColumn("kind", F.lit(2)), allowMissingColumns=True)
     return texts.cogroup(replies.groupBy("chunk")).applyInPandas(
-        _remove(width, ranges), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        _remove(width, splitters), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op3_suffix_array(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from agora.llm import chat, lines, mixing, near_dup, quality, sentencepiece, substring, suffix_array, topk, toxicity
+from agora.llm import chat, lines, mixing, near_dup, packs, quality, sentencepiece, substring, suffix_array, topk, toxicity
 
 SPLIT = re.compile("[^\x20\x09-\x0d]+")
 
@@ -26,8 +26,8 @@ def bag(df, *columns):
     return Counter(tuple(r) for r in df.select(*columns).collect())
 
 
-def test_suffix_dedup(odd, empty):
-    width, data = 400, [(i, (t or "").encode()) for i, t in rows(odd)]
+def check_suffix_dedup(df):
+    width, data = 400, [(i, (t or "").encode()) for i, t in rows(df)]
     seen = Counter(b[p:p + width] for _, b in data for p in range(len(b) - width + 1))
     want = Counter()
     for i, b in data:
@@ -38,17 +38,67 @@ def test_suffix_dedup(odd, empty):
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         want[i, len(b), int(gone.sum()), runs, sha(bytes(x for x, g in zip(b, gone) if not g))] += 1
     assert any(k[2] for k in want)
-    assert bag(suffix_array.remove_repeated_bytes(odd), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    assert bag(suffix_array.remove_repeated_bytes(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
+def test_suffix_dedup(odd, empty):
+    check_suffix_dedup(odd)
     assert suffix_array.remove_repeated_bytes(empty).count() == 0
 
 
+def test_suffix_dedup_many_chunks_and_ranges(odd, monkeypatch):
+    monkeypatch.setattr(packs, "CHUNK_BYTES", 8000)
+    monkeypatch.setattr(packs, "RANGE_BYTES", 4000)
+    base, ranges = packs.chunked(odd)
+    assert base.select("chunk").distinct().count() > 4 and ranges > 10
+    check_suffix_dedup(odd)
+
+
+def test_anchors_across_boundaries(spark, monkeypatch):
+    """One lead before many different texts, and before texts that all occur twice: its suffixes fill several ranges."""
+    monkeypatch.setattr(packs, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(packs, "RANGE_BYTES", 2000)
+    r = np.random.default_rng(5)
+    say = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    lead = say(410)
+    texts = [say(30) + lead + say(300) for _ in range(60)] + [lead + say(400) for _ in range(20)] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    splitters = suffix_array.sampled_splitters(df, 400, packs.chunked(df)[1])
+    assert len({tuple(x[:2]) for x in splitters.tolist()}) < len(splitters)
+    check_suffix_dedup(df)
+
+
+def test_sampled_splitters_are_even(spark, monkeypatch):
+    """100 ranges over texts whose leading bytes crowd at a few values."""
+    r = np.random.default_rng(7)
+    texts = [" ".join(r.choice(["aaaaaaaa", "aaaaaaab", "zz", "the", *map(str, r.integers(0, 10 ** 6, 4))], 400)) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(packs, "RANGE_BYTES", sum(map(len, texts)) // 100 + 1)
+    splitters = suffix_array.sampled_splitters(df, 400, 100)
+    c = suffix_array.Chunk(df.toPandas(), 400)
+    sizes = np.bincount(suffix_array.range_of(c.tokens, splitters), minlength=100)
+    assert len(sizes) == 100 and sizes.max() <= 2 * sizes.mean()
+
+
+def test_multikey_sort(monkeypatch):
+    monkeypatch.setattr(suffix_array, "SMALL", 4)
+    r = np.random.default_rng(1)
+    for n in (0, 1, 5, 3000):
+        tokens = [r.integers(0, 6, n).astype(np.uint64) for _ in range(3)]
+        order = suffix_array.multikey_sort(tokens)
+        triples = [*zip(*(t.tolist() for t in tokens))]
+        assert sorted(order.tolist()) == [*range(n)] and [triples[i] for i in order] == sorted(triples)
+        splitters = np.asarray(sorted(triples[:4]), np.uint64).reshape(-1, 3)
+        assert suffix_array.range_of(tokens, splitters).tolist() == [sum(tuple(s) <= t for s in splitters.tolist()) for t in triples]
+
+
 def test_long_text_in_slices(spark, monkeypatch):
     monkeypatch.setattr(suffix_array, "PIECE", 1000)
     import pandas as pd
     text = "".join(chr(97 + (i * i * 7 + i // 13) % 26) for i in range(3000))
     pdf = pd.DataFrame({"doc_id": [1, 2], "text": [text + "0" * 500, "x" * 10 + text]})
     c = suffix_array.Chunk(pdf, 400)
-    starts = sorted(p for n, p, _ in c.windows(np.ones(len(c.key), bool)) for p in (p + c.parts[n][2] + 10_000 * c.parts[n][0][0]).tolist())
+    starts = sorted(p for n, p, _ in c.windows(np.ones(len(c.tokens[0]), bool)) for p in (p + c.parts[n][2] + 10_000 * c.parts[n][0][0]).tolist())
     assert starts == [*range(3101), *range(10_000, 12_611)]
 
 
