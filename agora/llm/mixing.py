@@ -8,13 +8,16 @@ times, and once more with the fractional probability that is left.
 These fractions are rounded dependently. In a pair, probability is moved from one document to the other until one of
 them is 0 or 1; the amount is counted in words, so the pair's expected words do not change, and the direction is drawn
 with odds that leave each document's expected copies unchanged. A bucket of about ``FAN`` documents is folded to at
-most one fractional document; these residuals are folded again, level by level, until one is left in each source,
-which is rounded to the nearer side. A source's taken words therefore miss its target by at most half of one document.
+most one fractional document; these residuals are folded again, level by level, until one is left in each source.
+That one is often a heavy document, so what its rounding, up or down, adds or takes away is made good by settled ones:
+from each size class (powers of two) up to ``REPAIR`` of the source's settled documents are drawn, and from the
+heaviest to the lightest each is turned over that is no heavier than what is still missing. Of both roundings the one
+that ends nearer holds. A source with documents of many sizes then misses its target by less than a light one.
 Draws are hashes of ids and level, so reruns agree.
 
 Defined results: null texts have size 0; documents of size 0 are taken floor(target / size) times like the others and
 never change a sum; rows that repeat doc_id, source and size are one item of that many times the words and share its
-copies; a null source is a source; a null doc_id is an id; an empty table gives no rows.
+copies, so a source that is mostly one repeated row may miss by up to half of that row's words; a null source is a source; a null doc_id is an id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from agora.llm.common import WORD, cut, own_prefix
 
 WEIGHTS = (5, 2, 1)
-FAN = 32
+FAN, REPAIR = 32, 256
 ITEM = "struct<w:double,p:double,doc_id:bigint,source:string,size:bigint>"
 
 
@@ -90,6 +93,31 @@ def _fold(items: Column, level: int) -> Column:
     return F.aggregate(items, start, meet)
 
 
+def repairs(settled: DataFrame, root: DataFrame) -> DataFrame:
+    """(doc_id, source, size, turn): settled documents that are taken once more (1) or once less (-1), and the roots that
+    are rounded up (1)."""
+    up = root.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        F.col("source").alias("__s"), "up", ((F.col("up") - F.col("p")) * F.col("w")).alias("error"), F.struct("w", "doc_id", "size", F.col("up").alias("turn")).alias("root"))
+    up = F.broadcast(up) if _few(up) else up
+    turn = F.when(F.col("p") >= 1.0, -1).otherwise(1)
+    near = settled.withColumns({"turn": turn, "class": F.length(F.bin(F.col("w").cast("long")))})
+    near = near.join(up, F.col("source").eqNullSafe(F.col("__s")) & (F.col("up") == (F.col("turn") < 0).cast("int")) & (F.col("w") <= F.abs("error")))
+    draw = Window.partitionBy("source", "up", "class").orderBy(F.xxhash64("doc_id", "size"), "doc_id", "size")
+    near = near.withColumn("n", F.row_number().over(draw)).filter(F.col("n") <= REPAIR)
+    drawn = near.select("__s", "up", "error", "root", F.struct("w", "doc_id", "size", "turn").alias("item"))
+    drawn = drawn.unionByName(up.withColumn("item", F.lit(None).cast("struct<w:double,doc_id:bigint,size:bigint,turn:int>")))
+    heavy_first = drawn.groupBy("__s", "up").agg(F.first("error").alias("error"), F.first("root").alias("root"), F.sort_array(F.collect_list("item"), asc=False).alias("items"))
+    start = F.struct(F.col("error").alias("left"), F.array("root").alias("turned"))
+
+    def step(acc: Column, x: Column) -> Column:
+        after = acc["left"] + x["turn"] * x["w"]
+        return F.when(x["w"] <= F.abs(acc["left"]), F.struct(after.alias("left"), F.concat(acc["turned"], F.array(x)).alias("turned"))).otherwise(acc)
+
+    ends = heavy_first.select("__s", "up", "error", F.aggregate("items", start, step).alias("end"))
+    best = ends.groupBy("__s").agg(F.min_by("end", F.struct(F.abs("end.left"), F.abs("error"), "up")).alias("end"))
+    return best.select(F.col("__s").alias("source"), F.explode("end.turned").alias("x")).filter("x.turn <> 0").select("x.doc_id", "source", "x.size", "x.turn")
+
+
 def copies(sizes: DataFrame, goal: DataFrame) -> DataFrame:
     """(doc_id, source, size, copies): the distinct items and how often each is taken."""
     items = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("times"))
@@ -100,7 +128,7 @@ def copies(sizes: DataFrame, goal: DataFrame) -> DataFrame:
                         "base", (F.col("ratio") - F.col("base")).alias("p")), "items")
     todo = items.filter("p > 0 and w > 0").select("source", F.struct("w", "p", "doc_id", "source", "size").cast(ITEM).alias("item"))
     most = todo.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    done, level = [], 0
+    done, level, root = [], 0, None
     while most > 0:
         n = -(-most // FAN)
         counts = todo.groupBy("source").agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed("source", "__s")
@@ -115,7 +143,7 @@ def copies(sizes: DataFrame, goal: DataFrame) -> DataFrame:
         todo = folded.filter("carry is not null").select("source", F.col("carry").alias("item"))
         level += 1
         if n == 1:
-            done.append(todo.select("item.*").withColumn("p", F.when(F.col("p") >= 0.5, 1.0).otherwise(0.0)))
+            root = todo.select("item.*")
             break
         most = todo.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if not done:
@@ -123,10 +151,11 @@ def copies(sizes: DataFrame, goal: DataFrame) -> DataFrame:
     extra = done[0]
     for d in done[1:]:
         extra = extra.unionByName(d)
+    turned = cut(repairs(extra, root), "repairs").select(F.col("doc_id").alias("__rd"), F.col("source").alias("__rs"), F.col("size").alias("__rz"), "turn")
     extra = extra.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("p").alias("__p"))
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z"))
-    return items.join(extra, same, "left").select(
-        "doc_id", "source", "size", (F.col("base") + F.coalesce(F.col("__p"), F.lit(0.0))).cast("long").alias("copies"))
+    for more, d, c, z in ((extra, "__d", "__s", "__z"), (F.broadcast(turned) if _few(turned) else turned, "__rd", "__rs", "__rz")):
+        items = items.join(more, F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(c)) & (F.col("size") == F.col(z)), "left")
+    return items.select("doc_id", "source", "size", (F.col("base") + F.coalesce(F.col("__p"), F.lit(0.0)) + F.coalesce(F.col("turn"), F.lit(0))).cast("long").alias("copies"))
 
 
 def _few(rows: DataFrame, most: int = 10_000) -> bool:

@@ -240,6 +240,23 @@ def test_mixing(odd, empty):
     assert mixing.mix_report(empty).count() == 0
 
 
+def test_mixing_meets_targets_within_a_median_document(spark):
+    """Whole documents of sf0.01: 50 in each source, some of them 20 times as long as the median."""
+    r = mixing.mix_report(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    by = r.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.median("size").alias("median")).collect()
+    assert len(by) > 5 and all(abs(x.taken - x.target) <= x.median for x in by)
+    assert r.filter("taken > 2 * size or taken < 0").count() == 0
+
+
+def test_heavy_root_is_made_good(spark):
+    """One document as heavy as all others of its source together, of which more are taken than left, or the reverse."""
+    rows_ = [(i, "w " * (4000 if i == 0 else 10 + i % 40), "s") for i in range(150)] + [(1000 + i, "w " * (9 + i % 30), "t") for i in range(150)]
+    for percent in (20, 60, 90):
+        r = mixing.mix_report(spark.createDataFrame(rows_, "doc_id long, text string, source string"), percent=percent)
+        for x in r.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+            assert abs(x.taken - x.target) <= 10, (percent, x)
+
+
 def test_pivotal_rounding_is_unbiased_and_near(spark):
     from pyspark.sql import Row
     docs = spark.createDataFrame([Row(doc_id=i, source="a" if i % 4 else "b", text="w " * (1 + i % 50)) for i in range(4000)])
