@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.llm.common import BASES, U64, Spans, cut, mix, own_prefix, text_chunks, text_key, word_hashes, word_spans
-from agora.llm.graph import components
+from agora.llm.graph import components, look_up
 
 TABLES = 12
 BLOCK_DOCS, BLOCK_BYTES = 2048, 8 << 20
@@ -144,18 +144,18 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, tables:
     full = sigs.filter("c is not null")
     classes = full.groupBy("c").agg(F.min(F.struct("doc_id", "tk")).alias("rep"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("n_bytes").alias("n_bytes"))
     rough = components(_candidates(classes, tables), "rough").withColumnRenamed("v", "c")
-    members = classes.select("c", "rep", "n_bytes").join(rough, "c")
+    members = cut(classes.select("c", "rep", "n_bytes").join(rough, "c"), "members")
     sizes = (members.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes"))
              .select("label", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")))
-    placed = cut(members.join(sizes, "label").select("c", "rep", "label", "blocks", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("x")), "members")
+    placed = cut(look_up(members, sizes, "label").select("c", "rep", "label", "blocks", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("x")), "placed")
     texts = (docs.select("doc_id", text_key().alias("tk"), "text")
              .join(placed, F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("tk") == F.col("rep.tk")))
              .select("c", "label", "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), "text"))
     groups = texts.select("c", "text", "label", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).groupBy("label", "x", "y")
     links = components(groups.applyInPandas(_verify(width, percent), "a binary, b binary"), "links")
-    named = classes.select("c", "least").join(links, F.col("c") == F.col("v"), "left").select(
-        "c", "least", F.coalesce("label", "c").alias("label"))
-    named = named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("c", "component_id", "label")
+    named = cut(classes.select("c", "least").join(links, F.col("c") == F.col("v"), "left").select(
+        "c", "least", F.coalesce("label", "c").alias("label")), "named")
+    named = look_up(named, named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("c", "component_id", "label")
     ids = full.join(named.select("c", F.col("component_id").alias("found"), "label"), "c")
     out = ids.select("doc_id", "tk", "n_shingles", F.col("found").alias("component_id"), "label").unionByName(
         sigs.filter("c is null").select("doc_id", "tk", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("label")))
