@@ -5,8 +5,9 @@ letters to these letters, everything else that is no letter to a space. Terms ar
 hit inside an exception phrase doesn't count. The weights of the hits are summed and divided by a slowly growing
 function of the text's length; the score is that density against the cutoff that parts the training rows best.
 
-The lexicon is learned from labelled rows (at most about ``FIT_ROWS`` of them, chosen by a hash of doc_id, so the
-sample, the candidate terms and the exceptions are bounded): a term's weight is its log odds among toxic documents.
+The lexicon is learned from labelled rows (at most about ``FIT_ROWS`` of them, chosen by a hash of doc_id). That bound is
+the only one: terms are counted and held to the purity test in Spark, and every term that passes is kept, so terms and
+exceptions are bounded by what the sample's texts hold. A term's weight is its log odds among toxic documents.
 Exceptions are words that begin with a term, but are found in clean documents only, and the caller's phrases. Neither
 doc_id, lang, source nor labels enter a score.
 
@@ -27,8 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIT_ROWS = 20_000
-MAX_TERMS = 2_000
-MAX_CANDIDATES = 200_000
 LEAST, PURE = 4, 0.9
 
 # Look-alike letters, and digits and signs that stand for letters.
@@ -137,18 +136,14 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (),
         if not n1 or not n0:
             return Lexicon({})
         least = max(LEAST, n1 // 500)
-        first = {r.term: r.n for r in _counts(toxic).filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()}
-        known = frozenset(first)
-        other = {r.term: r.n for r in _counts(clean, lambda words: _terms(words) & known).collect()}
+        both = (_counts(toxic).filter(F.col("n") >= least).withColumnRenamed("n", "a")
+                .join(_counts(clean).withColumnRenamed("n", "b"), "term", "left").fillna(0, "b").filter(F.col("a") >= PURE * (F.col("a") + F.col("b"))))
         weight = {}
-        for t in sorted(first, key=lambda t: (len(t.strip()), t)):
-            a, b = first[t], other.get(t, 0)
-            if a >= PURE * (a + b):
-                w = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
-                # a longer term must say more than the shorter ones that it holds
-                if not any(weight.get(t[:k], -1) >= w - 0.7 for k in range(5, len(t))):
-                    weight[t] = w
-        weight = dict(sorted(weight.items(), key=lambda x: (-first[x[0]], x[0]))[:MAX_TERMS])
+        for t, a, b in sorted(both.select("term", "a", "b").collect(), key=lambda x: (len(x[0].strip()), x[0])):
+            w = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
+            # a longer term must say more than the shorter ones that it holds
+            if not any(weight.get(t[:k], -1) >= w - 0.7 for k in range(5, len(t))):
+                weight[t] = w
         spared = [fold(e) for e in exceptions]
         open_ = frozenset(t for t in weight if not t.endswith(" "))
         if open_:
