@@ -300,17 +300,30 @@ def _parts(column: pa.Array, limit: int) -> Iterator[tuple[int, list[bytes]]]:
         yield i, held
 
 
+def make_room(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` without columns of these names: they are renamed, with as many underscores before the name as it takes."""
+    taken = {c.lower() for c in [*df.columns, *names]}
+    out = []
+    for c in df.columns:
+        new = c
+        if c.lower() in {n.lower() for n in names}:
+            while new.lower() in taken:
+                new = f"_{new}"
+            taken.add(new.lower())
+        out.append(new)
+    return df.toDF(*out)
+
+
 def encode(docs: DataFrame, path: str = VOCABULARY, scores: str = "zipf", text: str = "text", back: bool = False) -> DataFrame:
     """``docs`` with a column ids array<int>. With ``back``, decoded and round_trip stand in the place of the text: the
-    text of the ids, and whether it is the text (null: empty); both directions run in one Python worker."""
+    text of the ids, and whether it is the text (null: empty); both directions run in one Python worker. A column of
+    ``docs`` that has the name of a new one stays under that name with underscores before it."""
     model = docs.sparkSession.sparkContext.broadcast(make_model(read_pieces(path, scores)))
     new = [StructField("ids", ArrayType(IntegerType()))]
     if back:
         new += [StructField("decoded", StringType()), StructField("round_trip", BooleanType())]
-    for f in new:
-        if f.name in docs.columns:
-            raise ValueError(f"a column {f.name} exists already")
     k = docs.columns.index(text)
+    docs = make_room(docs, [f.name for f in new])
     stay = [c for c in range(len(docs.columns)) if c != k or not back]
     fields = [*(docs.schema.fields[c] for c in stay), *new]
 
@@ -329,9 +342,10 @@ def encode(docs: DataFrame, path: str = VOCABULARY, scores: str = "zipf", text:
 
 
 def decode(rows: DataFrame, path: str = VOCABULARY, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``rows`` with the text of their ids."""
+    """``rows`` with the text of their ids. A column that has the name ``out`` stays under that name with underscores before it."""
     model = rows.sparkSession.sparkContext.broadcast(make_model(read_pieces(path, "file")))
     k = rows.columns.index(ids)
+    rows = make_room(rows, [out])
 
     def run(batches):
         for batch in batches:

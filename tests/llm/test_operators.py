@@ -518,3 +518,14 @@ def test_sentencepiece_runs_do_not_change_ids(monkeypatch):
     monkeypatch.setattr(sp, "RUN", 50)
     ids, at2 = sp.encode_texts(m, texts)
     assert np.array_equal(whole, ids) and np.array_equal(at, at2)
+
+
+def test_sentencepiece_clashing_names(odd, empty):
+    df = odd.select("doc_id", F.col("text").alias("body"), F.lit("mine").alias("ids"), F.lit("more").alias("_ids"), F.lit(1).alias("decoded"))
+    out = sentencepiece.encode(df, text="body", back=True)
+    assert out.columns == ["doc_id", "__ids", "_ids", "_decoded", "ids", "decoded", "round_trip"]
+    assert {(r["__ids"], r["_ids"], r["_decoded"]) for r in out.collect()} == {("mine", "more", 1)}
+    again = sentencepiece.decode(sentencepiece.encode(df, text="body"))
+    assert again.columns == ["doc_id", "body", "__ids", "_ids", "_decoded", "ids", "decoded"]
+    assert all(r.decoded == (r.body or "").replace("▁", " ") for r in again.collect())
+    assert sentencepiece.encode(empty.withColumn("ids", F.lit(0)), back=True).count() == 0
