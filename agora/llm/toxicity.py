@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 FIT_ROWS = 20_000
 LEAST, PURE = 4, 0.9
+HELD = 1 << 15
 
 # Look-alike letters, and digits and signs that stand for letters.
 LOOKALIKES = {
@@ -67,13 +68,19 @@ def _holders(words: set[str], open_: frozenset) -> set[str]:
 
 
 def _count(pick: Callable[[set[str]], set[str]]):
+    def rows_of(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["term", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Counter()
         for batch in batches:
-            seen = Counter()
             for text in batch.column(0):
                 seen.update(pick(set(fold(text.as_py() or "").split())))
-            seen = {t: n for t, n in seen.items()}
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+                if len(seen) >= HELD:  # partial counts, summed by Spark: a worker holds about this many terms
+                    yield rows_of(seen)
+                    seen = Counter()
+        if seen:
+            yield rows_of(seen)
     return run
 
 
