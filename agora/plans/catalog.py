@@ -527,6 +527,12 @@ def q_extract_json(spark, sf_dir):
     return e.select("event_id", j["k"].alias("k"), j.isNotNull().alias("is_valid"))
 
 
+@query("response_text")
+def q_response_text(spark, sf_dir):
+    """T18 on every document's text, wrapped in the response shapes."""
+    return fx.model_responses(spark, sf_dir).select("doc_id", tx.response_text("response").alias("text"))
+
+
 @query("text_search")
 def q_text_search(spark, sf_dir):
     """V1 + V2 + X4: benchmark passages as query texts against thread texts, one fitted encoder."""

@@ -550,3 +550,29 @@ SELECT 'query-' || query_id AS key, {_q(QUERY_INSTRUCTIONS)} || context AS promp
 oracle("extract_json", [], """
 SELECT event_id, TRY_CAST(json_extract(NULLIF(regexp_extract(props, '(?s)\\{.*\\}', 0), ''), '$.k') AS INTEGER) AS k,
   regexp_extract(props, '(?s)\\{.*\\}', 0) <> '' AS is_valid FROM events""")
+
+oracle("response_text", [], "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+
+# --------------------------------------------------------------- markup
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def _unescaped(x: str) -> str:
+    for name, c in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·")):
+        x = f"replace({x}, '{name}', '{c}')"
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
+
+
+def _nodes(x: str, without: list[str]) -> str:
+    """The texts between tags, stripped, empty ones dropped; for markup whose hidden elements are closed and not nested."""
+    x = f"regexp_replace({x}, '<!--.*?-->', chr(1), 'gs')"
+    for tag in without:
+        x = f"regexp_replace({x}, '<{tag}( [^>]*)?>.*?</{tag}>', chr(1), 'gs')"
+    x = _unescaped(f"regexp_replace({x}, '</?[A-Za-z!][^>]*>', chr(1), 'g')")
+    return f"array_to_string(list_filter(list_transform(string_split({x}, chr(1)), lambda t: trim(t, '{_SPACES}')), lambda t: t <> ''), ' ')"
+
+
+oracle("strip_html", [], f"SELECT page_id, {_nodes(_unescaped('html'), ['script', 'style', 'template'])} AS text FROM pages")
+_HIDDEN = ["script", "style", "noscript", "header", "footer", "nav", "aside"]
+oracle("page_main_text", [], f"""
+SELECT page_id, url, substr(trim(regexp_replace({_nodes('html', _HIDDEN)}, '[{_SPACES}]+', ' ', 'g'), ' '), 1, 8000) AS text FROM pages""")

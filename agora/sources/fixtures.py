@@ -62,6 +62,16 @@ def planted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", text.alias("text")).unionByName(marks)
 
 
+def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text inside a model response, by id in one of the three shapes or as it is."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    k = F.col("doc_id") % 4
+    part = F.array(F.struct("text"))
+    shaped = (F.when(k == 1, F.to_json(F.struct("text"))).when(k == 2, F.to_json(F.struct(F.lit(1).alias("text"), F.col("text").alias("output"))))
+              .when(k == 3, F.to_json(F.struct(F.array(F.struct(F.struct(part.alias("parts")).alias("content"))).alias("candidates")))).otherwise(F.col("text")))
+    return d.select("doc_id", shaped.alias("response"))
+
+
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     e = table(spark, sf_dir, "events")

@@ -5,8 +5,15 @@ Arrow batches (``pandas_udf``).  Callers pass null for rows that cannot hold
 markup, so the Python worker only sees the rows that need parsing.
 
 Semantics: text nodes, each stripped, empties dropped, joined by one space.
-Contents of ``script``/``style``/``template`` are not text.  Well-formed
-markup is promised; on broken markup a lenient parser may differ.
+Contents of ``script``/``style``/``template`` are not text.
+
+Broken markup is read with a stack of open elements.  An end tag closes the
+nearest open element of its name with all that is open inside it, unless an
+element of higher rank lies between; an end tag that closes nothing is as if it
+were not there (but ``</p>`` still ends a text node).  A start tag first closes what
+cannot hold it: a paragraph ends at a block, an item at the next item, a cell
+at the next cell or row.  Void elements are never open.  So an element that is
+never closed reaches to the end of its parent, and no further.
 """
 
 from __future__ import annotations
@@ -26,11 +33,37 @@ BOILERPLATE_TAGS = frozenset(["script", "style", "noscript", "header", "footer",
 PAGE_TEXT_CHARS = 8000
 
 
+# Elements without content; ranks over which an end tag of lower
+# rank does not reach (others: 100); what a start tag closes if it is open innermost.
+VOID_TAGS = frozenset(["area", "base", "basefont", "br", "col", "embed", "frame", "hr", "img", "input", "isindex", "link", "meta",
+                       "param", "source", "track", "wbr"])
+END_RANK = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190,
+            "head": 200, "body": 200, "html": 220}
+BLOCK_TAGS = frozenset(["address", "blockquote", "body", "caption", "center", "dd", "dir", "div", "dl", "dt", "fieldset", "form",
+                        "h1", "h2", "h3", "h4", "h5", "h6", "hr", "li", "menu", "ol", "p", "pre", "table", "tbody", "td", "tfoot",
+                        "th", "thead", "tr", "ul"])
+SECTION_TAGS = frozenset(["thead", "tbody", "tfoot"])
+CLOSED_BY = {
+    "p": BLOCK_TAGS,
+    "li": frozenset(["li"]),
+    "dt": frozenset(["dt", "dd"]),
+    "dd": frozenset(["dt", "dd"]),
+    "option": frozenset(["option", "optgroup"]),
+    "td": SECTION_TAGS | {"td", "th", "tr"},
+    "th": SECTION_TAGS | {"td", "th", "tr"},
+    "tr": SECTION_TAGS | {"tr"},
+    "thead": SECTION_TAGS,
+    "tbody": SECTION_TAGS,
+    "head": BLOCK_TAGS | {"a", "article", "aside", "footer", "header", "main", "nav", "section", "span"},
+}
+
+
 class _TextCollector(HTMLParser):
     def __init__(self, skip: frozenset[str]):
         super().__init__(convert_charrefs=True)
         self.skip = skip
-        self.depth = 0
+        self.open: list[str] = []
+        self.hidden = 0
         self.parts: list[str] = []
         self.held: list[str] = []
 
@@ -41,18 +74,37 @@ class _TextCollector(HTMLParser):
         if s:
             self.parts.append(s)
 
+    def leave(self):
+        self.hidden -= self.open.pop() in self.skip
+
     def handle_starttag(self, tag, attrs):
         self.flush()
-        if tag in self.skip:
-            self.depth += 1
+        while self.open and tag in CLOSED_BY.get(self.open[-1], ()):
+            self.leave()
+        if tag not in VOID_TAGS:
+            self.open.append(tag)
+            self.hidden += tag in self.skip
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID_TAGS:
+            self.leave()
 
     def handle_endtag(self, tag):
-        self.flush()
-        if tag in self.skip and self.depth > 0:
-            self.depth -= 1
+        rank = END_RANK.get(tag, 100)
+        for depth in range(len(self.open) - 1, -1, -1):
+            if self.open[depth] == tag:
+                self.flush()
+                while len(self.open) > depth:
+                    self.leave()
+                return
+            if END_RANK.get(self.open[depth], 100) > rank:
+                break
+        if tag == "p":
+            self.flush()
 
     def handle_data(self, data):
-        if self.depth == 0:
+        if not self.hidden:
             self.held.append(data)
 
     def handle_comment(self, data):
