@@ -3,14 +3,19 @@
 Points are dealt to the nearest of a bounded sample of pivots; a cell is parted into the points near its pivot and the
 far ones (over twice the median distance), and parts of more than ``block_size`` points are split by hash.  A block is a
 ball, or the shell of one: its pivot, the least and the largest distance to it.  By the triangle inequality these bound
-the distances between two blocks, so pairs of blocks far apart never meet:
-
-* the k-th distance of a block's points lies between two bounds that follow from the balls' counts; blocks wholly
-  nearer are only counted, blocks wholly farther are skipped, the others count their distances in ``BINS`` bins between
-  the bounds.  Bins are summed per point and the one with the k-th distance is narrowed until it holds at most ``LIST``
-  values, which are then listed: nothing of the size of the table or of k is kept for a point;
-* a spanning tree edge is never heavier than the heaviest edge of any connected subgraph, here the forests within blocks
-  and along a tree of pivots; pairs of blocks whose least mutual reachability is above it are skipped.
+the distances between two blocks, so pairs of blocks far apart never meet.  Blocks that meet travel as one packed row
+each; a pair is one matrix product in chunks, and only values near a bound get the exact distance:
+
+* the k-th distance of a point lies between two bounds: those of its block follow from the balls' counts, its own from
+  the ranks of its distances to a bounded sample of points.  Nearer points are counted and the distances between the
+  bounds are listed, in ascending order with their counts; where a point would list more than ``LIST``, distances are
+  first counted in ``BINS`` bins, and the bin with the k-th is narrowed.  A point whose bounds prove wrong starts again
+  from those of its block;
+* a point with a point of lower core distance (ties by place) no farther than its own core distance has a tree edge of
+  exactly that weight, its least possible one; these edges leave one root for each peak of density.  Between the trees
+  of the roots the lightest edges of each pair of blocks are kept;
+* a spanning tree edge between trees is never heavier than the heaviest of any connected subgraph, here along a tree of
+  pivots; points and pairs of blocks whose least mutual reachability is above it are skipped.
 """
 
 from __future__ import annotations
@@ -24,9 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .tree import roots, spanning_tree
 
 MAX_PIVOTS, MAX_BLOCKS = 4096, 32768
-BINS, LIST = 64, 512
+BINS, LIST = 64, 4096
+SAMPLE, SIGMAS = (16384, 32768), 4.5  # points of the sample that bounds the k-th distances; width of the bounds
+CHUNK_VALUES, MAX_TREES = 1 << 20, 4096
 
 
 @dataclass
@@ -63,7 +71,7 @@ def blocks_of(x: DataFrame, block_size: int) -> tuple[DataFrame, Balls]:
     """(thread_id, embedding, blk), written, and the balls."""
     spark, n = x.sparkSession, x.count()
     block_size = max(block_size, math.ceil(n / MAX_BLOCKS))
-    want = min(MAX_PIVOTS, max(1, math.ceil(4 * n / block_size)))
+    want = min(MAX_PIVOTS, max(1, math.ceil(n / block_size)))
     pivots = np.array([r[0] for r in x.orderBy(F.xxhash64("thread_id"), "thread_id").limit(want).select("embedding").collect()], np.float64)
 
     def nearest(batches):
@@ -90,46 +98,125 @@ def blocks_of(x: DataFrame, block_size: int) -> tuple[DataFrame, Balls]:
     return dealt.select("thread_id", "embedding", "blk"), Balls(pivots[cells], inner, radius, count, np.array(cells))
 
 
+def _packed(rows: DataFrame, name: str) -> DataFrame:
+    """One row a block, written: thread_ids in order, vectors and further columns as bytes (strings as lists)."""
+    more = [c for c in rows.columns if c not in ("thread_id", "blk", "embedding")]
+    texts = [f.name for f in rows.schema if f.name in more and f.dataType.typeName() == "string"]
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("thread_id", kind="stable")
+        out = {"blk": [pdf["blk"].iat[0]], "thread_id": [pdf["thread_id"].to_numpy()], "embedding": [_vectors(pdf).tobytes()]}
+        for c in more:
+            out[c] = [pdf[c].to_numpy() if c in texts else pdf[c].to_numpy(np.float64).tobytes()]
+        return pd.DataFrame(out)
+
+    kinds = ", ".join(f"{c} {'array<string>' if c in texts else 'binary'}" for c in more)
+    schema = "blk int, thread_id array<string>, embedding binary" + (f", {kinds}" if more else "")
+    return materialise(rows.groupBy("blk").applyInPandas(pack, schema), name)
+
+
+def _unpacked(pdf: pd.DataFrame) -> dict:
+    """The packed block of a pair as arrays."""
+    row = pdf.iloc[0]
+    ids = np.asarray(row["thread_id"], object)
+    out = {c: np.frombuffer(row[c]) if isinstance(row[c], bytes) else np.asarray(row[c], object) for c in pdf.columns if c not in ("bi", "bj", "ki", "kj")}
+    out.update(thread_id=ids, embedding=out["embedding"].reshape(len(ids), -1))
+    return out
+
+
 def _meet(left: DataFrame, right: DataFrame, pairs: DataFrame, run, schema: str) -> DataFrame:
-    """``run`` on the rows of blocks bi (left) and bj (right) of each pair."""
+    """``run`` on the packed blocks bi (left) and bj (right) of each pair: (bi, bj, arrays, arrays)."""
     def side(df, blk, keys):
         p = pairs.select(*(F.col(c).alias(k) for c, k in zip(("bi", "bj"), keys)))
         rows = df.select(F.col("blk").alias("_blk"), *(F.col(c).alias(c) for c in df.columns if c != "blk"))
         return rows.join(p, F.col("_blk") == F.col(blk)).drop("_blk").groupBy(*keys)
 
-    return side(left, "bi", ("bi", "bj")).cogroup(side(right, "kj", ("ki", "kj"))).applyInPandas(run, schema)
+    empty = pd.DataFrame({f.strip().split()[0]: [] for f in schema.split(",")})
+
+    def both(key, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        return run(int(key[0]), int(key[1]), _unpacked(l), _unpacked(r)) if len(l) and len(r) else empty
+
+    return side(left, "bi", ("bi", "bj")).cogroup(side(right, "kj", ("ki", "kj"))).applyInPandas(both, schema)
+
 
+def _squares(a: np.ndarray, b: np.ndarray):
+    """Squared distances of chunks of rows of ``a`` to all of ``b`` by a matrix product, as (first row, values), and
+    the greatest error of a value."""
+    na, nb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    left = np.hstack([-2.0 * a, na[:, None], np.ones((len(a), 1))])
+    right = np.vstack([b.T, np.ones((1, len(b))), nb[None]])
+    step = max(1, CHUNK_VALUES // max(len(b), 1))
+    slack = 1e-15 * (16 + 4 * a.shape[1]) * float(na.max(initial=0.0) + nb.max(initial=0.0))
+    return ((s, left[s:s + step] @ right) for s in range(0, len(a), step)), slack
 
-def _count_bins(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    out = {"thread_id": [], "bin": [], "n": [], "low": [], "high": []}
-    if len(left) and len(right):
-        d = distances(_vectors(left), _vectors(right))
-        lo, hi = left["lo"].to_numpy()[:, None], left["hi"].to_numpy()[:, None]
-        width = np.where(hi > lo, hi - lo, 1.0)
-        bins = np.where(d < lo, 0, np.where(d > hi, BINS + 1, 1 + np.minimum((d - lo) / width * BINS, BINS - 1))).astype(np.int64)
-        key = (np.arange(len(d))[:, None] * (BINS + 2) + bins).ravel()
-        order = np.argsort(key, kind="stable")
-        key, flat = key[order], d.ravel()[order]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n = np.diff(np.append(at, len(key)))
-        low, high = np.minimum.reduceat(flat, at), np.maximum.reduceat(flat, at)
-        who, which = key[at] // (BINS + 2), key[at] % (BINS + 2)
-        ok = which <= BINS
-        out = {"thread_id": left["thread_id"].to_numpy()[who[ok]], "bin": which[ok], "n": n[ok], "low": low[ok], "high": high[ok]}
-    return pd.DataFrame(out)
 
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``distances`` of each row of ``a`` to the same row of ``b``."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        diff = a[:, k] - b[:, k]
+        out += diff * diff
+    return np.sqrt(out)
 
-def _list_values(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    d = distances(_vectors(left), _vectors(right))
-    lo, hi = left["lo"].to_numpy()[:, None], left["hi"].to_numpy()[:, None]
-    return pd.DataFrame({"thread_id": left["thread_id"].to_numpy(), "under": (d < lo).sum(axis=1),
-                         "near": [row[keep] for row, keep in zip(d, (d >= lo) & (d <= hi))]})
+
+def _near(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each left row the number of right rows nearer than ``lo``; and (row, distance) of those within lo and hi, in order."""
+    a, b, lo, hi = left["embedding"], right["embedding"], left["lo"], left["hi"]
+    chunks, slack = _squares(a, b)
+    under, rows, found = np.zeros(len(a), np.int64), [], []
+    for s, d2 in chunks:
+        e = s + len(d2)
+        at = np.flatnonzero(d2 <= (hi[s:e] ** 2 + slack)[:, None])
+        r, c = at // len(b), at % len(b)
+        near = d2.ravel()[at] >= (lo[s:e] ** 2 - slack)[r]
+        under[s:e] += np.bincount(r[~near], minlength=e - s)
+        r, c = r[near] + s, c[near]
+        d = _exact(a[r], b[c])
+        under += np.bincount(r[d < lo[r]], minlength=len(a))
+        keep = (d >= lo[r]) & (d <= hi[r])
+        r, d = r[keep], d[keep]
+        order = np.lexsort((d, r))
+        rows.append(r[order])
+        found.append(d[order])
+    return under, np.concatenate(rows), np.concatenate(found)
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal sorted keys begin, and their lengths."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    at = np.flatnonzero(new)
+    return at, np.diff(np.append(at, len(new)))
+
+
+def _count_bins(bi: int, bj: int, left: dict, right: dict) -> pd.DataFrame:
+    under, rows, d = _near(left, right)
+    lo, hi = left["lo"], left["hi"]
+    width = np.where(np.isfinite(hi) & (hi > lo), hi - lo, 1.0)
+    share = np.minimum((d - lo[rows]) / width[rows], 1.0)
+    if len(d) and not np.all(np.isfinite(hi)):  # no upper bound yet
+        share = np.where(np.isfinite(hi[rows]), share, d / (1.0 + d))
+    bins = 1 + np.minimum(share * BINS, BINS - 1).astype(np.int64)
+    at, n = _runs(rows, bins)
+    some = np.flatnonzero(under)
+    ids = left["thread_id"]
+    high = d[at + n - 1] if len(at) else d
+    return pd.DataFrame({"thread_id": np.concatenate([ids[some], ids[rows[at]]]), "bin": np.concatenate([np.zeros(len(some), np.int64), bins[at]]),
+                         "n": np.concatenate([under[some], n]), "low": np.concatenate([np.zeros(len(some)), d[at]]), "high": np.concatenate([lo[some], high])})
+
+
+def _list_values(bi: int, bj: int, left: dict, right: dict) -> pd.DataFrame:
+    under, rows, d = _near(left, right)
+    at, n = _runs(rows, d)
+    many = n.astype(np.int32).tobytes() if len(n) and n.max() > 1 else b""
+    return pd.DataFrame({"blk": [bi], "under": [under.tobytes()], "row": [rows[at].astype(np.int32).tobytes()], "value": [d[at].tobytes()], "n": [many]})
 
 
 def core_distances(x: DataFrame, balls: Balls, k: int) -> tuple[DataFrame, float]:
     """(thread_id, blk, embedding, core), written: the distance to the k-th other point (infinity if there are fewer);
     and the share of block pairs whose distances were never computed."""
-    spark, blocks, rank = x.sparkSession, len(balls.count), k + 1  # the point itself is the first
+    spark, blocks, rank, total = x.sparkSession, len(balls.count), k + 1, int(balls.count.sum())  # the point itself is the first
 
     def bounds(batches):
         for pdf in batches:
@@ -144,43 +231,149 @@ def core_distances(x: DataFrame, balls: Balls, k: int) -> tuple[DataFrame, float
                 meets = np.flatnonzero((low <= hi) & (up >= lo) & (balls.count > 0))
                 yield pd.DataFrame({"bi": i, "bj": meets, "lo": lo, "hi": hi, "inside": int(balls.count[up < lo].sum())})
 
-    if int(balls.count.sum()) < rank:
+    if total < rank:
         return x.withColumn("core", F.lit(math.inf)), 0.0
     pairs = materialise(spark.range(blocks).mapInPandas(bounds, "bi int, bj int, lo double, hi double, inside long"), "clusters-pairs")
     skipped = 1.0 - pairs.count() / blocks ** 2
     limits = pairs.groupBy(F.col("bi").alias("blk")).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("inside").alias("inside"))
     pairs = pairs.select("bi", "bj")
-    state = x.join(limits, "blk")
+    right = _packed(x, "clusters-packed")
+    size = total if total <= SAMPLE[0] else min(SAMPLE[1], max(SAMPLE[0], total // 6))
+    some = np.array([r[0] for r in x.orderBy(F.xxhash64("thread_id", F.lit(1)), "thread_id").limit(size).select("embedding").collect()], np.float64)
+    mean = rank * size / total
+    spread = 0.0 if size == total else SIGMAS * math.sqrt(mean) + 1
+    first, last = math.floor(mean - spread), math.ceil(mean + spread)
+
+    def ranked(batches):
+        for pdf in batches:
+            v = _vectors(pdf)
+            lo, hi = pdf["lo"].to_numpy(np.float64).copy(), pdf["hi"].to_numpy(np.float64).copy()
+            chunks, slack = _squares(v, some)
+            for s, d2 in chunks:
+                e, ranks = s + len(d2), [r for r in (first, last) if 1 <= r <= size]
+                part = np.partition(d2.astype(np.float32), [r - 1 for r in ranks], axis=1).astype(np.float64) if ranks else d2
+                if 1 <= first:
+                    lo[s:e] = np.maximum(lo[s:e], np.sqrt(np.maximum(part[:, first - 1] * (1 - 1e-6) - slack, 0.0)))
+                if last <= size:
+                    hi[s:e] = np.minimum(hi[s:e], np.sqrt(np.maximum(part[:, last - 1] * (1 + 1e-6) + slack, 0.0)))
+            yield pdf.assign(lo=lo, hi=np.maximum(hi, lo))
+
+    whole = x.join(F.broadcast(limits), "blk").select("thread_id", "blk", "embedding", "inside", "lo", "hi")
+    state = materialise(whole.mapInPandas(ranked, "thread_id string, blk int, embedding array<double>, inside long, lo double, hi double"), "clusters-bounds")
+    narrow = (last - max(first, 0)) / size * total > LIST if last <= size else total > LIST
+    kept = []
     while True:
-        counts = _meet(state, x, pairs, _count_bins, "thread_id string, bin int, n long, low double, high double")
-        counts = counts.groupBy("thread_id", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-        bins = counts.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("bin", "n", "low", "high"))).alias("bins"))  # at most BINS + 1 of a point
-        held = state.select("thread_id", "blk", "embedding", "inside").join(bins, "thread_id")
-        upto = F.aggregate("bins", F.struct(F.col("inside").alias("sum"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(0).cast("long").alias("n")),
-                           lambda a, b: F.when(a["lo"].isNull() & (a["sum"] + b["n"] >= rank), F.struct(a["sum"].alias("sum"), b["low"].alias("lo"), b["high"].alias("hi"), b["n"].alias("n")))
-                           .otherwise(F.struct((a["sum"] + F.when(a["lo"].isNull(), b["n"]).otherwise(F.lit(0).cast("long"))).alias("sum"), a["lo"].alias("lo"), a["hi"].alias("hi"), a["n"].alias("n"))))
-        state = materialise(held.withColumn("hit", upto).select("thread_id", "blk", "embedding", "inside", "hit.lo", "hit.hi", F.col("hit.n").alias("held")), "clusters-bounds")
-        if state.filter((F.col("held") > LIST) & (F.col("lo") < F.col("hi"))).isEmpty():
+        while narrow:
+            counts = _meet(_packed(state, "clusters-packed"), right, pairs, _count_bins, "thread_id string, bin int, n long, low double, high double")
+            counts = counts.groupBy("thread_id", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+            bins = counts.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("bin", "n", "low", "high"))).alias("bins"))  # at most BINS + 1 of a point
+            held = state.select("thread_id", "blk", "embedding", "inside", F.col("lo").alias("was_lo"), F.col("hi").alias("was_hi")).join(bins, "thread_id")
+            upto = F.aggregate("bins", F.struct(F.col("inside").alias("sum"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(0).cast("long").alias("n")),
+                               lambda a, b: F.when(a["lo"].isNull() & (a["sum"] + b["n"] >= rank), F.struct(a["sum"].alias("sum"), b["low"].alias("lo"), b["high"].alias("hi"), b["n"].alias("n")))
+                               .otherwise(F.struct((a["sum"] + F.when(a["lo"].isNull(), b["n"]).otherwise(F.lit(0).cast("long"))).alias("sum"), a["lo"].alias("lo"), a["hi"].alias("hi"), a["n"].alias("n"))))
+            hit = held.withColumn("hit", upto)
+            state = materialise(hit.select("thread_id", "blk", "embedding", "inside", F.coalesce("hit.lo", "was_lo").alias("lo"), F.coalesce("hit.hi", "was_hi").alias("hi"), F.coalesce("hit.n", F.lit(0)).alias("held")), "clusters-bounds")
+            narrow = not state.filter((F.col("held") > LIST) & (F.col("lo") < F.col("hi"))).isEmpty()
+            state = state.drop("held")
+        packed = _packed(state, "clusters-packed")
+        # only pairs with rows on both sides
+        asked = pairs.join(packed.select(F.col("blk").alias("bi")), "bi", "left_semi").select("bi", "bj")
+        listed = _meet(packed, right, asked, _list_values, "blk int, under binary, row binary, value binary, n binary")
+
+        def chosen(key, block: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+            left = _unpacked(block)
+            lists = lists.sort_values("row", kind="stable")
+            rows, values = (np.concatenate([np.frombuffer(b, t) for b in lists[c]]) for c, t in (("row", np.int32), ("value", np.float64)))
+            n = np.concatenate([np.frombuffer(m, np.int32) if m else np.ones(len(r) // 4, np.int32) for m, r in zip(lists["n"], lists["row"])])
+            under = np.sum([np.frombuffer(u, np.int64) for u in lists["under"]], axis=0)
+            order = np.lexsort((values, rows))
+            rows, values, upto = rows[order], values[order], np.cumsum(n[order], dtype=np.int64)
+            ends = np.concatenate([[0], upto])[np.searchsorted(rows, np.arange(len(under) + 1))]
+            want = rank - left["inside"].astype(np.int64) - under
+            ok = (want > 0) & (ends[:-1] + want <= ends[1:])
+            at = np.minimum(np.searchsorted(upto, ends[:-1] + want), max(len(values) - 1, 0))
+            core = np.where(ok, values[at] if len(values) else np.nan, np.nan)
+            return pd.DataFrame({"thread_id": left["thread_id"], "blk": int(key[0]), "embedding": list(left["embedding"]), "core": core})
+
+        done = packed.groupBy("blk").cogroup(listed.groupBy("blk")).applyInPandas(chosen, "thread_id string, blk int, embedding array<double>, core double")
+        done = materialise(done, "clusters-core")
+        kept.append(done.filter(~F.isnan("core")))
+        wrong = done.filter(F.isnan("core"))
+        if wrong.isEmpty():
             break
-    open_ = state.filter("lo < hi")
-    # only pairs with rows on both sides
-    asked = pairs.join(open_.select(F.col("blk").alias("bi")).distinct(), "bi", "left_semi").select("bi", "bj")
-    listed = _meet(open_, x, asked, _list_values, "thread_id string, under long, near array<double>")
-    listed = listed.groupBy("thread_id").agg(F.sum("under").alias("under"), F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
-    core = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.element_at("near", (F.lit(rank) - F.col("inside") - F.col("under")).cast("int")))
-    return materialise(state.join(listed, "thread_id", "left").select("thread_id", "blk", "embedding", core.alias("core")), "clusters-core"), skipped
-
-
-def _forest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Minimum spanning forest of the mutual reachability edges within a block, or between two (Prim)."""
-    within = len(left) and len(right) and left["bi"].iat[0] == left["bj"].iat[0]
-    if not len(left) or not len(right) or (within and len(left) == 1):
-        return pd.DataFrame(columns=["src", "dst", "w"])
-    pdf = left if within else pd.concat([left, right.assign(bi=0, bj=0)], ignore_index=True)
-    a = _vectors(pdf)
-    core, n = pdf["core"].to_numpy(np.float64), len(pdf)
-    side = np.arange(n) < len(left)
-    ids = pdf["thread_id"].to_numpy()
+        state = materialise(whole.join(wrong.select("thread_id").distinct(), "thread_id", "left_semi").select(*state.columns), "clusters-bounds")
+        narrow = True
+    out = kept[0]
+    for more in kept[1:]:
+        out = out.unionByName(more)
+    return out, skipped
+
+
+def _lower(bi: int, bj: int, left: dict, right: dict) -> pd.DataFrame:
+    """Of each left row the right row of least (core, block, place) among those no farther than its core distance and
+    before it in that order: an edge of its least possible weight."""
+    order = np.argsort(right["core"], kind="stable")
+    a, b, core, sorted_core = left["embedding"], right["embedding"][order], left["core"], right["core"][order]
+    chunks, slack = _squares(a, b)
+    out = []
+    for s, d2 in chunks:
+        e = s + len(d2)
+        hit = d2 <= (core[s:e] ** 2 + slack)[:, None]
+        at = hit.argmax(axis=1)
+        r = np.arange(s, e)
+        before = (sorted_core[at] < core[r]) | ((sorted_core[at] == core[r]) & ((bj < bi) | ((bj == bi) & (order[at] < r))))
+        ok = hit[np.arange(e - s), at] & before
+        r, at = r[ok], at[ok]
+        ok = _exact(a[r], b[at]) <= core[r]
+        out.append((r[ok], at[ok]))
+    r, at = (np.concatenate(v) for v in zip(*out))
+    return pd.DataFrame({"src": left["thread_id"][r], "dst": right["thread_id"][order[at]], "w": core[r], "low": sorted_core[at], "blk": bj, "place": order[at]})
+
+
+def _forest(bi: int, bj: int, left: dict, right: dict) -> pd.DataFrame:
+    """Edges that hold a minimum spanning forest of the mutual reachability edges within a block, or between two, that
+    join different trees: the lightest of each two trees, or where these are many the whole forest (Prim)."""
+    trees, code = np.unique(np.concatenate([left["tree"], right["tree"]]), return_inverse=True)
+    sides = []
+    for side, c in ((left, code[:len(left["tree"])]), (right, code[len(left["tree"]):])):
+        order = np.argsort(c, kind="stable")
+        at, n = _runs(c[order])
+        sides.append((side["embedding"][order], side["core"][order], side["thread_id"][order], c[order], at, n))
+    (a, ca, ia, ta, sa, na), (b, cb, ib, tb, sb, nb) = sides
+    if len(sa) * len(sb) > MAX_TREES:
+        return _prim(bi == bj, left, right)
+    best: dict = {}
+    chunks, slack = _squares(a, b)
+    for s, d2 in chunks:
+        e = s + len(d2)
+        w = np.maximum(np.maximum(d2, (ca[s:e] ** 2)[:, None]), (cb ** 2)[None])
+        least = np.minimum.reduceat(w, sb, axis=1)
+        first = int(np.searchsorted(sa, s, side="right")) - 1
+        for p in range(first, len(sa)):
+            u, v = max(int(sa[p]), s) - s, min(int(sa[p] + na[p]), e) - s
+            if u >= v:
+                break
+            low = least[u:v].min(axis=0)
+            for q in range(len(sb)):
+                one, two = int(ta[sa[p]]), int(tb[sb[q]])
+                known = best.get((min(one, two), max(one, two)))
+                if one == two or (known is not None and known[0] ** 2 + slack < low[q]):
+                    continue
+                cut = w[u:v, sb[q]:sb[q] + nb[q]]
+                i, j = np.nonzero(cut <= low[q] + 2 * slack)
+                i, j = i + s + u, j + sb[q]
+                reach = np.maximum(np.maximum(_exact(a[i], b[j]), ca[i]), cb[j])
+                i, j = i[reach == reach.min()], j[reach == reach.min()]
+                mine = min((reach.min(), *sorted((ia[x], ib[y]))) for x, y in zip(i, j))
+                if known is None or mine < known:
+                    best[min(one, two), max(one, two)] = mine
+    return pd.DataFrame([(x, y, w) for w, x, y in best.values() if math.isfinite(w)], columns=["src", "dst", "w"])
+
+
+def _prim(within: bool, left: dict, right: dict) -> pd.DataFrame:
+    a, core, ids = (left[c] if within else np.concatenate([left[c], right[c]]) for c in ("embedding", "core", "thread_id"))
+    n = len(a)
+    side = np.arange(n) < len(left["core"])
     inside, best, parent = np.zeros(n, bool), np.full(n, np.inf), np.full(n, -1)
     src, dst, weight, v = [], [], [], 0
     for _ in range(n):
@@ -199,12 +392,37 @@ def _forest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 
 
 def tree_candidates(points: DataFrame, balls: Balls) -> tuple[DataFrame, float]:
-    """(src, dst, w), written: edges that hold a minimum spanning tree of mutual reachability over (thread_id, blk,
-    embedding, core); and the share of block pairs that were skipped."""
-    spark = points.sparkSession
-    least = {r.blk: r.core for r in points.groupBy("blk").agg(F.min("core").alias("core")).collect()}  # one row a block
-    live = sorted(least)
-    core = np.array([least.get(b, math.inf) for b in range(len(balls.count))])
+    """(src, dst, w, sure, a, b), written: edges that hold a minimum spanning tree of mutual reachability over (thread_id,
+    blk, embedding, core); ``sure`` ones belong to it and make trees, whose roots a and b the others join; and the share
+    of block pairs that were skipped."""
+    spark, count = points.sparkSession, len(balls.count)
+    most = {r.blk: (r.low, r.high) for r in points.groupBy("blk").agg(F.min("core").alias("low"), F.max("core").alias("high")).collect()}  # one row a block
+    live = sorted(most)
+    core = np.array([most[b][0] if b in most else math.inf for b in range(count)])
+    empty = spark.createDataFrame([], "src string, dst string, w double, sure boolean, a string, b string")
+    if not any(math.isfinite(most[b][0]) for b in live):
+        return empty, 0.0
+    edge, packed = "src string, dst string, w double, low double, blk int, place int", _packed(points, "clusters-packed")
+    own = spark.createDataFrame([(b, b) for b in live], "bi int, bj int")
+    sure = materialise(_meet(packed, packed, own, _lower, edge), "clusters-lower")
+    open_ = _packed(points.join(sure.select(F.col("src").alias("thread_id")), "thread_id", "left_anti").select(*points.columns), "clusters-open")
+
+    def in_reach(batches):
+        for pdf in batches:
+            for i in pdf["blk"].tolist():
+                low, _ = balls.between(i)
+                meets = np.flatnonzero((low <= most[i][1]) & (core <= most[i][1]) & (balls.count > 0) & (np.arange(count) != i))
+                yield pd.DataFrame({"bi": np.full(len(meets), i, np.int32), "bj": meets.astype(np.int32)})
+
+    asked = materialise(open_.select("blk").mapInPandas(in_reach, "bi int, bj int"), "clusters-asked")
+    more = _meet(open_, packed, asked, _lower, edge).groupBy("src").agg(F.min(F.struct("low", "blk", "place", "dst", "w")).alias("e"))
+    sure = materialise(sure.select("src", "dst", "w").unionByName(more.select("src", "e.dst", "e.w")), "clusters-sure")
+    ups = points.select(F.col("thread_id").alias("c")).join(sure.select(F.col("src").alias("c"), F.col("dst").alias("up")), "c", "left")
+    trees = roots(ups.select("c", F.coalesce("up", "c").alias("up"))).select(F.col("c").alias("thread_id"), F.col("root").alias("tree"))
+    sure = sure.select("src", "dst", "w", F.lit(True).alias("sure"), F.col("src").alias("a"), F.col("src").alias("b"))
+    points = materialise(points.join(trees, "thread_id"), "clusters-trees")
+    if points.select("tree").distinct().count() == 1:
+        return sure, 1.0
     # blocks of a cell in a row, and the first blocks of the cells along a tree of their pivots
     tied = [(b, b) for b in live]
     firsts: dict[int, int] = {}
@@ -226,11 +444,17 @@ def tree_candidates(points: DataFrame, balls: Balls) -> tuple[DataFrame, float]:
         v = int(np.where(done, np.inf, reach).argmin())
         tied.append(tuple(sorted((heads[near[v]], heads[v]))))
     held = set(tied)
-    base = spark.createDataFrame(list(held), "bi int, bj int")
-    edges = materialise(_meet(points, points, base, _forest, "src string, dst string, w double"), "clusters-forest")
-    heaviest = edges.agg(F.max("w")).first()[0]
+    packed = _packed(points, "clusters-packed")
+
+    def joined(edges):
+        ends = [trees.select(F.col("thread_id").alias(e), F.col("tree").alias(t)) for e, t in (("src", "a"), ("dst", "b"))]
+        return edges.join(ends[0], "src").join(ends[1], "dst").filter("a <> b").select("src", "dst", "w", F.lit(False).alias("sure"), "a", "b")
+
+    edges = joined(materialise(_meet(packed, packed, spark.createDataFrame(list(held), "bi int, bj int"), _forest, "src string, dst string, w double"), "clusters-forest"))
+    edges = materialise(edges, "clusters-joins")
+    heaviest = spanning_tree(edges).agg(F.max("w")).first()[0]
     if heaviest is None:
-        return edges, 0.0
+        return materialise(sure.unionByName(edges), "clusters-edges"), 0.0
 
     def others(batches):
         for pdf in batches:
@@ -241,7 +465,8 @@ def tree_candidates(points: DataFrame, balls: Balls) -> tuple[DataFrame, float]:
                 if len(fresh):
                     yield pd.DataFrame({"bi": np.full(len(fresh), i, np.int32), "bj": fresh})
 
-    pairs = materialise(spark.range(len(balls.count)).mapInPandas(others, "bi int, bj int"), "clusters-more-pairs")
-    more = _meet(points, points, pairs, _forest, "src string, dst string, w double")
+    pairs = materialise(spark.range(count).mapInPandas(others, "bi int, bj int"), "clusters-more-pairs")
+    light = _packed(points.filter(F.col("core") < heaviest), "clusters-light")
+    more = joined(materialise(_meet(light, light, pairs, _forest, "src string, dst string, w double"), "clusters-forest"))
     every = len(live) * (len(live) + 1) / 2
-    return materialise(edges.unionByName(more), "clusters-edges"), 1.0 - (pairs.count() + len(held)) / every
+    return materialise(sure.unionByName(edges).unionByName(more), "clusters-edges"), 1.0 - (pairs.count() + len(held)) / every

@@ -18,7 +18,7 @@ from ..session import materialise
 CHUNK = 1_000_000
 
 
-def _roots(best: DataFrame) -> DataFrame:
+def roots(best: DataFrame) -> DataFrame:
     """(c, root) of components that each point to another one (``up``): two that point to each other meet in the smaller."""
     back = best.select(F.col("c").alias("up"), F.col("up").alias("back"))
     links = best.join(back, "up", "left").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("up")), F.col("c")).otherwise(F.col("up")).alias("root"))
@@ -33,15 +33,19 @@ def _roots(best: DataFrame) -> DataFrame:
 
 def spanning_tree(edges: DataFrame) -> DataFrame:
     """(src, dst, w): the minimum spanning forest of ``edges``, ties by src and dst; every round halves the components
-    at least."""
-    left = materialise(edges.select("src", "dst", "w", F.col("src").alias("a"), F.col("dst").alias("b")).filter("src <> dst"), "tree-edges")
-    taken = []
+    at least.  Edges may come with ``sure`` (known to be of the tree) and, for the others, the trees a and b that they join."""
+    if "sure" in edges.columns:
+        taken = [edges.filter("sure").select("src", "dst", "w")]
+        edges = edges.filter(~F.col("sure"))
+    else:
+        taken, edges = [], edges.select("src", "dst", "w", F.col("src").alias("a"), F.col("dst").alias("b"))
+    left = materialise(edges.select("src", "dst", "w", "a", "b").filter("a <> b"), "tree-edges")
     while not left.isEmpty():
         out = left.select(F.col("a").alias("c"), F.col("b").alias("up"), "w", "src", "dst").unionByName(left.select(F.col("b").alias("c"), F.col("a").alias("up"), "w", "src", "dst"))
         best = materialise(out.groupBy("c").agg(F.min(F.struct("w", "src", "dst", "up")).alias("e")).select("c", "e.*"), "tree-best")
         taken.append(best.select("src", "dst", "w").distinct())
-        roots = _roots(best.select("c", "up"))
-        ra, rb = (roots.select(F.col("c").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+        ends = roots(best.select("c", "up"))
+        ra, rb = (ends.select(F.col("c").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
         left = materialise(left.join(ra, "a").join(rb, "b").filter("ra <> rb").select("src", "dst", "w", F.col("ra").alias("a"), F.col("rb").alias("b")), "tree-edges")
     tree = taken[0] if taken else edges.select("src", "dst", "w").limit(0)
     for t in taken[1:]:
