@@ -131,7 +131,7 @@ def _meet(left: DataFrame, right: DataFrame, pairs: DataFrame, run, schema: str)
         rows = df.select(F.col("blk").alias("_blk"), *(F.col(c).alias(c) for c in df.columns if c != "blk"))
         return rows.join(p, F.col("_blk") == F.col(blk)).drop("_blk").groupBy(*keys)
 
-    empty = pd.DataFrame({f.strip().split()[0]: [] for f in schema.split(",")})
+    empty = pd.DataFrame({f.strip().split()[0]: pd.Series([], dtype=object) for f in schema.split(",")})
 
     def both(key, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         return run(int(key[0]), int(key[1]), _unpacked(l), _unpacked(r)) if len(l) and len(r) else empty
@@ -202,7 +202,7 @@ def _count_bins(bi: int, bj: int, left: dict, right: dict) -> pd.DataFrame:
     some = np.flatnonzero(under)
     ids = left["thread_id"]
     high = d[at + n - 1] if len(at) else d
-    return pd.DataFrame({"thread_id": np.concatenate([ids[some], ids[rows[at]]]), "bin": np.concatenate([np.zeros(len(some), np.int64), bins[at]]),
+    return pd.DataFrame({"thread_id": pd.Series(np.concatenate([ids[some], ids[rows[at]]]), dtype=object), "bin": np.concatenate([np.zeros(len(some), np.int64), bins[at]]),
                          "n": np.concatenate([under[some], n]), "low": np.concatenate([np.zeros(len(some)), d[at]]), "high": np.concatenate([lo[some], high])})
 
 
@@ -292,15 +292,17 @@ def core_distances(x: DataFrame, balls: Balls, k: int) -> tuple[DataFrame, float
             want = rank - left["inside"].astype(np.int64) - under
             ok = (want > 0) & (ends[:-1] + want <= ends[1:])
             at = np.minimum(np.searchsorted(upto, ends[:-1] + want), max(len(values) - 1, 0))
-            core = np.where(ok, values[at] if len(values) else np.nan, np.nan)
-            return pd.DataFrame({"thread_id": left["thread_id"], "blk": int(key[0]), "embedding": list(left["embedding"]), "core": core})
+            core = pd.Series(values[at] if len(values) else 0.0, index=range(len(ok)), dtype="float64").where(ok)  # null: bounds missed it
+            return pd.DataFrame({"thread_id": pd.Series(left["thread_id"], dtype=object), "blk": int(key[0]), "embedding": list(left["embedding"]), "core": core})
 
         done = packed.groupBy("blk").cogroup(listed.groupBy("blk")).applyInPandas(chosen, "thread_id string, blk int, embedding array<double>, core double")
         done = materialise(done, "clusters-core")
-        kept.append(done.filter(~F.isnan("core")))
-        wrong = done.filter(F.isnan("core"))
+        kept.append(done.filter("core IS NOT NULL"))
+        wrong = done.filter("core IS NULL")
         if wrong.isEmpty():
             break
+        if len(kept) > 1:  # the bounds of a block hold for all finite vectors
+            raise ValueError("a vector holds a value that is not finite")
         state = materialise(whole.join(wrong.select("thread_id").distinct(), "thread_id", "left_semi").select(*state.columns), "clusters-bounds")
         narrow = True
     out = kept[0]
@@ -327,7 +329,7 @@ def _lower(bi: int, bj: int, left: dict, right: dict) -> pd.DataFrame:
         ok = _exact(a[r], b[at]) <= core[r]
         out.append((r[ok], at[ok]))
     r, at = (np.concatenate(v) for v in zip(*out))
-    return pd.DataFrame({"src": left["thread_id"][r], "dst": right["thread_id"][order[at]], "w": core[r], "low": sorted_core[at], "blk": bj, "place": order[at]})
+    return pd.DataFrame({"src": pd.Series(left["thread_id"][r], dtype=object), "dst": pd.Series(right["thread_id"][order[at]], dtype=object), "w": core[r], "low": sorted_core[at], "blk": bj, "place": order[at]})
 
 
 def _forest(bi: int, bj: int, left: dict, right: dict) -> pd.DataFrame:
@@ -367,7 +369,7 @@ def _forest(bi: int, bj: int, left: dict, right: dict) -> pd.DataFrame:
                 mine = min((reach.min(), *sorted((ia[x], ib[y]))) for x, y in zip(i, j))
                 if known is None or mine < known:
                     best[min(one, two), max(one, two)] = mine
-    return pd.DataFrame([(x, y, w) for w, x, y in best.values() if math.isfinite(w)], columns=["src", "dst", "w"])
+    return pd.DataFrame([(x, y, w) for w, x, y in best.values() if math.isfinite(w)], columns=["src", "dst", "w"], dtype=object)
 
 
 def _prim(within: bool, left: dict, right: dict) -> pd.DataFrame:
@@ -388,7 +390,7 @@ def _prim(within: bool, left: dict, right: dict) -> pd.DataFrame:
         src.append(ids[parent[v]])
         dst.append(ids[v])
         weight.append(left_best[v])
-    return pd.DataFrame({"src": src, "dst": dst, "w": weight})
+    return pd.DataFrame({"src": src, "dst": dst, "w": weight}, dtype=object)
 
 
 def tree_candidates(points: DataFrame, balls: Balls) -> tuple[DataFrame, float]:
