@@ -32,6 +32,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ from agora.session import broadcast_if_small
 SHARD_BYTES, RUN, ROUNDS, SUPER = 16 << 20, 1 << 15, 512, 1024
 #: Shards are at least so many, so that small tables are spread too.
 SHARDS = 2048
+#: A worker remembers the ids of so many pieces, of so many bytes in all; others are encoded again in each batch.
+MEMORY, MEMORY_BYTES = 1 << 18, 8 << 20
 #: Rounds of sources that have no weight begin here.
 LAST = 1 << 60
 
@@ -67,17 +70,35 @@ def kinds(data: np.ndarray) -> np.ndarray:
 class WordIds:
     """Ids of words (runs without white space, which the vocabulary's rules drop and never merge across). Words of plain
     letters, digits and signs are lower-cased and cut into the rule's pieces here, so that each distinct piece meets the
-    merges once; words with anything else (apostrophes, other scripts, special tokens) go to the library as they are."""
+    merges once; words with anything else (apostrophes, other scripts, special tokens) go to the library as they are.
+    The ids of a bounded number of pieces are kept from batch to batch (a plain piece never has the bytes of such a word)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.t = Tokenizer.from_file(path)
         self.spelled = {b: c for c, b in byte_level().items()}
+        self.known, self.flat, self.lens = pa.array([], pa.large_binary()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def plain(self, piece: str) -> list[int]:
         return [x.id for x in self.t.model.tokenize(piece.translate(self.spelled))]
 
+    def ids_of(self, pieces: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and lengths of some pieces, and for each of ``pieces`` which one it is there."""
+        place = pc.index_in(pieces, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = np.flatnonzero(place < 0)
+        new = pieces.take(pa.array(fresh))
+        flat, lens = ragged([self.t.encode(p.decode(), add_special_tokens=False).ids if o else self.plain(p.decode("latin-1"))
+                             for p, o in zip(new.to_pylist(), odd[fresh].tolist())])
+        place[fresh] = len(self.lens) + np.arange(len(fresh))
+        flat, lens = np.concatenate([self.flat, flat]), np.concatenate([self.lens, lens])
+        new = new.take(pa.array(np.arange(min(len(new), MEMORY - len(self.known)))))
+        if len(new) and self.known.nbytes + new.nbytes <= MEMORY_BYTES:
+            self.known = pa.concat_arrays([self.known, new])
+            self.lens = lens[:len(self.known)]
+            self.flat = flat[:self.lens.sum()]
+        return flat, lens, place
+
     def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words that ``offs`` cuts from ``data``, and where each word's ids begin (one more at the end)."""
         if not len(data):
@@ -94,8 +115,8 @@ class WordIds:
         pieces, which = distinct(data, at)
         odd = np.zeros(len(pieces), bool)
         odd[which[strange_bytes[at[:-1]]]] = True
-        lists = [self.t.encode(p.decode(), add_special_tokens=False).ids if o else self.plain(p.decode("latin-1")) for p, o in zip(pieces.to_pylist(), odd.tolist())]
-        ids, ends = spread(*ragged(lists), which)
+        flat, lens, place = self.ids_of(pieces, odd)
+        ids, ends = spread(flat, lens, place[which])
         return ids, ends[np.searchsorted(at, offs)]
 
 
@@ -131,7 +152,7 @@ def encoded_runs(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         last, upto = None, 0
         for batch in batches:
             places = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            for i, j, buf, offs in text_chunks(batch, limit=8 << 20):
+            for i, j, buf, offs in text_chunks(batch, limit=4 << 20):
                 starts, ends, first = word_spans(buf, offs)
                 ids, at = encoder(buf[~SPACE[buf]], np.concatenate([[0], np.cumsum(ends - starts)]))
                 at = at[first]

@@ -157,3 +157,31 @@ def test_words_have_the_ids_of_the_library():
     raw = [w.encode() for w in words * 2]
     ids, at = packing.WordIds(PATH)(np.frombuffer(b"".join(raw), "u1"), np.concatenate([[0], np.cumsum([len(w) for w in raw])]))
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [TOKENIZER.encode(w, add_special_tokens=False).ids for w in words * 2]
+
+
+def test_pieces_are_encoded_once_from_batch_to_batch(monkeypatch):
+    import numpy as np
+    import public_tokenizers
+
+    from agora.llm import packing as pk
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = ["Straße", "hello", "World42", "it's", "<s>", "日本", "hello", "x" * 40, "new", "Éa"]
+
+    def batch(some):
+        data = [w.encode() for w in some]
+        return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+
+    want = {w: pk.WordIds(path).t.encode(w, add_special_tokens=False).ids for w in words}
+    for pieces, size in ((1 << 18, 8 << 20), (3, 8 << 20), (1 << 18, 100), (0, 0)):
+        monkeypatch.setattr(pk, "MEMORY", pieces)
+        monkeypatch.setattr(pk, "MEMORY_BYTES", size)
+        encoder, asked = pk.WordIds(path), []
+        plain = encoder.plain
+        encoder.plain = lambda p: asked.append(p) or plain(p)
+        for some in (words[:5], words, words[::-1], []):
+            ids, at = encoder(*batch(some))
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [want[w] for w in some]
+        assert len(encoder.known) <= pieces and encoder.known.nbytes <= max(size, 64)
+        if pieces == 1 << 18 and size == 8 << 20:
+            assert len(asked) == len(set(asked))
