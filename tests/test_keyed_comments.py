@@ -55,7 +55,7 @@ def test_keyed_comments_give_the_rows_of_joined_ones(rows, monkeypatch, bound):
     same(cd.topic_cards(top, listed, keyed, bodies=bodies).drop("threads"), cd.topic_cards(top, listed, joined).drop("threads"))
 
 
-@pytest.mark.parametrize("name", ["topic_context", "topic_cards", "home_feed", "prompt_payloads"])
+@pytest.mark.parametrize("name", ["topic_context", "topic_cards", "home_feed", "prompt_payloads", "trending_topics"])
 def test_whole_texts_are_not_dealt_by_their_keys(spark, name):
     was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
