@@ -1,13 +1,14 @@
 """Exact core distances and candidate tree edges over blocks of points, pruned by pivot balls.
 
-Points are dealt to the nearest of a bounded sample of pivots; a cell is parted into the points near its pivot and the
+Points are dealt to the nearest of at most ``MAX_PIVOTS`` pivots, drawn from a bounded sample with the square of the
+distance to those drawn before as weight, so that groups that lie apart have pivots of their own; a cell is parted into the points near its pivot and the
 far ones (over twice the median distance), and parts of more than ``block_size`` points are split by hash.  A block is a
 ball, or the shell of one: its pivot, the least and the largest distance to it.  By the triangle inequality these bound
 the distances between two blocks, so pairs of blocks far apart never meet.  Blocks that meet travel as one packed row
 each; a pair is one matrix product in chunks, and only values near a bound get the exact distance:
 
 * the k-th distance of a point lies between two bounds: those of its block follow from the balls' counts, its own from
-  the ranks of its distances to a bounded sample of points.  Nearer points are counted and the distances between the
+  the ranks of its distances to a bounded sample of points; a block meets only blocks that the widest of these reaches.  Nearer points are counted and the distances between the
   bounds are listed, in ascending order with their counts; where a point would list more than ``LIST``, distances are
   first counted in ``BINS`` bins, and the bin with the k-th is narrowed.  A point whose bounds prove wrong starts again
   from those of its block;
@@ -15,7 +16,9 @@ each; a pair is one matrix product in chunks, and only values near a bound get t
   exactly that weight, its least possible one; these edges leave one root for each peak of density.  Between the trees
   of the roots the lightest edges of each pair of blocks are kept;
 * a spanning tree edge between trees is never heavier than the heaviest of any connected subgraph, here along a tree of
-  pivots; points and pairs of blocks whose least mutual reachability is above it are skipped.
+  pivots; points and pairs of blocks whose least mutual reachability is above it are skipped, and pairs of blocks of one
+  tree.  Of two blocks only the points matter whose distance to the other block along the line of their means is not
+  above it: no distance is less than its projection.
 """
 
 from __future__ import annotations
@@ -67,12 +70,27 @@ def _vectors(pdf: pd.DataFrame) -> np.ndarray:
     return np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
 
 
+def _pivots(sample: np.ndarray, want: int) -> np.ndarray:
+    """At most ``want`` rows, each drawn with the square of its distance to those drawn before as weight; fewer only if
+    all the others are equal to drawn ones.  They decide what is pruned, never a result."""
+    draw = np.random.default_rng(0)
+    picked, near = [0], np.full(len(sample), np.inf)
+    while len(picked) < want:
+        near = np.minimum(near, distances(sample[picked[-1:]], sample)[0])
+        upto = np.cumsum(np.where(np.isfinite(near), near, 0.0) ** 2)
+        if not 0 < upto[-1] < np.inf:
+            break
+        picked.append(int(np.searchsorted(upto, draw.random() * upto[-1], "right")))
+    return sample[picked]
+
+
 def blocks_of(x: DataFrame, block_size: int) -> tuple[DataFrame, Balls]:
     """(thread_id, embedding, blk), written, and the balls."""
     spark, n = x.sparkSession, x.count()
     block_size = max(block_size, math.ceil(n / MAX_BLOCKS))
     want = min(MAX_PIVOTS, max(1, math.ceil(n / block_size)))
-    pivots = np.array([r[0] for r in x.orderBy(F.xxhash64("thread_id"), "thread_id").limit(want).select("embedding").collect()], np.float64)
+    some = x.orderBy(F.xxhash64("thread_id"), "thread_id").limit(SAMPLE[0]).select("embedding").collect()
+    pivots = _pivots(np.array([r[0] for r in some], np.float64), want)
 
     def nearest(batches):
         for pdf in batches:
@@ -229,14 +247,12 @@ def core_distances(x: DataFrame, balls: Balls, k: int) -> tuple[DataFrame, float
                     return float(v[order[at]]) if at < blocks else math.inf
                 lo, hi = reach(low), reach(up)
                 meets = np.flatnonzero((low <= hi) & (up >= lo) & (balls.count > 0))
-                yield pd.DataFrame({"bi": i, "bj": meets, "lo": lo, "hi": hi, "inside": int(balls.count[up < lo].sum())})
+                yield pd.DataFrame({"bi": i, "bj": meets, "low": low[meets], "lo": lo, "hi": hi, "inside": int(balls.count[up < lo].sum())})
 
     if total < rank:
         return x.withColumn("core", F.lit(math.inf)), 0.0
-    pairs = materialise(spark.range(blocks).mapInPandas(bounds, "bi int, bj int, lo double, hi double, inside long"), "clusters-pairs")
-    skipped = 1.0 - pairs.count() / blocks ** 2
+    pairs = materialise(spark.range(blocks).mapInPandas(bounds, "bi int, bj int, low double, lo double, hi double, inside long"), "clusters-pairs")
     limits = pairs.groupBy(F.col("bi").alias("blk")).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("inside").alias("inside"))
-    pairs = pairs.select("bi", "bj")
     right = _packed(x, "clusters-packed")
     size = total if total <= SAMPLE[0] else min(SAMPLE[1], max(SAMPLE[0], total // 6))
     some = np.array([r[0] for r in x.orderBy(F.xxhash64("thread_id", F.lit(1)), "thread_id").limit(size).select("embedding").collect()], np.float64)
@@ -260,11 +276,15 @@ def core_distances(x: DataFrame, balls: Balls, k: int) -> tuple[DataFrame, float
 
     whole = x.join(F.broadcast(limits), "blk").select("thread_id", "blk", "embedding", "inside", "lo", "hi")
     state = materialise(whole.mapInPandas(ranked, "thread_id string, blk int, embedding array<double>, inside long, lo double, hi double"), "clusters-bounds")
+    # what no point of a block reaches is neither counted nor listed
+    reach = state.groupBy(F.col("blk").alias("bi")).agg(F.max("hi").alias("reach"))
+    near = materialise(pairs.join(F.broadcast(reach), "bi").filter("low <= reach").select("bi", "bj"), "clusters-near")
+    skipped = 1.0 - near.count() / blocks ** 2
     narrow = (last - max(first, 0)) / size * total > LIST if last <= size else total > LIST
     kept = []
     while True:
         while narrow:
-            counts = _meet(_packed(state, "clusters-packed"), right, pairs, _count_bins, "thread_id string, bin int, n long, low double, high double")
+            counts = _meet(_packed(state, "clusters-packed"), right, near, _count_bins, "thread_id string, bin int, n long, low double, high double")
             counts = counts.groupBy("thread_id", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
             bins = counts.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("bin", "n", "low", "high"))).alias("bins"))  # at most BINS + 1 of a point
             held = state.select("thread_id", "blk", "embedding", "inside", F.col("lo").alias("was_lo"), F.col("hi").alias("was_hi")).join(bins, "thread_id")
@@ -277,7 +297,7 @@ def core_distances(x: DataFrame, balls: Balls, k: int) -> tuple[DataFrame, float
             state = state.drop("held")
         packed = _packed(state, "clusters-packed")
         # only pairs with rows on both sides
-        asked = pairs.join(packed.select(F.col("blk").alias("bi")), "bi", "left_semi").select("bi", "bj")
+        asked = near.join(packed.select(F.col("blk").alias("bi")), "bi", "left_semi").select("bi", "bj")
         listed = _meet(packed, right, asked, _list_values, "blk int, under binary, row binary, value binary, n binary")
 
         def chosen(key, block: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
@@ -304,7 +324,7 @@ def core_distances(x: DataFrame, balls: Balls, k: int) -> tuple[DataFrame, float
         if len(kept) > 1:  # the bounds of a block hold for all finite vectors
             raise ValueError("a vector holds a value that is not finite")
         state = materialise(whole.join(wrong.select("thread_id").distinct(), "thread_id", "left_semi").select(*state.columns), "clusters-bounds")
-        narrow = True
+        narrow, near = True, pairs.select("bi", "bj")
     out = kept[0]
     for more in kept[1:]:
         out = out.unionByName(more)
@@ -332,10 +352,34 @@ def _lower(bi: int, bj: int, left: dict, right: dict) -> pd.DataFrame:
     return pd.DataFrame({"src": pd.Series(left["thread_id"][r], dtype=object), "dst": pd.Series(right["thread_id"][order[at]], dtype=object), "w": core[r], "low": sorted_core[at], "blk": bj, "place": order[at]})
 
 
+def _facing(left: dict, right: dict, limit: float) -> tuple[dict, dict]:
+    """The points of two blocks that can be part of an edge between them of at most ``limit``: distances along the line
+    of the blocks' means are never above the true ones."""
+    axis = right["embedding"].mean(axis=0) - left["embedding"].mean(axis=0)
+    size = float(np.sqrt((axis * axis).sum()))
+    if not (0 < size < np.inf and limit < np.inf):
+        return left, right
+    a, b = left["embedding"] @ (axis / size), right["embedding"] @ (axis / size)
+    limit += 1e-9 * (1.0 + limit + float(np.abs(a).max() + np.abs(b).max()))
+    mine = (left["core"] <= limit) & (b.min() - a <= limit)
+    other = (right["core"] <= limit) & (b - a[mine].max(initial=-np.inf) <= limit)
+    mine &= b[other].min(initial=np.inf) - a <= limit
+    return {k: v[mine] for k, v in left.items()}, {k: v[other] for k, v in right.items()}
+
+
+def _joins(limit: float):
+    """``_forest`` of a pair, without points that only edges above ``limit`` have."""
+    def run(bi: int, bj: int, left: dict, right: dict) -> pd.DataFrame:
+        return _forest(bi, bj, *((left, right) if bi == bj else _facing(left, right, limit)))
+    return run
+
+
 def _forest(bi: int, bj: int, left: dict, right: dict) -> pd.DataFrame:
     """Edges that hold a minimum spanning forest of the mutual reachability edges within a block, or between two, that
     join different trees: the lightest of each two trees, or where these are many the whole forest (Prim)."""
     trees, code = np.unique(np.concatenate([left["tree"], right["tree"]]), return_inverse=True)
+    if len(trees) < 2 or not len(left["tree"]) or not len(right["tree"]):
+        return pd.DataFrame({"src": [], "dst": [], "w": []}, dtype=object)
     sides = []
     for side, c in ((left, code[:len(left["tree"])]), (right, code[len(left["tree"]):])):
         order = np.argsort(c, kind="stable")
@@ -458,17 +502,19 @@ def tree_candidates(points: DataFrame, balls: Balls) -> tuple[DataFrame, float]:
     if heaviest is None:
         return materialise(sure.unionByName(edges), "clusters-edges"), 0.0
 
+    sole = {r.blk: r.one for r in points.groupBy("blk").agg(F.min("tree").alias("one"), F.max("tree").alias("two")).filter("one = two").collect()}
+
     def others(batches):
         for pdf in batches:
             for i in pdf["id"].tolist():
                 low, _ = balls.between(i)
                 meets = np.flatnonzero((np.maximum(np.maximum(low, core[i]), core) < heaviest) & (np.arange(len(low)) > i) & (balls.count > 0))
-                fresh = np.array([j for j in meets.tolist() if (i, j) not in held], np.int32)
+                fresh = np.array([j for j in meets.tolist() if (i, j) not in held and (i not in sole or sole[i] != sole.get(j))], np.int32)
                 if len(fresh):
                     yield pd.DataFrame({"bi": np.full(len(fresh), i, np.int32), "bj": fresh})
 
     pairs = materialise(spark.range(count).mapInPandas(others, "bi int, bj int"), "clusters-more-pairs")
     light = _packed(points.filter(F.col("core") < heaviest), "clusters-light")
-    more = joined(materialise(_meet(light, light, pairs, _forest, "src string, dst string, w double"), "clusters-forest"))
+    more = joined(materialise(_meet(light, light, pairs, _joins(heaviest), "src string, dst string, w double"), "clusters-forest"))
     every = len(live) * (len(live) + 1) / 2
     return materialise(sure.unionByName(edges).unionByName(more), "clusters-edges"), 1.0 - (pairs.count() + len(held)) / every
