@@ -1,6 +1,7 @@
 """Components with hot labels and hubs against union-find; near duplicates verified over several blocks."""
 
 import random
+import uuid
 
 import pytest
 
@@ -64,3 +65,50 @@ def test_near_duplicates_over_blocks(spark, monkeypatch):
     want = plain_components(links)
     got = {x.doc_id: x.component_id for x in near_dup.near_components(df).collect()}
     assert got == {i: want.get(i, i) for i in range(len(texts))} and len(set(got.values())) < 30
+
+
+@pytest.mark.parametrize("landmarks", [0, 3])
+def test_blocks_of_one_group_of_copies_are_not_compared_pair_by_pair(spark, monkeypatch, tmp_path, landmarks):
+    """Copies of one text, strays that share half of it and links between strays: the components of brute force, and no
+    text meets as many groups as there are blocks."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(150):  # near copies: one word changed
+        words = base[:]
+        words[rng.randrange(120)] = f"x{i}"
+        texts.append(" ".join(words))
+    for i in range(12):  # strays: half of the base; every third has a near copy
+        words = base[:60] + [f"s{i}-{j}" for j in range(60)]
+        texts.append(" ".join(words))
+        if i % 3 == 0:
+            texts.append(" ".join(words[:-1] + ["end"]))
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])] * 3, "doc_id long, text string")
+    for k, v in {"BLOCK_DOCS": 16, "SMALL_DOCS": 16, "LANDMARKS": landmarks}.items():
+        monkeypatch.setattr(near_dup, k, v)
+    made = near_dup._verify
+
+    def counting(width, percent):
+        run = made(width, percent)
+
+        def counted(pdf):
+            with open(f"{tmp_path}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(len(pdf)))
+            return run(pdf)
+        return counted
+
+    monkeypatch.setattr(near_dup, "_verify", counting)
+    got = {x.doc_id: x.component_id for x in near_dup.near_components(df, width=4).collect()}
+    sets = [{tuple(t.split()[i:i + 4]) for i in range(len(t.split()) - 3)} for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert got == dict(enumerate(label))
+    assert len(set(label)) == 13
+    met = sum(int(f.read_text()) for f in tmp_path.iterdir())
+    if landmarks:
+        assert met < 6 * len(texts)  # 11 blocks: before each text met 11 groups
